@@ -1,0 +1,21 @@
+"""Join helpers with an explicit, checked broadcast bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows a broadcast side may have; beyond it the join shuffles (AQE handles skew).
+DEFAULT_BROADCAST_ROWS = 2_000_000
+
+
+def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
+                 max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``small`` only after counting it; otherwise a shuffled join.
+
+    The count is one cheap job over an already-reduced side (distinct ids,
+    tag lists, gazetteer surfaces); it replaces size *estimates*, which are
+    unreliable for derived data."""
+    n = small.count()
+    side = F.broadcast(small) if n <= max_rows else small
+    return big.join(side, on=on, how=how)
