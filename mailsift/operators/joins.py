@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
     The count is one cheap job over an already-reduced side (distinct ids,
     tag lists, gazetteer surfaces); it replaces size *estimates*, which are
     unreliable for derived data."""
+    small = small.persist(StorageLevel.MEMORY_AND_DISK)  # the count materialises what the join reuses
     n = small.count()
     side = F.broadcast(small) if n <= max_rows else small
     return big.join(side, on=on, how=how)
