@@ -69,12 +69,15 @@ def _ratio(num: Column, den: Column) -> Column:
 
 def evaluate_long(gold: DataFrame, pred: DataFrame, id_col: str, tags: list[str],
                   gold_tags: list[str] | None = None, pred_tags: list[str] | None = None,
-                  restrict_to_common_ids: bool = True) -> DataFrame:
+                  restrict_to_common_ids: bool = True, gold_ids: DataFrame | None = None,
+                  pred_ids: DataFrame | None = None) -> DataFrame:
     """AGG-1 over long ``(id, tag, value)`` tables -> performance table.
 
     ``gold_tags``/``pred_tags`` are the tag columns each side carries (wide
     input); the evaluated tags are ``tags`` ∩ both, each gets a row even with
-    zero counts. Rows are paired by id on the intersection of ids (JON-2/3).
+    zero counts. Rows are paired by id on the intersection of ids (JON-2/3); the id sets
+    default to the ids present in the long tables (pass the wide rows' ids when a row may
+    carry no value at all).
     """
     spark = gold.sparkSession
     gset = set(gold_tags) if gold_tags is not None else set(tags)
@@ -84,7 +87,9 @@ def evaluate_long(gold: DataFrame, pred: DataFrame, id_col: str, tags: list[str]
     p = pred.select(id_col, "tag", "value", F.lit(0).alias("g"), F.lit(1).alias("p"))
     both = g.unionByName(p).where(F.col("tag").isin(eval_tags))
     if restrict_to_common_ids:
-        common = gold.select(id_col).distinct().intersect(pred.select(id_col).distinct())
+        gi = (gold_ids if gold_ids is not None else gold).select(id_col).distinct()
+        pi = (pred_ids if pred_ids is not None else pred).select(id_col).distinct()
+        common = gi.intersect(pi)
         both = join_checked(both, common, on=id_col, how="left_semi")
     # JON-4 as one aggregation: set membership flags per (id, tag, value)
     flags = both.groupBy(id_col, "tag", "value").agg(F.max("g").alias("g"), F.max("p").alias("p"))
@@ -117,7 +122,8 @@ def evaluate_wide(gold_wide: DataFrame, pred_wide: DataFrame, id_col: str,
     pred = explode_values(unpivot_tags(pred_wide, id_col, tags), id_col)
     return evaluate_long(gold, pred, id_col, tags,
                          gold_tags=[c for c in gold_wide.columns if c in tags],
-                         pred_tags=[c for c in pred_wide.columns if c in tags])
+                         pred_tags=[c for c in pred_wide.columns if c in tags],
+                         gold_ids=gold_wide.select(id_col), pred_ids=pred_wide.select(id_col))
 
 
 # ---------------------------------------------------------------------------- weights, boards
