@@ -33,10 +33,10 @@ def read_text_table(spark: SparkSession, sf_dir: str, name: str, key: str,
 
 
 def read_dataframe(spark: SparkSession, input_path: str, header_names: list[str] | None = None,
-                   max_records_per_file: int = -1, header: bool = True) -> DataFrame:
-    """SRC-1/FLT-7/LIM-1: glob read where the extension picks the format; files are
+                   max_records_per_file: int = -1, header: bool = True, fmt: str | None = None) -> DataFrame:
+    """SRC-1/FLT-7/LIM-1: glob read where the extension (or ``fmt``) picks the format; files are
     unioned by column name; csv/tsv malformed rows dropped; optional per-file cap."""
-    ext = input_path.rsplit(".", 1)[-1].lower()
+    ext = (fmt or input_path.rsplit(".", 1)[-1]).lower()
     if ext not in FORMATS:
         raise TypeError(f"File extension not supported: {ext}")
     reader = spark.read
