@@ -21,8 +21,11 @@ def _sql_literal(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def match_spans(text: Column | str, pattern: str) -> Column:
-    """``array<struct<start,end,name>>`` of all non-overlapping matches."""
+def match_spans(text: Column | str, pattern: str, guard: Column | None = None) -> Column:
+    """``array<struct<start,end,name>>`` of all non-overlapping matches.
+
+    ``guard`` is an exact cheap pre-test (e.g. a literal every match must contain); rows
+    failing it skip both regex passes."""
     text = F.col(text) if isinstance(text, str) else text
     matches = F.regexp_extract_all(text, F.lit(pattern), 0)
     pieces = F.split(text, pattern, -1)
@@ -38,7 +41,8 @@ def match_spans(text: Column | str, pattern: str) -> Column:
         )
         return F.when(x["n"].isNull(), s).otherwise(grown)
 
-    return F.when(text.isNull(), F.expr(f"cast(array() as {SPAN_TYPE})")).otherwise(
+    skip = text.isNull() if guard is None else (text.isNull() | ~F.coalesce(guard, F.lit(False)))
+    return F.when(skip, F.expr(f"cast(array() as {SPAN_TYPE})")).otherwise(
         F.aggregate(pairs, init, step, lambda s: s["acc"]))
 
 

@@ -33,7 +33,8 @@ def _tag(spans: Column, entity: str) -> Column:
 
 def linkedin_spans(text: Column) -> Column:
     """EXT-3: LinkedIn matches kept only when they look like a LinkedIn URL; one trailing '>' stripped."""
-    raw = match_spans(text, S.LINKEDIN_PATTERN)
+    # every kept match contains 'linkedin', so texts without it skip the (slow) pattern
+    raw = match_spans(text, S.LINKEDIN_PATTERN, guard=F.instr(text, "linkedin") > 0)
     kept = F.filter(raw, lambda x: x["name"].contains("linkedin") & (x["name"] != "linkedin.com")
                     & ~_has_marker(x["name"]))
     return F.transform(kept, lambda x: F.struct(
@@ -45,7 +46,8 @@ def linkedin_spans(text: Column) -> Column:
 def url_spans(text: Column, emails: Column, linkedin: Column) -> Column:
     """EXT-2: web matches that are not a LinkedIn/e-mail match, carry no '@'/'malito';
     one trailing dot stripped (end adjusted) and the listed prefixes removed."""
-    raw = match_spans(text, S.WEB_PATTERN)
+    # a web match always contains a dot followed by two letters
+    raw = match_spans(text, S.WEB_PATTERN, guard=text.rlike(r"\.[a-zA-Z]{2}"))
     lk_names = F.transform(linkedin, lambda x: x["name"])
     em_names = F.transform(emails, lambda x: x["name"])
     kept = F.filter(raw, lambda x: ~F.array_contains(lk_names, x["name"])
@@ -59,7 +61,7 @@ def url_spans(text: Column, emails: Column, linkedin: Column) -> Column:
 def regex_entity_array(text: Column | str) -> Column:
     """EXT-4: all pattern entities of one text, in the order EMAIL, LINKEDIN, URL."""
     text = F.col(text) if isinstance(text, str) else text
-    emails = match_spans(text, S.EMAIL_PATTERN)
+    emails = match_spans(text, S.EMAIL_PATTERN, guard=F.instr(text, "@") > 0)
     lk = linkedin_spans(text)
     urls = url_spans(text, emails, lk)
     return F.concat(_tag(emails, "EMAIL"), _tag(lk, "LINKEDIN"), _tag(urls, "URL"))
@@ -84,8 +86,12 @@ def phone_spans(df: DataFrame, regions: list[str], id_col: str = "doc_id", text_
     """EXT-5: phone (or fax) matches per region: ``(id, region, seq, start, end, name)``."""
     keep = keep or []
     patterns = S.FAX_PATTERNS if fax else S.PHONE_PATTERNS
+    # us/ca/chn phones and the fax pattern all need a run of three digits; the uk pattern
+    # (ten digits anywhere, blanks allowed between them) gets no guard
+    has_digits = F.col(text_col).rlike("[0-9]{3}")
     per_region = F.array(*[
-        F.struct(F.lit(r).alias("region"), match_spans(F.col(text_col), patterns[r]).alias("spans"))
+        F.struct(F.lit(r).alias("region"), match_spans(F.col(text_col), patterns[r],
+                                                       guard=None if (r == "uk" and not fax) else has_digits).alias("spans"))
         for r in regions])
     rows = df.select(id_col, *keep, F.explode(per_region).alias("r"))
     rows = rows.select(id_col, *keep, F.col("r.region").alias("region"), F.posexplode("r.spans").alias("seq", "s"))

@@ -35,9 +35,10 @@ class LastLinesScorer:
         for t in texts:
             t = t or ""
             total = t.count("\n") + 1
-            preds = []
+            preds, line, pos = [], 0, 0
             for m in _TOKEN.finditer(t):
-                line = t.count("\n", 0, m.start())
+                line += t.count("\n", pos, m.start())  # incremental: linear in the text
+                pos = m.start()
                 label = S.SIGNATURE_LABEL if line >= total - self.n_lines else S.BODY_LABEL
                 preds.append({"start": m.start(), "end": m.end(), "entity": label, "score": 1.0})
             out.append(preds)
@@ -53,10 +54,11 @@ class RuleNerScorer:
         out = []
         for t in texts:
             t = t or ""
-            preds, prev_line, prev_label = [], -1, None
+            preds, prev_line, prev_label, line, pos = [], -1, None, 0, 0
             for m in _TOKEN.finditer(t):
                 w = m.group(0)
-                line = t.count("\n", 0, m.start())
+                line += t.count("\n", pos, m.start())
+                pos = m.start()
                 first_in_line = line != prev_line
                 digits = sum(ch.isdigit() for ch in w)
                 label = None
