@@ -72,7 +72,9 @@ def regex_entities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Long entity table ``(id, seq, start, end, entity, name, score)`` plus ``keep`` columns."""
     keep = keep or []
     arr = df.select(id_col, *keep, regex_entity_array(F.col(text_col)).alias("_ents"))
-    out = arr.select(id_col, *keep, F.posexplode("_ents").alias("seq", "e"))
+    # *_outer: a plain generator makes Spark infer ``size(array) > 0`` and evaluate the whole
+    # extraction twice (filter + project); empty rows are dropped after the generator instead
+    out = arr.select(id_col, *keep, F.posexplode_outer("_ents").alias("seq", "e")).where(F.col("e").isNotNull())
     return out.select(id_col, *keep, "seq", "e.start", "e.end", "e.entity", "e.name", "e.score")
 
 
@@ -94,7 +96,8 @@ def phone_spans(df: DataFrame, regions: list[str], id_col: str = "doc_id", text_
                                                        guard=None if (r == "uk" and not fax) else has_digits).alias("spans"))
         for r in regions])
     rows = df.select(id_col, *keep, F.explode(per_region).alias("r"))
-    rows = rows.select(id_col, *keep, F.col("r.region").alias("region"), F.posexplode("r.spans").alias("seq", "s"))
+    rows = rows.select(id_col, *keep, F.col("r.region").alias("region"),
+                       F.posexplode_outer("r.spans").alias("seq", "s")).where(F.col("s").isNotNull())
     return rows.select(id_col, *keep, "region", "seq", "s.start", "s.end", "s.name")
 
 

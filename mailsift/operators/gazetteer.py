@@ -78,8 +78,9 @@ def gazetteer_hits(docs: DataFrame, gaz: DataFrame, id_col: str = "doc_id", text
     """EXT-6/JON-7/EXT-11: ``(id, country_pos, kind, state_pos, item_pos, surface, start)`` for
     every gazetteer row whose surface occurs as a whole word; start = first occurrence."""
     first = gaz.withColumn("first_word", F.regexp_extract("surface", S.WORD_PATTERN, 0))
-    words = docs.select(id_col, F.explode(F.array_distinct(
+    words = docs.select(id_col, F.explode_outer(F.array_distinct(
         F.regexp_extract_all(text_col, F.lit(S.WORD_PATTERN), 0))).alias("first_word"))
+    words = words.where(F.col("first_word").isNotNull())
     cand = join_checked(words, first, on="first_word", how="inner")
     # verify next to the text: candidates are grouped per document (small) and brought to it
     per_doc = cand.groupBy(id_col).agg(F.collect_list(F.struct(

@@ -100,7 +100,7 @@ def inference_segments(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                        limit: int = S.INFERENCE_TOKEN_LIMIT) -> DataFrame:
     """SEG-3 as a table: ``(id, segment_no, n_tokens, start, end, text)``; text = text[start:end]."""
     segs = df.select(id_col, text_col, pack_greedy(sentence_units(F.col(text_col), limit), limit).alias("_s"))
-    x = segs.select(id_col, text_col, F.posexplode("_s").alias("segment_no", "s"))
+    x = segs.select(id_col, text_col, F.posexplode_outer("_s").alias("segment_no", "s"))  # never empty
     return x.select(id_col, F.col("segment_no").cast("int").alias("segment_no"), F.col("s.n").alias("n_tokens"),
                     F.col("s.start").alias("start"), F.col("s.end").alias("end"),
                     F.expr(f"substring({text_col}, s.start + 1, s.end - s.start)").alias("text"))
@@ -164,7 +164,7 @@ def training_segments(blocks: DataFrame, group_cols: list[str], order_col: str,
         sentence_tokens(b["t"], lim), lambda s: F.struct(s.alias("tok"), F.array_repeat(b["l"], F.size(s)).alias("lab")))))
     one = g.select(*group_cols, "limit", sents.alias("_s"))
     ranges = pack_overlapping(F.transform("_s", lambda x: F.size(x["tok"]).cast("int")), lim)
-    one = one.select(*group_cols, "limit", "_s", F.posexplode(ranges).alias("segment_no", "r"))
+    one = one.select(*group_cols, "limit", "_s", F.posexplode_outer(ranges).alias("segment_no", "r"))  # never empty
     piece = F.slice("_s", F.col("r.a") + 1, F.greatest(F.col("r.b") - F.col("r.a") + 1, F.lit(0)))
     return one.select(*group_cols, "limit", F.col("segment_no").cast("int").alias("segment_no"),
                       F.flatten(F.transform(piece, lambda x: x["tok"])).alias("tokens"),
