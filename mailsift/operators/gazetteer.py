@@ -16,11 +16,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mailsift import settings as S
 from mailsift.operators.joins import join_checked
+from mailsift.session import cut_lineage
 
 NW = r"[^\p{L}\p{N}_]"
 WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -102,7 +104,9 @@ def resolve_locations(hits: DataFrame, gaz: DataFrame, docs: DataFrame, id_col:
     contained-city and adjacency rules, then the country choice. Returns
     ``(id, country_pos, kind, surface, rank, start, end, n_keys)`` for kept countries."""
     k = [id_col, "country_pos"]
-    h = hits
+    # The hit table is small and referenced by every step below; materialise it once
+    # (reliable checkpoint in the shared folder) so the plan does not re-expand it per use.
+    h = cut_lineage(hits)
     # gazetteer-derived sides are broadcast only under a checked bound
     small = gaz.count() <= 2_000_000
 
@@ -111,7 +115,8 @@ def resolve_locations(hits: DataFrame, gaz: DataFrame, docs: DataFrame, id_col:
     # EXT-7 cities in gazetteer order (dedup by surface, first occurrence wins)
     city_key = F.col("state_pos") * 1_000_000 + F.col("item_pos")
     C = (h.where(F.col("kind") == "city").groupBy(*k, "surface")
-          .agg(F.min(city_key).alias("crank"), F.min("start").alias("start"), F.max("adjacent").alias("adjacent")))
+          .agg(F.min(city_key).alias("crank"), F.min("start").alias("start"), F.max("adjacent").alias("adjacent"))
+          .persist(StorageLevel.MEMORY_AND_DISK))  # small, used four times
     has_city = C.select(*k).distinct().withColumn("has_city", F.lit(True))
     g_city = gaz.where(F.col("kind") == "city").select("country_pos", F.col("state_pos").alias("sp"),
                                                        F.col("surface").alias("city"))
@@ -126,10 +131,11 @@ def resolve_locations(hits: DataFrame, gaz: DataFrame, docs: DataFrame, id_col:
     sh = sh.where(F.col("has_city").isNull() | F.col("first_city").isNotNull())
     skey = F.struct(F.coalesce("first_city", F.lit(-1)).cast("long").alias("a"),
                     (F.col("sp") * 1_000_000 + F.col("ip")).cast("long").alias("b"))
-    S_ = sh.groupBy(*k, "surface").agg(F.min(skey).alias("rank"), F.min("start").alias("start"))
+    S_ = sh.groupBy(*k, "surface").agg(F.min(skey).alias("rank"), F.min("start").alias("start")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     # matched states: any surface of the state is in S
     ms = (S_.join(bc(g_state), (S_.country_pos == g_state.country_pos) & (S_.surface == g_state.ss))
-            .select(S_[id_col], S_.country_pos, "sp").distinct())
+            .select(S_[id_col], S_.country_pos, "sp").distinct().persist(StorageLevel.MEMORY_AND_DISK))
     has_state = ms.select(*k).distinct().withColumn("has_state", F.lit(True))
     # verified cities: (matched state order, city order), duplicates kept
     verified = (ms.join(bc(g_city), ["country_pos", "sp"])
