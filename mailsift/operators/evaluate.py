@@ -237,3 +237,23 @@ def label_mappings(spark: SparkSession, labels_df: DataFrame, label_col: str, or
     first = labels_df.groupBy(label_col).agg(F.min(order_col).alias("_o"))
     return first.select((F.row_number().over(Window.orderBy("_o", label_col)) - 1).cast("int").alias("id"),
                         F.col(label_col).alias("label"))
+
+
+def sort_by_length_desc(arr: Column) -> Column:
+    """SRT-2: strings ordered by length, longest first (ties keep value order)."""
+    return F.array_sort(arr, lambda a, b: F.when(F.length(a) > F.length(b), F.lit(-1))
+                        .when(F.length(a) < F.length(b), F.lit(1))
+                        .when(a < b, F.lit(-1)).when(a > b, F.lit(1)).otherwise(F.lit(0)))
+
+
+def evaluate_results(gold_wide: DataFrame, pred_wide: DataFrame, id_col: str, model: str, dataset: str,
+                     version: str, endpoint_url: str, last_update: Column | None = None):
+    """RSH-5: gold rows restricted to predicted ids (JON-2), per-tag metrics (AGG-1), full
+    leaderboard (RSH-4) and weighted leaderboard (AGG-4); the model name carries the endpoint's
+    model type (FN-1). Returns ``(full_leaderboard, weighted_leaderboard, performance)``."""
+    gold = gold_wide.join(pred_wide.select(id_col).distinct(), id_col, "left_semi")
+    perf = evaluate_wide(gold, pred_wide, id_col)
+    name = f"{model}-{endpoint_url.rstrip('/').split('/')[-2] if endpoint_url.count('/') else endpoint_url}"
+    full = full_leaderboard(perf, name, dataset, version, last_update=last_update)
+    weighted = weighted_leaderboard(perf, tag_weights(gold), name, dataset, version, last_update)
+    return full, weighted, perf

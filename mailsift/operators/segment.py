@@ -11,6 +11,7 @@ per-document segmentation; one shuffle on the mail id for labelled blocks.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +22,19 @@ SEG_STATE = "array<struct<n:int,start:int,end:int>>"
 RANGE_STATE = "array<struct<a:int,b:int>>"
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(S.TOKEN_PATTERN), 0)
+def tokens(text: Column, pattern: str = S.TOKEN_PATTERN) -> Column:
+    """UDF-2/UDF-3 default: word runs and single symbols (JVM-side). A sub-word tokenizer can be
+    plugged with :func:`tokenizer_hook`."""
+    return F.regexp_extract_all(text, F.lit(pattern), 0)
+
+
+def tokenizer_hook(fn) -> "Column-function":
+    """UDF-3 hook: wrap ``fn(list[str]) -> list[list[str]]`` (e.g. a sub-word tokenizer loaded once
+    per worker) as an Arrow-batched pandas UDF returning ``array<string>``."""
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series(fn(s.fillna("").tolist()))
+    udf = F.pandas_udf(run, "array<string>")
+    return lambda col: udf(col)
 
 
 def _lit(x) -> Column:
@@ -146,7 +158,8 @@ def pack_overlapping(lengths: Column, limit: int, overlapped_limit: int | None =
 
 
 def training_segments(blocks: DataFrame, group_cols: list[str], order_col: str, text_col: str, label_col: str,
-                      max_tokens: int = S.TRAINING_TOKEN_LIMIT, limits: list[int] | None = None) -> DataFrame:
+                      max_tokens: int = S.TRAINING_TOKEN_LIMIT, limits: list[int] | None = None,
+                      remove_columns: list[str] | None = None) -> DataFrame:
     """SEG-4..7: labelled blocks of one mail (and language) -> multi-scale overlapping
     token/label segments ``(group..., limit, segment_no, tokens, labels)``.
 
@@ -155,6 +168,8 @@ def training_segments(blocks: DataFrame, group_cols: list[str], order_col: str,
     if limits is None:
         lo, hi, st = (int(f * max_tokens / 10) for f in S.TRAINING_LIMIT_FRACTIONS)
         limits = list(range(lo, hi, st))
+    if remove_columns and set(remove_columns).issubset(blocks.columns):   # FLT-6
+        blocks = blocks.drop(*remove_columns)
     clean = blocks.dropna(subset=[*group_cols, order_col, text_col, label_col])
     g = clean.groupBy(*group_cols).agg(F.array_sort(F.collect_list(
         F.struct(F.col(order_col).alias("o"), F.col(text_col).alias("t"), F.col(label_col).alias("l")))).alias("_b"))

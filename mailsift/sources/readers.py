@@ -96,8 +96,9 @@ def read_json_flat(spark: SparkSession, path: str) -> DataFrame:
 
 def read_text_articles(spark: SparkSession, glob_path: str) -> DataFrame:
     """SRC-4: ``<number>_<title>.txt`` articles -> title/author/date/text; failures leave NULL."""
-    raw = spark.read.option("wholetext", "true").text(glob_path).select(
-        F.col("value").alias("content"), F.col("_metadata.file_name").alias("file_name"))
+    # text() takes wholetext as its own argument (an .option() would be overridden)
+    raw = spark.read.text(glob_path, wholetext=True).select(
+        F.col("value").alias("content"), F.url_decode(F.col("_metadata.file_name")).alias("file_name"))
     return parse_articles(raw)
 
 

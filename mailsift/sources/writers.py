@@ -80,5 +80,16 @@ def dataset_to_table(df: DataFrame) -> DataFrame:
 def read_prompt_library(spark: SparkSession, folder: str) -> DataFrame:
     """SRC-11: ``*_prompt.json`` files -> ``(name, prompt)`` with name = file name before ``_prompt``."""
     df = spark.read.option("multiLine", "true").json(os.path.join(folder, "*_prompt.json"))
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)_prompt", 1)
+    name = F.regexp_extract(F.url_decode(F.col("_metadata.file_name")), r"^(.*?)_prompt", 1)
     return df.select(name.alias("name"), F.struct(*[F.col(c) for c in df.columns]).alias("prompt"))
+
+
+def reconstruct(df: DataFrame, fn, schema: str) -> DataFrame:
+    """UDF-5: per-row reconstruction callback ``fn(pandas.Series row) -> pandas.DataFrame`` fanned
+    out over Arrow batches and concatenated (``mapInPandas``)."""
+    def run(batches):
+        for pdf in batches:
+            parts = [fn(row) for _, row in pdf.iterrows()]
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
+    return df.mapInPandas(run, schema)
