@@ -58,8 +58,7 @@ SELECT user_id, "start", "end", n FROM (SELECT *, row_number() OVER (PARTITION B
 WHERE r = 1""")
 def spn_signature_pieces(spark, sf_dir):
     """SPN-2: pieces split where the gap exceeds the minimum; the last piece per group."""
-    m = last_island(event_spans(spark, sf_dir), ["user_id"], ["start", "event_id"], gap=SIG_GAP)
-    return m.select("user_id", "start", "end", "n")
+    return last_island(event_spans(spark, sf_dir), ["user_id"], ["start", "event_id"], gap=SIG_GAP, inclusive=True)
 
 
 @register("seg_merge_window_hits", _islands_sql(["user_id"], SIG_GAP, "<") + """
@@ -67,9 +66,7 @@ SELECT user_id, "start", "end", n FROM (SELECT *, row_number() OVER (PARTITION B
 WHERE r = 1""")
 def seg_merge_window_hits(spark, sf_dir):
     """SEG-10: walk back from the last hit while the gap to the next hit is below the minimum."""
-    m = merge_spans(event_spans(spark, sf_dir), ["user_id"], ["start", "event_id"], gap=SIG_GAP, inclusive=False)
-    m = m.withColumn("_r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("island").desc())))
-    return m.where("_r = 1").select("user_id", "start", "end", "n")
+    return last_island(event_spans(spark, sf_dir), ["user_id"], ["start", "event_id"], gap=SIG_GAP, inclusive=False)
 
 
 @register("win_next_gap", f"""WITH {_E}
