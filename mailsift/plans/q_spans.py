@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from mailsift.operators.spans import last_island, merge_spans, merge_spans_skewsafe, next_gap
+from mailsift.operators.spans import last_island, merge_spans, merge_spans_skewsafe, next_gap_skewsafe
 from mailsift.plans.registry import register
 from mailsift.session import read_table
 
@@ -76,6 +76,6 @@ FROM e WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id)""")
 def win_next_gap(spark, sf_dir):
     """WIN-1/WIN-2: next start minus own end, filled with 0 or with the own end."""
     sp = event_spans(spark, sf_dir)
-    a = next_gap(sp, ["user_id"], ["start", "event_id"])
-    b = next_gap(a.withColumnRenamed("diff", "d0"), ["user_id"], ["start", "event_id"], fill_with_end=True)
-    return b.select("event_id", F.col("d0").alias("diff"), F.col("diff").alias("diff_fill_end"))
+    g = next_gap_skewsafe(sp, ["user_id"], ["start", "event_id"])
+    gap = F.col("next_start") - F.col("end")
+    return g.select("event_id", F.coalesce(gap, F.lit(0)).alias("diff"), F.coalesce(gap, F.col("end")).alias("diff_fill_end"))

@@ -30,3 +30,13 @@ def test_hot_key_spread_over_partitions(spark):
     ranged = df.repartitionByRange(16, "k", "start", "id")
     per_part = ranged.where(F.col("k") == 0).groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(per_part) > 4  # the hot key is not confined to one task
+
+
+def test_next_gap_skewsafe_equals_window(spark):
+    from mailsift.operators.spans import next_gap, next_gap_skewsafe
+    df = _data(spark)
+    for fill in (False, True):
+        a = next_gap(df, ["k"], ["start", "id"], fill_with_end=fill).select("id", "diff")
+        for parts in (2, 16):
+            b = next_gap_skewsafe(df, ["k"], ["start", "id"], fill_with_end=fill, num_partitions=parts).select("id", "diff")
+            assert sorted(a.collect()) == sorted(b.collect()), (fill, parts)
