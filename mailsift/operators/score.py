@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,19 +96,16 @@ def score_tokens(df: DataFrame, key_cols: list[str], text_col: str, scorer_facto
             scorer = _WORKER_CACHE[cache_key] = scorer_factory()
         for pdf in batches:
             preds = scorer(pdf[text_col].tolist())
-            rows = {k: [] for k in key_cols}
-            cols = {"token_no": [], "start": [], "end": [], "entity": [], "score": []}
-            for i, plist in enumerate(preds):
-                for j, p in enumerate(plist):
-                    for k in key_cols:
-                        rows[k].append(pdf[k].iat[i])
-                    cols["token_no"].append(j)
-                    cols["start"].append(int(p["start"]))
-                    cols["end"].append(int(p["end"]))
-                    cols["entity"].append(p["entity"])
-                    cols["score"].append(float(p.get("score", 1.0)))
-            out = pd.DataFrame({**rows, **cols})
-            yield out.astype({"token_no": "int32", "start": "int32", "end": "int32"})
+            counts = np.fromiter((len(p) for p in preds), dtype=np.int64, count=len(preds))
+            flat = [d for p in preds for d in p]
+            n = len(flat)
+            out = {k: np.repeat(pdf[k].to_numpy(), counts) for k in key_cols}
+            out["token_no"] = (np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+            out["start"] = np.fromiter((d["start"] for d in flat), dtype=np.int32, count=n)
+            out["end"] = np.fromiter((d["end"] for d in flat), dtype=np.int32, count=n)
+            out["entity"] = [d["entity"] for d in flat]
+            out["score"] = np.fromiter((float(d.get("score", 1.0)) for d in flat), dtype=np.float64, count=n)
+            yield pd.DataFrame(out)
 
     src = df.select(*key_cols, text_col).where(F.length(text_col) > 0)
     return src.mapInPandas(run, schema)
