@@ -67,6 +67,13 @@ def regex_entity_array(text: Column | str) -> Column:
     return F.concat(_tag(emails, "EMAIL"), _tag(lk, "LINKEDIN"), _tag(urls, "URL"))
 
 
+def phone_entity_array(text: Column | str, region: str = "us", entity: str = "PHONE") -> Column:
+    """EXT-5 as entity structs (same element type as :func:`regex_entity_array`)."""
+    text = F.col(text) if isinstance(text, str) else text
+    guard = None if region == "uk" else text.rlike("[0-9]{3}")
+    return _tag(match_spans(text, S.PHONE_PATTERNS[region], guard=guard), entity)
+
+
 def regex_entities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    keep: list[str] | None = None) -> DataFrame:
     """Long entity table ``(id, seq, start, end, entity, name, score)`` plus ``keep`` columns."""

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from mailsift import settings as S
 from mailsift.functions.text import clean_mail_text
-from mailsift.operators.extract import entity_counts, phone_spans, regex_entities
+from mailsift.operators.extract import (entity_counts, phone_entity_array, phone_spans, regex_entities,
+                                        regex_entity_array)
 from mailsift.plans import sqlkit as K
 from mailsift.plans.registry import register
 from mailsift.session import read_table
+from mailsift.sources.readers import read_text_table
 
 # Fixed synthetic suffix: no driver table has a surviving LinkedIn hit or a
 # "[http...]" link, so both engines append the same literal text.
@@ -116,11 +118,12 @@ GROUP BY d.lang, a.entity"""
 
 
 def entity_counts_plan(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    ents = regex_entities(docs, keep=["lang"]).select("doc_id", "lang", "entity")
-    phones = (phone_spans(docs, ["us"], keep=["lang"])
-              .select("doc_id", "lang", F.lit("PHONE").alias("entity")))
-    return entity_counts(ents.unionByName(phones), ["lang", "entity"])
+    """One scan, one projection: pattern and phone entities in one per-row array, exploded and
+    counted (partial aggregation before the shuffle)."""
+    docs = read_text_table(spark, sf_dir, "documents", "doc_id", ["doc_id", "lang", "text"])
+    ents = F.concat(regex_entity_array(F.col("text")), phone_entity_array(F.col("text"), "us"))
+    rows = docs.select("doc_id", "lang", F.explode_outer(F.transform(ents, lambda e: e["entity"])).alias("entity"))
+    return entity_counts(rows.where(F.col("entity").isNotNull()), ["lang", "entity"])
 
 
 @register("agg_entity_counts_by_lang", _COUNT_SQL)
