@@ -112,3 +112,13 @@ def entity_counts(entities: DataFrame, by: list[str]) -> DataFrame:
     """AGG-10 (entities per tag and language): partial+final hash aggregate."""
     return entities.groupBy(*by).agg(F.count(F.lit(1)).alias("n_entities"),
                                      F.countDistinct(entities.columns[0]).alias("n_docs"))
+
+
+def service_counters(events: DataFrame, key_col: str, ts_col: str, score_col: str, error_col: str,
+                     order_col: str) -> DataFrame:
+    """AGG-10 (re-aimed service metrics): per key the number processed, the number of errors and
+    the latest score (by time, ties by ``order_col``) — partial aggregation before the shuffle."""
+    return events.groupBy(key_col).agg(
+        F.count(F.lit(1)).alias("n_processed"),
+        F.count_if(F.col(error_col)).alias("n_errors"),
+        F.max_by(score_col, F.struct(F.col(ts_col), F.col(order_col))).alias("latest_score"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mailsift import settings as S
 from mailsift.functions.text import clean_mail_text
 from mailsift.operators.extract import (entity_counts, phone_entity_array, phone_spans, regex_entities,
-                                        regex_entity_array)
+                                        regex_entity_array, service_counters)
 from mailsift.plans import sqlkit as K
 from mailsift.plans.registry import register
 from mailsift.session import read_table
@@ -140,3 +140,25 @@ def agg_entity_counts_clean_pages(spark, sf_dir):
     ents = regex_entities(cleaned, id_col="page_id")
     return ents.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entities"),
                                       F.countDistinct("page_id").alias("n_docs"))
+
+
+@register("agg_service_counters", """
+SELECT event_type, count(*) AS n_processed, count(*) FILTER (WHERE value > 45) AS n_errors,
+       arg_max(value, (ts, event_id)) AS latest_score
+FROM events GROUP BY event_type""")
+def agg_service_counters(spark, sf_dir):
+    """AGG-10: processed / exception counters and the latest score per tag (events as the stream of
+    scored predictions; a value above 45 stands for a failed request)."""
+    ev = read_table(spark, sf_dir, "events").withColumn("is_error", F.col("value") > 45)
+    return service_counters(ev, "event_type", "ts", "value", "is_error", "event_id")
+
+
+@register("agg_texts_per_language", """
+SELECT lang, count(*) AS n_texts, count(*) FILTER (WHERE length(text) - length(replace(text, chr(10), '')) < 3)
+       AS n_short_texts FROM documents GROUP BY lang""")
+def agg_texts_per_language(spark, sf_dir):
+    """AGG-10: texts per language and texts with fewer than three line breaks (raw-signature path)."""
+    from mailsift.functions.text import newline_count
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_texts"),
+                                    F.count_if(newline_count("text") < 3).alias("n_short_texts"))
