@@ -17,10 +17,6 @@ from pyspark.sql import functions as F
 SPAN_TYPE = "array<struct<start:int,end:int,name:string>>"
 
 
-def _sql_literal(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def match_spans(text: Column | str, pattern: str, guard: Column | None = None) -> Column:
     """``array<struct<start,end,name>>`` of all non-overlapping matches.
 
@@ -44,10 +40,3 @@ def match_spans(text: Column | str, pattern: str, guard: Column | None = None) -
     skip = text.isNull() if guard is None else (text.isNull() | ~F.coalesce(guard, F.lit(False)))
     return F.when(skip, F.expr(f"cast(array() as {SPAN_TYPE})")).otherwise(
         F.aggregate(pairs, init, step, lambda s: s["acc"]))
-
-
-def first_word_offset(text: Column, quoted_value: Column) -> Column:
-    """Code-point offset of the first whole-word occurrence of a literal value, -1 if none."""
-    pattern = F.concat(F.lit(r"\b\Q"), quoted_value, F.lit(r"\E\b"))
-    head = F.element_at(F.split(text, pattern, 2), 1)
-    return F.when(F.regexp_like(text, pattern), F.length(head)).otherwise(F.lit(-1))

@@ -20,9 +20,6 @@ from mailsift import settings as S
 from mailsift.functions.text import strip_all
 from mailsift.operators.joins import join_checked
 
-PERF_SCHEMA = "Entity string, TP long, FP long, FN long, PRECISION double, RECALL double, F1_MEASURE double"
-
-
 # ---------------------------------------------------------------------------- wide <-> long
 def unpivot_tags(wide: DataFrame, id_col: str, tags: list[str] | None = None) -> DataFrame:
     """Wide -> ``(id, tag, cell)`` for the tag columns present (RSH, JON-3 input)."""

@@ -9,7 +9,7 @@ model rows, then pattern rows, then locations.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailsift import settings as S
@@ -75,7 +75,3 @@ def ner_map(ents: DataFrame, id_col: str = "doc_id") -> DataFrame:
     last = ents.groupBy(id_col, "entity").agg(F.max_by("name", "seq").alias("name"))
     return last.select(id_col, F.concat(F.lit(f"{S.SIGNATURE_LABEL}."), F.col("entity")).alias("key"),
                        F.col("name").alias("value"))
-
-
-def whole_token_column(name: Column, text: Column) -> Column:
-    return F.size(F.array_except(F.split(name, "[ \n:]", -1), F.split(text, "[ \n,:;]", -1))) == 0

@@ -9,7 +9,6 @@ a blacklisted name, and a city next to a number).
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from mailsift import settings as S
 from mailsift.operators.gazetteer import explode_gazetteer, gazetteer_hits, location_entities, resolve_locations

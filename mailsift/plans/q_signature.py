@@ -3,7 +3,6 @@ location (FUS-1..3, RSP-1..9, RSH-1, RSH-5, SPN-3..6, UDF-1, UDF-4, SRC-5..7).""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mailsift import settings as S

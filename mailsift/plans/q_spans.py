@@ -6,7 +6,6 @@ seconds) lasting ``floor(value*60)`` seconds, ordered by (start, event_id).
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mailsift.operators.spans import last_island, merge_spans, merge_spans_skewsafe, next_gap_skewsafe

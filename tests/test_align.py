@@ -1,7 +1,6 @@
 """Signature re-alignment against an independent Python statement of the algorithm."""
 import random
 
-from pyspark.sql import functions as F
 
 from mailsift.operators.align import align
 
