@@ -18,7 +18,8 @@ SIG_GAP = 3_600
 
 def event_spans(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
-    s = F.unix_seconds(F.col("ts").cast("timestamp"))  # stored as TIMESTAMP_NTZ; session zone is UTC
+    # ts is TIMESTAMP_NTZ: seconds since the epoch without any session-zone conversion
+    s = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     return ev.select("user_id", "event_type", "event_id", s.alias("start"),
                      (s + F.floor(F.col("value") * 60).cast("bigint")).alias("end"))
 

@@ -48,10 +48,16 @@ def start_parse_stream(spark: SparkSession, input_path: str, schema, output_path
 def windowed_counts(events: DataFrame, ts_col: str, key_col: str, window: str = "1 hour",
                     watermark: str = "2 hours") -> DataFrame:
     """STR-2: counts (and value sums) per tumbling window and key with a watermark."""
-    ts = F.col(ts_col).cast("timestamp")
+    # Watermarks need TIMESTAMP. A TIMESTAMP_NTZ event time is read as a UTC instant through its
+    # epoch microseconds, and the window start is printed back through NTZ, so neither step
+    # depends on the session time zone.
+    ts = F.col(ts_col)
+    if events.schema[ts_col].dataType.typeName() == "timestamp_ntz":
+        ts = F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts_col}`)"))
     e = events.withColumn("_ts", ts).withWatermark("_ts", watermark)
     g = e.groupBy(F.window("_ts", window).alias("w"), F.col(key_col)).agg(F.count(F.lit(1)).alias("n"))
-    return g.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), key_col, "n")
+    start = F.expr("timestampadd(SECOND, unix_seconds(w.start), TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+    return g.select(F.date_format(start, "yyyy-MM-dd HH:mm:ss").alias("window_start"), key_col, "n")
 
 
 def run_windowed_counts(spark: SparkSession, events_stream: DataFrame, query_name: str, checkpoint_path: str,
