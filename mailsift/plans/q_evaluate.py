@@ -280,3 +280,26 @@ SELECT rule, col AS "column", CAST(n AS BIGINT) AS n FROM (
 def dq_validate(spark, sf_dir):
     """DQ-2: violation counts per rule and column (valid = all zero)."""
     return validate_gold(_dq_source(spark, sf_dir))
+
+
+@register("flt_strip_empty", """
+SELECT event_id, value < 10 AS note_is_null, value < 20 AS meta_is_null,
+       '{"type":"' || event_type || '"' ||
+       CASE WHEN value < 10 THEN '' ELSE ',"note":"v' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || '"' END ||
+       CASE WHEN value < 20 THEN '' ELSE ',"meta":{"k":"' || json_extract_string(props, '$.k') || '"' ||
+            CASE WHEN value < 30 THEN '' ELSE ',"tag":"' || event_type || '"' END || '}' END || '}' AS json
+FROM events""")
+def flt_strip_empty(spark, sf_dir):
+    """FLT-5: empty members of a nested record removed recursively (empty struct -> NULL)."""
+    from mailsift.operators.quality import strip_empty
+    ev = read_table(spark, sf_dir, "events")
+    v = F.col("value")
+    rec = F.struct(
+        F.col("event_type").alias("type"),
+        F.when(v < 10, F.lit("")).otherwise(F.concat(F.lit("v"), F.floor(v).cast("string"))).alias("note"),
+        F.struct(F.when(v < 20, F.lit("")).otherwise(F.get_json_object("props", "$.k")).alias("k"),
+                 F.when(v < 30, F.lit("")).otherwise(F.col("event_type")).alias("tag")).alias("meta"))
+    x = ev.select("event_id", rec.alias("r"))
+    x = x.select("event_id", strip_empty(F.col("r"), x.schema["r"].dataType).alias("s"))
+    return x.select("event_id", F.col("s.note").isNull().alias("note_is_null"),
+                    F.col("s.meta").isNull().alias("meta_is_null"), F.to_json("s").alias("json"))

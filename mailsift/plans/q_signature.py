@@ -228,6 +228,17 @@ def model_entities(spark, sf_dir, texts):
         F.lit(1.0).alias("score"))
 
 
+def entities_for_blocks(spark, sigs, langs):
+    """FUS-3 core: model + pattern + gazetteer entities of signature blocks ``(doc_id, text)``,
+    fused and post-filtered (``langs``: ``(doc_id, lang)``)."""
+    ml = model_entities(spark, None, sigs)
+    rx = regex_entities(sigs)
+    gaz = gazetteer_df(spark)
+    locs = location_entities(resolve_locations(gazetteer_hits(sigs, gaz), gaz, sigs))
+    fused = fuse(ml, rx, locs, langs)
+    return post_filter(fused, sigs.join(langs, "doc_id"))
+
+
 def extract_entities(spark, sf_dir):
     """FUS-3: model + pattern + gazetteer entities fused and post-filtered for each located signature."""
     docs = read_text_table(spark, sf_dir, "documents", "doc_id", ["doc_id", "lang"])
@@ -235,13 +246,7 @@ def extract_entities(spark, sf_dir):
     # extractors, and a filter on a derived column must not be pushed into the alignment folds.
     located = cut_lineage(locate_signatures(spark, sf_dir).select("doc_id", F.col("signature").alias("text")))
     sigs = located.where(F.length("text") > 0)
-    ml = model_entities(spark, sf_dir, sigs)
-    rx = regex_entities(sigs)
-    gaz = gazetteer_df(spark)
-    locs = location_entities(resolve_locations(gazetteer_hits(sigs, gaz), gaz, sigs))
-    langs = docs.select("doc_id", "lang")
-    fused = fuse(ml, rx, locs, langs)
-    return sigs, post_filter(fused, sigs.join(langs, "doc_id"))
+    return sigs, entities_for_blocks(spark, sigs, docs.select("doc_id", "lang"))
 
 
 @register("fus_extract_entities")
@@ -274,3 +279,17 @@ def udf_detect_language(spark, sf_dir):
     w = docs.select("doc_id", "lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(S.WORD_PATTERN), 0)).alias("word"))
     prof = w.groupBy("lang", "word").agg(F.countDistinct("doc_id").alias("weight")).where(F.col("weight") >= 20)
     return detect_language(docs, prof)
+
+
+@register("rsp_parse_signatures")
+def rsp_parse_signatures(spark, sf_dir):
+    """RSP-7: signature-only pipeline — each conversation turn is taken as a signature block:
+    cleaned, entities extracted, first response element (rows-only: Python scorer)."""
+    from mailsift.functions.text import clean_mail_text
+    conv = read_table(spark, sf_dir, "conversations")
+    blocks = cut_lineage(conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),
+                                     clean_mail_text("text").alias("text")))
+    langs = blocks.select("doc_id", F.lit("en").alias("lang"))
+    ents = entities_for_blocks(spark, blocks.where(F.length("text") > 0), langs)
+    resp = build_responses(ents, blocks.select("doc_id", F.col("text").alias("block")))
+    return resp.select("doc_id", "parseStatusType", F.to_json("signatureFields").alias("signatureFields"))
