@@ -41,6 +41,12 @@ def _lit(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def sentence_hook(fn) -> "Column-function":
+    """UDF-2 hook: ``fn(list[str]) -> list[list[str]]`` sentence splitter per language model,
+    run Arrow-batched; the native default is :data:`settings.SENTENCE_PATTERN`."""
+    return tokenizer_hook(fn)
+
+
 def chunk_list(arr: Column, limit) -> Column:
     """SEG-1: fixed-size chunks of a list (last chunk may be short); ``limit`` int or Column."""
     lim = _lit(limit)

@@ -49,3 +49,22 @@ def test_file_readers(spark, tmp_path):
     (tmp_path / "p" / "email_prompt.json").write_text('{"TASK": "t", "FIELDS": ["email"]}')
     lib = read_prompt_library(spark, str(tmp_path / "p")).first()
     assert lib.name == "email" and lib.prompt.TASK == "t"
+
+
+def test_strip_empty_and_sender_rules(spark):
+    from mailsift.operators.quality import strip_empty
+    from mailsift.operators.response import ADDR, sender_data
+    df = spark.createDataFrame([("", ("", None)), ("x", ("y", ""))], "a string, m struct<p:string,q:string>")
+    s = df.select(F.struct("a", "m").alias("r"))
+    out = s.select(F.to_json(strip_empty(F.col("r"), s.schema["r"].dataType)).alias("j")).collect()
+    assert [r.j for r in out] == [None, '{"a":"x","m":{"p":"y"}}']
+    meta = F.struct(F.struct(F.lit("a@x.org").alias("address"), F.lit(None).cast("string").alias("displayName"))
+                    .alias("senderEmailAddress"),
+                    F.array(F.struct(F.lit("a@x.org").alias("address"), F.lit("Ann").alias("displayName")))
+                    .alias("fromEmailAddresses"),
+                    F.array(F.struct(F.lit("r@x.org").alias("address"), F.lit("R").alias("displayName")))
+                    .alias("replyToEmailAddresses"))
+    ents = F.array(F.struct(F.lit(0).alias("seq"), F.lit("EMAIL").alias("entity"), F.lit("a@x.org").alias("name")))
+    got = spark.range(1).select(sender_data(meta, ents).alias("s")).first().s
+    assert [(g.address, g.name, list(g.sourceTypes)) for g in got] == [
+        ("a@x.org", "Ann", ["SENDER", "FROM", "SIGNATURE_EMAIL_ADDRESS"])]
