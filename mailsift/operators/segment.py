@@ -192,6 +192,26 @@ def training_segments(blocks: DataFrame, group_cols: list[str], order_col: str,
                       F.flatten(F.transform(piece, lambda x: x["lab"])).alias("labels"))
 
 
+def training_segments_skewsafe(blocks: DataFrame, group_cols: list[str], order_col: str, text_col: str,
+                               label_col: str, max_tokens: int = S.TRAINING_TOKEN_LIMIT,
+                               limits: list[int] | None = None, num_partitions: int | None = None) -> DataFrame:
+    """SEG-4..7 without grouping a mail: sentence rows are packed by the range-partitioned packer
+    (:mod:`mailsift.operators.packing`); same rows as :func:`training_segments`."""
+    from mailsift.operators.packing import pack_overlapping_skewsafe
+    if limits is None:
+        lo, hi, st = (int(f * max_tokens / 10) for f in S.TRAINING_LIMIT_FRACTIONS)
+        limits = list(range(lo, hi, st))
+    clean = blocks.dropna(subset=[*group_cols, order_col, text_col, label_col])
+    x = clean.select(*group_cols, order_col, label_col, text_col,
+                     F.explode(F.array(*[F.lit(v) for v in limits])).alias("limit"))
+    x = x.select(*group_cols, "limit", order_col, label_col,
+                 F.posexplode_outer(sentence_tokens(F.col(text_col), F.col("limit"))).alias("_k", "tokens"))
+    rows = x.where(F.col("tokens").isNotNull()).select(
+        *group_cols, "limit", (F.col(order_col).cast("long") * 1_000_000 + F.col("_k")).alias("_pos"),
+        F.size("tokens").alias("_n"), "tokens", F.array_repeat(F.col(label_col), F.size("tokens")).alias("labels"))
+    return pack_overlapping_skewsafe(rows, group_cols, "_pos", "_n", "limit", ["tokens", "labels"], num_partitions)
+
+
 def token_rows_to_sequences(rows: DataFrame, group_cols: list[str], order_col: str, token_col: str = "token",
                             label_col: str = "label", tags: list[str] | None = None) -> DataFrame:
     """FLT-8 + FLT-4 + RSH-7: drop literal line-break tokens, optionally keep only listed

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from mailsift import settings as S
 from mailsift.operators.segment import (char_windows, chunk_list, inference_segments, lm_blocks,
-                                        token_rows_to_sequences, tokens, training_segments)
+                                        token_rows_to_sequences, tokens, training_segments,
+                                        training_segments_skewsafe)
 from mailsift.plans import sqlkit as K
 from mailsift.plans.registry import register
 from mailsift.session import read_table
@@ -100,6 +101,15 @@ def seg_training_segments(spark, sf_dir):
                       F.array_join("tokens", " ").alias("tokens"), F.array_join("labels", " ").alias("labels"))
 
 
+@register("seg_training_segments_skewsafe", _TRAIN_SQL)
+def seg_training_segments_skewsafe(spark, sf_dir):
+    """SEG-4..7 in the skew-safe physical form (no per-mail group; range-partitioned packer)."""
+    conv = read_table(spark, sf_dir, "conversations")
+    seg = training_segments_skewsafe(conv, ["conv_id"], "turn", "text", "role", limits=TRAIN_LIMITS)
+    return seg.select("conv_id", "limit", "segment_no", F.size("tokens").cast("int").alias("n_tokens"),
+                      F.array_join("tokens", " ").alias("tokens"), F.array_join("labels", " ").alias("labels"))
+
+
 @register("seg_lm_blocks", f"""
 WITH t AS (SELECT doc_id, doc_id // 1000 AS batch_id, regexp_extract_all(coalesce(text, ''), {TOK}) AS toks FROM documents),
 o AS (SELECT *, coalesce(sum(len(toks)) OVER (PARTITION BY batch_id ORDER BY doc_id

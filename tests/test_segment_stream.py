@@ -62,3 +62,18 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     got = run_windowed_counts(spark, stream, "test_str2", str(tmp_path / "ck"))
     batch = windowed_counts(spark.read.parquet(f"{src}/events.parquet"), "ts", "event_type")
     assert sorted(got.collect()) == sorted(batch.collect())
+
+
+def test_skewsafe_training_packer_hot_mail(spark):
+    from mailsift.operators.packing import with_previous
+    from mailsift.operators.segment import training_segments, training_segments_skewsafe
+    conv = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    # one mail holding every block: the in-row packer puts it in one task, the skew-safe one spreads it
+    hot = conv.select(F.lit(1).cast("long").alias("conv_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("turn"),
+                      "role", "text")
+    a = training_segments(hot, ["conv_id"], "turn", "text", "role", limits=[25, 100])
+    b = training_segments_skewsafe(hot, ["conv_id"], "turn", "text", "role", limits=[25, 100], num_partitions=12)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    df = spark.range(2000).select((F.col("id") % 3).alias("k"), "id", (F.col("id") % 5).alias("v"))
+    p = with_previous(df.repartitionByRange(7, "k", "id").sortWithinPartitions("k", "id"), ["k"], "id", ["v"])
+    assert p.where("prev_v IS NULL").count() == 3
