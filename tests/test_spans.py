@@ -40,3 +40,11 @@ def test_next_gap_skewsafe_equals_window(spark):
         for parts in (2, 16):
             b = next_gap_skewsafe(df, ["k"], ["start", "id"], fill_with_end=fill, num_partitions=parts).select("id", "diff")
             assert sorted(a.collect()) == sorted(b.collect()), (fill, parts)
+
+
+def test_auto_forms_agree(spark):
+    from mailsift.operators.spans import merge_spans_auto
+    df = _data(spark)
+    small = merge_spans_auto(df, ["k"], ["start", "id"], max_rows_per_group=10)      # -> skew-safe
+    large = merge_spans_auto(df, ["k"], ["start", "id"], max_rows_per_group=10 ** 9)  # -> window
+    assert sorted(small.collect()) == sorted(large.collect())
