@@ -99,11 +99,20 @@ def ext_phone_us_ca(spark, sf_dir):
     return phone_spans(read_table(spark, sf_dir, "documents"), ["us", "ca"])
 
 
-@register("ext_phone_uk_chn_fax")
-def ext_phone_uk_chn_fax(spark, sf_dir):
-    """EXT-5: uk (look-ahead, anchored) and chn phone patterns, plus us fax: rows-only check."""
+@register("ext_phone_uk")
+def ext_phone_uk(spark, sf_dir):
+    """EXT-5: the uk pattern (look-ahead, anchored; RE2 rejects it): rows-only check."""
+    return phone_spans(read_table(spark, sf_dir, "documents"), ["uk"])
+
+
+@register("ext_phone_chn_fax", _phone_sql("documents", "doc_id", "text", ["chn"]) + f"""
+UNION ALL
+SELECT doc_id, 'us_fax' AS region, CAST(i - 1 AS INTEGER) AS seq, "start", "end", name
+FROM {K.spans('documents', 'doc_id', 'text', S.FAX_PATTERNS['us'])}""")
+def ext_phone_chn_fax(spark, sf_dir):
+    """EXT-5: chn mobile pattern and the us fax pattern over documents."""
     docs = read_table(spark, sf_dir, "documents")
-    phones = phone_spans(docs, ["uk", "chn"])
+    phones = phone_spans(docs, ["chn"])
     fax = phone_spans(docs, ["us"], fax=True).withColumn("region", F.lit("us_fax"))
     return phones.unionByName(fax)
 
@@ -132,9 +141,16 @@ def agg_entity_counts_by_lang(spark, sf_dir):
     return entity_counts_plan(spark, sf_dir)
 
 
-@register("agg_entity_counts_clean_pages")
+def _clean_pages_sql():
+    from mailsift.plans.q_clean import sql_clean
+    src = f"(SELECT page_id, {sql_clean('html')} AS text FROM pages)"
+    return f"""WITH e AS ({_entities_sql(src, 'page_id', 'text')})
+SELECT entity, count(*) AS n_entities, count(DISTINCT page_id) AS n_docs FROM e GROUP BY entity"""
+
+
+@register("agg_entity_counts_clean_pages", _clean_pages_sql())
 def agg_entity_counts_clean_pages(spark, sf_dir):
-    """AGG-10 over cleaned pages: entities per tag after the mail cleaning chain (rows-only)."""
+    """AGG-10 over cleaned pages: entities per tag after the mail cleaning chain."""
     pages = read_table(spark, sf_dir, "pages")
     cleaned = pages.select("page_id", clean_mail_text("html").alias("text"))
     ents = regex_entities(cleaned, id_col="page_id")
@@ -162,3 +178,13 @@ def agg_texts_per_language(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_texts"),
                                     F.count_if(newline_count("text") < 3).alias("n_short_texts"))
+
+
+@register("ext_phone_uk_chn_fax")
+def ext_phone_uk_chn_fax(spark, sf_dir):
+    """EXT-5: uk (look-ahead, anchored) and chn phone patterns, plus us fax, in one table (rows-only;
+    the chn/fax part is also checked exactly as ``ext_phone_chn_fax``)."""
+    docs = read_table(spark, sf_dir, "documents")
+    phones = phone_spans(docs, ["uk", "chn"])
+    fax = phone_spans(docs, ["us"], fax=True).withColumn("region", F.lit("us_fax"))
+    return phones.unionByName(fax)
