@@ -20,6 +20,8 @@ from mailsift.plans.q_extract import _entities_sql, _phone_sql
 from mailsift.plans.q_gazetteer import gazetteer_df
 from mailsift.plans.registry import register
 from mailsift.session import cut_lineage, read_table
+
+WSQ = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 from mailsift.sources.readers import read_text_table
 
 
@@ -212,9 +214,73 @@ def locate_signatures(spark, sf_dir):
                     F.col("a.end").alias("signature_end_index"))
 
 
-@register("sig_locate_signatures")
+
+
+def _strip_sql(x):
+    return f"regexp_replace({x}, '^{WSQ}+|{WSQ}+$', '', 'g')"
+
+
+def _locate_sql() -> str:
+    base = _SIG_SQL.strip()
+    assert base.startswith("WITH ")
+    body_ctes = base[len("WITH "):]
+    last_select = body_ctes.rindex("\nSELECT sg.doc_id")
+    ctes, final = body_ctes[:last_select], body_ctes[last_select:]
+    return f"""WITH {ctes},
+sig AS ({final}),
+j AS (SELECT d.doc_id, d.text, r.signature AS raw FROM documents d
+      LEFT JOIN (SELECT doc_id, signature FROM sig WHERE segment_no = 0) r ON d.doc_id = r.doc_id),
+a0 AS (SELECT doc_id, text, raw, {_strip_sql("coalesce(raw, '')")} AS resp FROM j),
+a1 AS (SELECT *, list_filter(string_split({_strip_sql("substr(resp, 2, greatest(length(resp) - 2, 0))")}, ' '),
+                             lambda x: x <> '') AS parts FROM a0),
+a2 AS (SELECT *, list_filter(list_transform(parts, lambda p: {{'p': p, 'k': len(string_split(text, p)) - 1,
+                 'first': length(string_split(text, p)[1]),
+                 'last': length(text) - length(string_split(text, p)[-1]) - length(p)}}), lambda x: x.k > 0) AS v FROM a1),
+a3 AS (SELECT *, len(v) AS n, list_min(list_transform(v, lambda x: x.k)) AS min_n FROM a2),
+a4 AS (SELECT *, list_transform(v, lambda x: {{'p': x.p, 'single': x.k = 1 OR (min_n > 1 AND x.k = min_n),
+                 'val': CASE WHEN x.k = 1 THEN x.first ELSE x.last END}}) AS marked FROM a3),
+a5 AS (SELECT *, list_position(list_transform(marked, lambda x: x.single), true) AS si FROM a4),
+a6 AS (SELECT *, marked[si].val AS anchor, list_reverse(list_slice(marked, 1, si - 1)) AS lft,
+              list_slice(marked, si + 1, n) AS rgt FROM a5 WHERE n > 0 AND length(resp) >= 10),
+a7 AS (SELECT *,
+   list_reduce(lft, lambda m, x: coalesce(CASE WHEN x.single THEN (CASE WHEN x.val < greatest(0, m - 1) THEN x.val END)
+     ELSE (CASE WHEN len(string_split(substr(text, 1, greatest(greatest(0, m - 1) - 1 + length(x.p), 0)), x.p)) > 1
+                THEN length(substr(text, 1, greatest(greatest(0, m - 1) - 1 + length(x.p), 0)))
+                     - length(string_split(substr(text, 1, greatest(greatest(0, m - 1) - 1 + length(x.p), 0)), x.p)[-1])
+                     - length(x.p) END) END, m), anchor) AS lo,
+   list_reduce(rgt, lambda m, x: coalesce(CASE WHEN x.single THEN (CASE WHEN x.val > least(length(text), m + 1) THEN x.val END)
+     ELSE (CASE WHEN strpos(substr(text, (CASE WHEN len(string_split(substr(text, 1, least(length(text), m + 1) + length(x.p)), x.p)) > 1
+                 THEN length(substr(text, 1, least(length(text), m + 1) + length(x.p)))
+                      - length(string_split(substr(text, 1, least(length(text), m + 1) + length(x.p)), x.p)[-1]) ELSE 0 END) + 1), x.p) > 0
+           THEN (CASE WHEN len(string_split(substr(text, 1, least(length(text), m + 1) + length(x.p)), x.p)) > 1
+                 THEN length(substr(text, 1, least(length(text), m + 1) + length(x.p)))
+                      - length(string_split(substr(text, 1, least(length(text), m + 1) + length(x.p)), x.p)[-1]) ELSE 0 END)
+                + strpos(substr(text, (CASE WHEN len(string_split(substr(text, 1, least(length(text), m + 1) + length(x.p)), x.p)) > 1
+                 THEN length(substr(text, 1, least(length(text), m + 1) + length(x.p)))
+                      - length(string_split(substr(text, 1, least(length(text), m + 1) + length(x.p)), x.p)[-1]) ELSE 0 END) + 1), x.p) - 1
+           END) END, m), anchor) AS hi0
+   FROM a6),
+a8 AS (SELECT doc_id, text, raw, CAST(lo AS INTEGER) AS lo,
+              CAST(least(hi0 + length(v[-1].p), length(text)) AS INTEGER) AS hi FROM a7),
+a9 AS (SELECT *, substr(text, 1, lo) AS bef, substr(text, hi + 1) AS aft FROM a8),
+cut AS (SELECT doc_id, text, raw,
+          CASE WHEN strpos(bef, chr(10)) > 0 THEN substr(bef, 1, length(bef) - length(string_split(bef, chr(10))[-1]) - 1) ELSE '' END AS body,
+          string_split(bef, chr(10))[-1] || substr(text, lo + 1, hi - lo) || string_split(aft, chr(10))[1] AS sig,
+          CASE WHEN strpos(aft, chr(10)) > 0 THEN substr(aft, length(string_split(aft, chr(10))[1]) + 2) ELSE '' END AS tail,
+          lo, hi FROM a9),
+allr AS (SELECT j.doc_id, j.text, j.raw, coalesce(c.body, j.text) AS body, coalesce(c.sig, '') AS sig,
+                coalesce(c.tail, '') AS tail, coalesce(c.lo, -1) AS lo, coalesce(c.hi, -1) AS hi
+         FROM j LEFT JOIN cut c ON j.doc_id = c.doc_id)
+SELECT doc_id, body,
+       CASE WHEN length(text) - length(replace(text, chr(10), '')) < 3 THEN coalesce(raw, '') ELSE sig END AS signature,
+       tail, CAST(lo AS INTEGER) AS signature_start_index, CAST(hi AS INTEGER) AS signature_end_index
+FROM allr"""
+
+
+@register("sig_locate_signatures", _locate_sql())
 def sig_locate_signatures(spark, sf_dir):
-    """SPN-5/SPN-6 (rows-only; the alignment is checked against a Python spec in tests)."""
+    """SPN-5/SPN-6: first segment's signature re-aligned onto the text (also checked against a
+    Python statement of the algorithm in tests)."""
     return locate_signatures(spark, sf_dir)
 
 
