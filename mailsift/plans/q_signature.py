@@ -18,6 +18,7 @@ from mailsift.operators.spans import find_signature, merge_spans
 from mailsift.plans import sqlkit as K
 from mailsift.plans.q_extract import _entities_sql, _phone_sql
 from mailsift.plans.q_gazetteer import gazetteer_df
+from mailsift.plans.q_segment import _inference_sql
 from mailsift.plans.registry import register
 from mailsift.session import cut_lineage, read_table
 
@@ -164,18 +165,8 @@ def signature_predictions(spark, sf_dir):
     return segs, score_tokens(segs, ["doc_id", "segment_no"], "text", LastLinesScorer, "last-lines-3")
 
 
-@register("sig_token_predictions")
-def sig_token_predictions(spark, sf_dir):
-    """UDF-1/SPN-4: Arrow-batched scorer over ≤400-token segments (rows-only: Python scorer)."""
-    segs, preds = signature_predictions(spark, sf_dir)
-    starts = segs.select("doc_id", "segment_no", F.col("start").alias("seg_start"))
-    return preds.join(starts, ["doc_id", "segment_no"]).select(
-        "doc_id", "segment_no", "token_no", (F.col("start") + F.col("seg_start")).alias("start"),
-        (F.col("end") + F.col("seg_start")).alias("end"), "entity", "score")
-
-
 _SIG_SQL = f"""
-WITH segs AS ({__import__('mailsift.plans.q_segment', fromlist=['_inference_sql'])._inference_sql(S.INFERENCE_TOKEN_LIMIT)}),
+WITH segs AS ({_inference_sql(S.INFERENCE_TOKEN_LIMIT)}),
 sg AS (SELECT doc_id * 10000 + segment_no AS sid, doc_id, segment_no, "start" AS seg_start, text FROM segs WHERE length(text) > 0),
 tk AS {K.spans('sg', 'sid', 'text', r'[^ \t\n\r\f]+')},
 lab AS (SELECT tk.sid, tk.i, tk."start", tk."end",
@@ -192,6 +183,26 @@ SELECT sg.doc_id, sg.segment_no,
 FROM sg LEFT JOIN agg ON sg.sid = agg.sid"""
 
 
+def _token_preds_sql() -> str:
+    base = _SIG_SQL.strip()[len("WITH "):]
+    ctes = base[:base.rindex("\nagg AS")].rstrip().rstrip(",")
+    return f"""WITH {ctes}
+SELECT sg.doc_id, sg.segment_no, CAST(lab.i - 1 AS INTEGER) AS token_no,
+       CAST(lab."start" + sg.seg_start AS INTEGER) AS "start", CAST(lab."end" + sg.seg_start AS INTEGER) AS "end",
+       lab.entity, CAST(1.0 AS DOUBLE) AS score
+FROM lab JOIN sg ON lab.sid = sg.sid"""
+
+
+@register("sig_token_predictions", _token_preds_sql())
+def sig_token_predictions(spark, sf_dir):
+    """UDF-1/SPN-4: Arrow-batched scorer over ≤400-token segments; global token offsets."""
+    segs, preds = signature_predictions(spark, sf_dir)
+    starts = segs.select("doc_id", "segment_no", F.col("start").alias("seg_start"))
+    return preds.join(starts, ["doc_id", "segment_no"]).select(
+        "doc_id", "segment_no", "token_no", (F.col("start") + F.col("seg_start")).alias("start"),
+        (F.col("end") + F.col("seg_start")).alias("end"), "entity", "score")
+
+
 @register("sig_find_signature", _SIG_SQL)
 def sig_find_signature(spark, sf_dir):
     """SPN-3: per segment body/signature, match flag and global offsets from the predictions."""
