@@ -71,14 +71,21 @@ def _adj(s):
     return " OR ".join(parts)
 
 
-_HITS = f"""
+def hits_sql(src: str = "documents") -> str:
+    return f"""
 gaz AS {_gaz_values()},
 hits AS (SELECT d.doc_id, g.country_pos, g.kind, g.state_pos, g.item_pos, g.surface,
                 CAST(length(regexp_extract(d.text, {_pat('g.surface')}, 1)) AS INTEGER) AS "start",
                 (g.kind = 'city' AND ({_adj('g.surface')})) AS adjacent
-         FROM documents d CROSS JOIN gaz g WHERE contains(d.text, g.surface) AND regexp_matches(d.text, {_pat('g.surface')}))"""
+         FROM {src} d CROSS JOIN gaz g WHERE contains(d.text, g.surface) AND regexp_matches(d.text, {_pat('g.surface')}))"""
 
-_LOCS = f"""WITH {_HITS},
+
+_HITS = hits_sql()
+
+
+def locs_sql(src: str = "documents") -> str:
+    """CTE chain ending in ``out``: resolved locations for the texts of ``src`` (doc_id, text)."""
+    return f"""{hits_sql(src)},
 C AS (SELECT doc_id, country_pos, surface, min(state_pos * 1000000 + item_pos) AS crank, min("start") AS "start",
              bool_or(adjacent) AS adjacent FROM hits WHERE kind = 'city' GROUP BY doc_id, country_pos, surface),
 has_city AS (SELECT DISTINCT doc_id, country_pos FROM C),
@@ -117,6 +124,9 @@ out AS (SELECT l.doc_id, l.country_pos, l.kind, l.surface, l.rank.a AS rank_a, l
         FROM locs l JOIN keep k ON l.doc_id = k.doc_id AND l.country_pos = k.country_pos)"""
 
 
+_LOCS = "WITH " + locs_sql()
+
+
 @register("gaz_hits", f"WITH {_HITS} SELECT doc_id, country_pos, kind, state_pos, item_pos, surface, \"start\", adjacent FROM hits")
 def gaz_hits(spark, sf_dir):
     """EXT-6/JON-7/EXT-11: whole-word gazetteer hits with first-occurrence offsets."""

@@ -326,9 +326,68 @@ def extract_entities(spark, sf_dir):
     return sigs, entities_for_blocks(spark, sigs, docs.select("doc_id", "lang"))
 
 
-@register("fus_extract_entities")
+def _extract_sql() -> str:
+    from mailsift.operators.score import _ORG_WORDS
+    from mailsift.plans.q_gazetteer import locs_sql
+    gord = "CASE entity WHEN 'ADDRESS_COUNTRY' THEN 1 WHEN 'ADDRESS_COUNTRY_DIVISION' THEN 2 ELSE 3 END * 1000 + country_pos"
+    return f"""WITH loc AS ({_locate_sql()}),
+sigs AS (SELECT doc_id, signature AS text FROM loc WHERE length(signature) > 0),
+mtk AS {K.spans('sigs', 'doc_id', 'text', r'[^ \t\n\r\f]+')},
+mf AS (SELECT t.doc_id, t.i, t.name, t."start", t."end",
+              length(substr(s.text, 1, t."start")) - length(replace(substr(s.text, 1, t."start"), chr(10), '')) AS line,
+              length(regexp_replace(t.name, '[^0-9]', '', 'g')) AS digits,
+              {K.in_list('t.name', sorted(_ORG_WORDS))} AS org,
+              regexp_matches(t.name, '^\p{{Lu}}') AND regexp_full_match(t.name, '\p{{L}}+') AS ua
+       FROM mtk t JOIN sigs s ON t.doc_id = s.doc_id),
+mg AS (SELECT *, line <> coalesce(lag(line) OVER (PARTITION BY doc_id ORDER BY i), -1) AS fil FROM mf),
+mh AS (SELECT *, CASE WHEN digits >= 9 THEN 'PHONE_OFFICE' WHEN org THEN 'ORGANIZATION'
+                      WHEN ua AND fil THEN 'NAME_GIVEN' END AS l0 FROM mg),
+mlab AS (SELECT doc_id, i, "start", "end", coalesce(l0, CASE WHEN ua AND NOT fil
+               AND lag(l0) OVER (PARTITION BY doc_id ORDER BY i) = 'NAME_GIVEN' THEN 'NAME_SURNAME' END) AS entity FROM mh),
+mi AS (SELECT *, sum(CASE WHEN pe IS NULL OR "start" - pe >= 4 THEN 1 ELSE 0 END)
+                 OVER (PARTITION BY doc_id, entity ORDER BY i ROWS UNBOUNDED PRECEDING) AS isl
+       FROM (SELECT *, lag("end") OVER (PARTITION BY doc_id, entity ORDER BY i) AS pe FROM mlab WHERE entity IS NOT NULL) z),
+ml AS (SELECT m.doc_id, m.s AS "start", m.e AS "end", m.entity, substr(s.text, m.s + 1, m.e - m.s) AS name, CAST(1.0 AS DOUBLE) AS score
+       FROM (SELECT doc_id, entity, isl, arg_min("start", i) AS s, arg_max("end", i) AS e FROM mi GROUP BY doc_id, entity, isl) m
+       JOIN sigs s ON m.doc_id = s.doc_id),
+rx AS ({_entities_sql('sigs', 'doc_id', 'text')}),
+gl AS (WITH {locs_sql('sigs')} SELECT * FROM out),
+gfirst AS (SELECT doc_id, country_pos, "start", "end",
+                  CASE kind WHEN 'city' THEN 'ADDRESS_CITY' WHEN 'state' THEN 'ADDRESS_COUNTRY_DIVISION' ELSE 'ADDRESS_COUNTRY' END AS entity,
+                  surface AS name FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, country_pos, kind
+                                                                        ORDER BY rank_a, rank_b, surface) AS r FROM gl) q
+           WHERE r = 1 AND NOT {K.in_list('surface', S.LOCATION_BLACKLIST)}),
+langs AS (SELECT doc_id, lang FROM documents),
+names_orgs AS (SELECT DISTINCT doc_id, name FROM ml WHERE {K.in_list('entity', S.NAME_OR_ORG_TAGS)}),
+fused0 AS (
+  SELECT ml.doc_id, l.lang, 0 AS src, ml."start" AS o, ml."start", ml."end", ml.entity, ml.name, ml.score
+  FROM ml JOIN langs l ON ml.doc_id = l.doc_id WHERE {K.in_list('ml.entity', S.FUSION_ML_TAGS)}
+  UNION ALL
+  SELECT rx.doc_id, l.lang, 1, rx.seq, rx."start", rx."end", rx.entity, rx.name, rx.score
+  FROM rx JOIN langs l ON rx.doc_id = l.doc_id WHERE {K.in_list('rx.entity', S.FUSION_REGEX_TAGS)}
+  UNION ALL
+  SELECT g.doc_id, l.lang, 2, {gord}, g."start", g."end", g.entity, g.name, CAST(1.0 AS DOUBLE)
+  FROM gfirst g JOIN langs l ON g.doc_id = l.doc_id
+  WHERE l.lang = 'en' AND NOT EXISTS (SELECT 1 FROM names_orgs n WHERE n.doc_id = g.doc_id AND n.name = g.name)),
+fused AS (SELECT doc_id, lang, "start", "end", entity, name, score,
+                 CAST(row_number() OVER (PARTITION BY doc_id ORDER BY src, o, "start", entity) - 1 AS INTEGER) AS seq
+          FROM fused0),
+pf0 AS (SELECT f.*, s.text, regexp_matches(f.name, '[,.;:]$') AS tr FROM fused f JOIN sigs s ON f.doc_id = s.doc_id),
+pf1 AS (SELECT doc_id, lang, "start", entity, score, seq, text,
+               CAST(CASE WHEN tr THEN "end" - 1 ELSE "end" END AS INTEGER) AS "end",
+               CASE WHEN tr THEN substr(name, 1, length(name) - 1) ELSE name END AS name FROM pf0),
+pf2 AS (SELECT *, regexp_replace(name, '^ +| +$', '', 'g') AS bs FROM pf1)
+SELECT doc_id, lang, "start", "end", entity, name, score, seq FROM pf2
+WHERE (length(bs) < 2 OR strpos(substr(bs, 2, length(bs) - 2), chr(10)) = 0)
+  AND (NOT {K.in_list('entity', S.PHONE_TAGS)} OR length(regexp_replace(name, '[^0-9]', '', 'g')) > 8)
+  AND (lang <> 'en' OR len(list_filter(string_split_regex(name, '[ \n:]'),
+           lambda p: NOT list_contains(string_split_regex(text, '[ \n,:;]'), p))) = 0)"""
+
+
+@register("fus_extract_entities", _extract_sql())
 def fus_extract_entities(spark, sf_dir):
-    """FUS-1/FUS-3: fused, filtered entities of every located signature (rows-only: Python scorer)."""
+    """FUS-1/FUS-3: model (NER scorer hook), pattern and gazetteer entities of every located
+    signature, fused and post-filtered."""
     return extract_entities(spark, sf_dir)[1]
 
 
