@@ -66,22 +66,23 @@ def fus_post_filter(spark, sf_dir):
     return filtered_entities(spark, sf_dir)[1].select("doc_id", "seq", "start", "end", "entity", "name", "score", "lang")
 
 
-def _resp_long_sql() -> str:
+def _resp_long_sql(prefix: str | None = None, ents: str = "pf", docs: str = "documents") -> str:
+    """Flattened responses for every row of ``docs`` from entity rows ``ents`` (id, seq, entity, name)."""
     from mailsift.operators.response import RESPONSE_TAGS
     parts = []
     for i, (tag, lst, val, ptype) in enumerate(RESPONSE_TAGS):
         src = {"names": None, "phoneNumbers": f"PHONE_{ptype}" if ptype else None}.get(lst, tag)
         if lst == "names":
             parts.append(f"""SELECT d.doc_id, CAST({i} * 100000 AS INTEGER) AS pos, {K.q(tag)} AS entity,
-                coalesce((SELECT arg_min(name, seq) FROM pf WHERE pf.doc_id = d.doc_id AND pf.entity = {K.q(tag)}), '') AS name
-                FROM documents d""")
+                coalesce((SELECT arg_min(name, seq) FROM {ents} pf WHERE pf.doc_id = d.doc_id AND pf.entity = {K.q(tag)}), '') AS name
+                FROM {docs} d""")
         else:
             ent = src if lst != "phoneNumbers" else f"PHONE_{ptype}"
             parts.append(f"""SELECT doc_id, CAST({i} * 100000 + row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS INTEGER),
-                {K.q(tag)}, name FROM pf WHERE entity = {K.q(ent)}
+                {K.q(tag)}, name FROM {ents} WHERE entity = {K.q(ent)}
                 UNION ALL SELECT d.doc_id, CAST({i} * 100000 AS INTEGER), {K.q(tag)}, ''
-                FROM documents d WHERE NOT EXISTS (SELECT 1 FROM pf WHERE pf.doc_id = d.doc_id AND pf.entity = {K.q(ent)})""")
-    return f"WITH {_ENTS_SQL}\n" + "\nUNION ALL\n".join(parts)
+                FROM {docs} d WHERE NOT EXISTS (SELECT 1 FROM {ents} pf WHERE pf.doc_id = d.doc_id AND pf.entity = {K.q(ent)})""")
+    return f"WITH {prefix or _ENTS_SQL}\n" + "\nUNION ALL\n".join(parts)
 
 
 @register("rsp_response_long", _resp_long_sql())
@@ -429,3 +430,22 @@ def rsp_parse_signatures(spark, sf_dir):
     ents = entities_for_blocks(spark, blocks.where(F.length("text") > 0), langs)
     resp = build_responses(ents, blocks.select("doc_id", F.col("text").alias("block")))
     return resp.select("doc_id", "parseStatusType", F.to_json("signatureFields").alias("signatureFields"))
+
+
+def _parse_bodies_long_sql() -> str:
+    chain = _extract_sql()
+    head, final = chain[len("WITH "):].rsplit("\nSELECT doc_id, lang,", 1)
+    prefix = f"""{head},
+fin AS (SELECT doc_id, lang,{final}),
+blocks AS (SELECT doc_id FROM sigs)"""
+    return _resp_long_sql(prefix, ents="fin", docs="blocks")
+
+
+@register("rsp_parse_bodies_long", _parse_bodies_long_sql())
+def rsp_parse_bodies_long(spark, sf_dir):
+    """RSP-6 + RSH-1: the body pipeline's nested responses flattened to (tag, value) rows (documents
+    without a signature block give NO_SIGNATURE_BLOCK and no rows)."""
+    sigs, ents = extract_entities(spark, sf_dir)
+    docs = read_text_table(spark, sf_dir, "documents", "doc_id", ["doc_id"])
+    blocks = docs.join(sigs, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("block"))
+    return response_to_long(build_responses(ents, blocks))
