@@ -327,12 +327,15 @@ def extract_entities(spark, sf_dir):
     return sigs, entities_for_blocks(spark, sigs, docs.select("doc_id", "lang"))
 
 
-def _extract_sql() -> str:
+def _extract_sql(blocks_sql: str | None = None, langs_sql: str = "SELECT doc_id, lang FROM documents") -> str:
+    """Full extraction chain over ``sigs(doc_id, text)``: by default the located signatures of
+    the documents, or the blocks given by ``blocks_sql``."""
     from mailsift.operators.score import _ORG_WORDS
     from mailsift.plans.q_gazetteer import locs_sql
     gord = "CASE entity WHEN 'ADDRESS_COUNTRY' THEN 1 WHEN 'ADDRESS_COUNTRY_DIVISION' THEN 2 ELSE 3 END * 1000 + country_pos"
-    return f"""WITH loc AS ({_locate_sql()}),
-sigs AS (SELECT doc_id, signature AS text FROM loc WHERE length(signature) > 0),
+    src = (f"loc AS ({_locate_sql()}),\nsigs AS (SELECT doc_id, signature AS text FROM loc WHERE length(signature) > 0)"
+           if blocks_sql is None else f"sigs AS ({blocks_sql})")
+    return f"""WITH {src},
 mtk AS {K.spans('sigs', 'doc_id', 'text', r'[^ \t\n\r\f]+')},
 mf AS (SELECT t.doc_id, t.i, t.name, t."start", t."end",
               length(substr(s.text, 1, t."start")) - length(replace(substr(s.text, 1, t."start"), chr(10), '')) AS line,
@@ -358,7 +361,7 @@ gfirst AS (SELECT doc_id, country_pos, "start", "end",
                   surface AS name FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, country_pos, kind
                                                                         ORDER BY rank_a, rank_b, surface) AS r FROM gl) q
            WHERE r = 1 AND NOT {K.in_list('surface', S.LOCATION_BLACKLIST)}),
-langs AS (SELECT doc_id, lang FROM documents),
+langs AS ({langs_sql}),
 names_orgs AS (SELECT DISTINCT doc_id, name FROM ml WHERE {K.in_list('entity', S.NAME_OR_ORG_TAGS)}),
 fused0 AS (
   SELECT ml.doc_id, l.lang, 0 AS src, ml."start" AS o, ml."start", ml."end", ml.entity, ml.name, ml.score
@@ -449,3 +452,28 @@ def rsp_parse_bodies_long(spark, sf_dir):
     docs = read_text_table(spark, sf_dir, "documents", "doc_id", ["doc_id"])
     blocks = docs.join(sigs, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("block"))
     return response_to_long(build_responses(ents, blocks))
+
+
+def _parse_signatures_long_sql() -> str:
+    from mailsift.plans.q_clean import sql_clean
+    blocks = f"SELECT conv_id * 1000 + turn AS doc_id, {sql_clean('text')} AS text FROM conversations"
+    chain = _extract_sql(f"SELECT * FROM ({blocks}) b WHERE length(text) > 0",
+                         f"SELECT conv_id * 1000 + turn AS doc_id, 'en' AS lang FROM conversations")
+    head, final = chain[len("WITH "):].rsplit("\nSELECT doc_id, lang,", 1)
+    prefix = f"""{head},
+fin AS (SELECT doc_id, lang,{final}),
+blocks AS (SELECT doc_id FROM sigs)"""
+    return _resp_long_sql(prefix, ents="fin", docs="blocks")
+
+
+@register("rsp_parse_signatures_long", _parse_signatures_long_sql())
+def rsp_parse_signatures_long(spark, sf_dir):
+    """RSP-7 + RSH-1: signature-only pipeline (each conversation turn as a signature block),
+    nested responses flattened to (tag, value) rows."""
+    from mailsift.functions.text import clean_mail_text
+    conv = read_table(spark, sf_dir, "conversations")
+    blocks = cut_lineage(conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),
+                                     clean_mail_text("text").alias("text")))
+    langs = blocks.select("doc_id", F.lit("en").alias("lang"))
+    ents = entities_for_blocks(spark, blocks.where(F.length("text") > 0), langs)
+    return response_to_long(build_responses(ents, blocks.select("doc_id", F.col("text").alias("block"))))
