@@ -99,9 +99,19 @@ def ext_phone_us_ca(spark, sf_dir):
     return phone_spans(read_table(spark, sf_dir, "documents"), ["us", "ca"])
 
 
-@register("ext_phone_uk")
+# The uk pattern is anchored at both ends and '.' stops at line breaks, so its look-ahead only
+# asks for at least ten digits on the (single) matched line; RE2 form for the oracle. Java's '$'
+# may also stop before one final line terminator.
+_UK_SQL = r"""
+SELECT doc_id, 'uk' AS region, 0 AS seq, 0 AS "start", CAST(length(body) AS INTEGER) AS "end", body AS name
+FROM (SELECT doc_id, regexp_replace(text, '(\r\n|[\n\r\x{85}\x{2028}\x{2029}])$', '') AS body FROM documents) d
+WHERE regexp_full_match(body, '(\+?44)?( ?\(\d+\))?[ \d]+(#\d+)?')
+  AND length(regexp_replace(body, '[^0-9]', '', 'g')) >= 10"""
+
+
+@register("ext_phone_uk", _UK_SQL)
 def ext_phone_uk(spark, sf_dir):
-    """EXT-5: the uk pattern (look-ahead, anchored; RE2 rejects it): rows-only check."""
+    """EXT-5: the uk pattern (anchored, with a look-ahead) over documents."""
     return phone_spans(read_table(spark, sf_dir, "documents"), ["uk"])
 
 
@@ -180,10 +190,12 @@ def agg_texts_per_language(spark, sf_dir):
                                     F.count_if(newline_count("text") < 3).alias("n_short_texts"))
 
 
-@register("ext_phone_uk_chn_fax")
+@register("ext_phone_uk_chn_fax", _UK_SQL + "\nUNION ALL\n" + _phone_sql("documents", "doc_id", "text", ["chn"]) + f"""
+UNION ALL
+SELECT doc_id, 'us_fax' AS region, CAST(i - 1 AS INTEGER) AS seq, "start", "end", name
+FROM {K.spans('documents', 'doc_id', 'text', S.FAX_PATTERNS['us'])}""")
 def ext_phone_uk_chn_fax(spark, sf_dir):
-    """EXT-5: uk (look-ahead, anchored) and chn phone patterns, plus us fax, in one table (rows-only;
-    the chn/fax part is also checked exactly as ``ext_phone_chn_fax``)."""
+    """EXT-5: uk (look-ahead, anchored) and chn phone patterns, plus us fax, in one table."""
     docs = read_table(spark, sf_dir, "documents")
     phones = phone_spans(docs, ["uk", "chn"])
     fax = phone_spans(docs, ["us"], fax=True).withColumn("region", F.lit("us_fax"))

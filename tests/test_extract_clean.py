@@ -29,3 +29,19 @@ def test_cleaning_chain(spark):
 def test_language_map(spark):
     df = spark.createDataFrame([("cn",), ("zh_hant",), ("fr",)], "l string")
     assert [r.m for r in df.select(T.map_language("l").alias("m")).collect()] == ["zh-hans", "zh-hant", "fr"]
+
+
+def test_uk_phone_rewrite_agrees(spark):
+    import duckdb
+
+    from mailsift.operators.extract import phone_spans
+    from mailsift.plans.q_extract import _UK_SQL
+    texts = ["+44 (20) 7946 0958", "020 7946 0958 #12\n", "7946 0958", "call +44 20 7946 0958 now", "44 1234 567890"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {(r.doc_id, r.start, r.end, r.name) for r in
+           phone_spans(spark.createDataFrame(rows, "doc_id long, text string"), ["uk"]).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = {(r[0], r[3], r[4], r[5]) for r in con.sql(_UK_SQL).fetchall()}
+    assert got == want and len(got) == 3
