@@ -40,3 +40,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mailsift.llm import quality_rules as op
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return op.quality(docs, name="q", with_text=False).select("doc_id", F.col("q.*"))
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mailsift.llm import substring_words as op
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op.dedup(docs).drop("removed", "kept")
+
+
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mailsift.llm import substring_bytes as op
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op.dedup(docs).drop("removed", "kept")
