@@ -54,3 +54,9 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mailsift.llm import substring_bytes as op
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return op.dedup(docs).drop("removed", "kept")
+
+
+@query
+def op8_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mailsift.llm import near_dup as op
+    return op.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
