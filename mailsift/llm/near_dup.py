@@ -7,8 +7,8 @@
    node): a region of any size is spread over tasks, the rows at the borders are joined up in a second step.
 3. For every node its best candidate (sum of common depths over the trees) is confirmed on the full sets of both texts and
    links are contracted to components. The next rounds look, in regions that hold several components, at many more nodes
-   of *other* components around each node, keep pairs whose whole signatures agree enough, and confirm these, until no
-   unconfirmed candidate between two components is left. All pairs of a group are never made.
+   of *other* components around each node and keep pairs whose whole signatures agree enough: first the best of every
+   component is confirmed, then all that still lie between two components. All pairs of a group are never made.
 
 At a similarity of 0.8 one tree shows a pair of neighbours with probability 0.51, all 24 miss it with 3e-8.
 
@@ -24,7 +24,6 @@ from collections import OrderedDict, deque
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,7 +33,7 @@ from mailsift.llm.common import MASK, Windows, WordHash, mix, prepare, written
 SHINGLE = 4
 PERCENT = 80
 TREES, DEPTH, MIN_DEPTH, NEIGHBOURS = 24, 6, 3, 3
-#: Later rounds: nodes looked back at in a region, and signature values (of 144) in which a pair agrees at least; a pair
+#: Second pass: nodes looked back at in a region, and signature values (of 144) in which a pair agrees at least; a pair
 #: of similarity 0.8 agrees in 115 +- 4.8 of them, so 92 misses one in a million.
 LOOK, AGREE = 64, 92
 #: Keys of texts that are broadcast at most (16 bytes each); beyond, the texts are joined by a shuffle.
@@ -187,7 +186,7 @@ def _pairs(nodes: DataFrame, near: bool, name: str) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int,
                name: str) -> DataFrame:
-    """``pairs`` with ``linked``, decided on the full sets of one text of either node."""
+    """``pairs`` with ``linked``, decided on the full sets of either node, each made from one of its texts."""
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(
         nodes.select("node", "doc", "text_key"), "node")
     wanted = written(wanted, f"{name}-nodes")
@@ -198,21 +197,20 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     same = texts.doc.eqNullSafe(keys.doc) & (texts.text_key == keys.text_key)
 
     def pack(batches):
+        shingle = Shingler(size)
         for b in batches:
-            z = [zstandard.compress(r, 1) for r in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary())], names=["doc", "text_key", "z"])
+            sets = [shingle(r).tobytes() for r in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], names=["doc", "text_key", "z"])
 
     found = texts.join(F.broadcast(keys) if few else keys, same, "left_semi").mapInArrow(pack, "doc long, text_key long, z binary")
     found = found.dropDuplicates(["doc", "text_key"])
     held = written(wanted.alias("w").join(found.alias("f"), F.col("w.doc").eqNullSafe(F.col("f.doc")) &
-                                          (F.col("w.text_key") == F.col("f.text_key"))).select("node", "z"), f"{name}-texts")
+                                          (F.col("w.text_key") == F.col("f.text_key"))).select("node", "z"), f"{name}-sets")
 
     def run(batches):
-        shingle = Shingler(size)
-        unpack = lambda z: shingle(zstandard.decompress(z))
+        unpack = lambda z: np.frombuffer(z, np.uint64)
         for b in batches:
-            u, v, zu, zv = (b.column(i).to_pylist() for i in range(4))
-            linked = [similar(unpack(p), unpack(q), percent) for p, q in zip(zu, zv)]
+            linked = [similar(unpack(p), unpack(q), percent) for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], names=["u", "v", "linked"])
 
     both = (pairs.select("u", "v").join(held.select(F.col("node").alias("u"), F.col("z").alias("zu")), "u")
@@ -233,19 +231,18 @@ def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
                 .select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).where("u <> v").distinct())
 
     edges = written(relabelled(links, labels), "edges")
+    changed = False
     while not edges.isEmpty():
         ends = edges.union(edges.select("v", "u")).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least"))
-        hook = written(ends.select("node", F.least("node", "least").alias("comp")), "hooks")
+        hook = ends.select("node", F.least("node", "least").alias("comp"))
         up = hook.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        for _ in range(2):
-            hook = hook.join(up, "comp").select("node", F.col("top").alias("comp"))
-        hook = written(hook, "hooks")
-        new = hook.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        old = labels.join(new, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+        hook = written(hook.join(up, "comp").select("node", F.col("top").alias("comp")), "hooks")
+        old = labels.join(hook.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left")
         added = hook.join(labels.select("node"), "node", "left_anti")
-        labels = written(old.unionByName(added.select("node", "comp")), "labels")
+        labels = old.select("node", F.coalesce("top", "comp").alias("comp")).unionByName(added.select("node", "comp"))
         edges = written(relabelled(edges, hook), "edges")
-    return labels
+        changed = True
+    return written(labels, "labels") if changed else labels
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
@@ -259,23 +256,30 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = written(signed.where("node is not null").groupBy("node").agg(least.alias("r"), F.any_value("sig").alias("sig"))
                     .select("node", "r.doc", "r.text_key", "sig"), "nodes")
     labels = spark.createDataFrame([], "node binary, comp binary")
-    tried = None
-    turn = 0
-    while True:
-        current = nodes.join(labels, "node", "left").select("node", "sig", F.coalesce("comp", "node").alias("comp"))
-        pairs = _pairs(current, turn == 0, f"pairs{turn}")
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        if turn < 2:  # the best candidate of every component; those left over come in the next rounds
-            ends = pairs.select(F.explode(F.array("cu", "cv")).alias("comp"), F.struct("score", "u", "v").alias("pair"))
-            pairs = ends.groupBy("comp").agg(F.max("pair").alias("pair")).select("pair.u", "pair.v").distinct()
-        pairs = written(pairs.select("u", "v"), f"candidates{turn}")
-        if pairs.isEmpty() and turn:
-            break
-        done = _confirmed(pairs, nodes, docs, id_col, text_col, size, percent, f"confirmed{turn}")
-        tried = done.select("u", "v") if tried is None else tried.unionByName(done.select("u", "v"))
-        labels = contract(labels, done.where("linked").select("u", "v"))
-        turn += 1
+
+    def now(column):
+        """Current component of the nodes of a column, as a table."""
+        return labels.select(F.col("node").alias(column), F.col("comp").alias(f"now_{column}"))
+
+    def best(pairs):
+        """The best candidate of every component."""
+        ends = pairs.select(F.explode(F.array("cu", "cv")).alias("comp"), F.struct("score", "u", "v").alias("pair"))
+        return ends.groupBy("comp").agg(F.max("pair").alias("pair")).select("pair.u", "pair.v").distinct()
+
+    def confirm(pairs, name):
+        done = _confirmed(pairs, nodes, docs, id_col, text_col, size, percent, name)
+        return contract(labels, done.where("linked").select("u", "v"))
+
+    def current():
+        return nodes.join(labels, "node", "left").select("node", "sig", F.coalesce("comp", "node").alias("comp"))
+
+    labels = confirm(written(best(_pairs(current(), True, "near")), "best-near"), "near-links")
+    far = written(_pairs(current(), False, "far"), "far-pairs")
+    tried = written(best(far), "best-far")
+    labels = confirm(tried, "far-links")
+    rest = (far.join(tried, ["u", "v"], "left_anti").join(now("u"), "u", "left").join(now("v"), "v", "left")
+            .where(F.coalesce("now_u", "u") != F.coalesce("now_v", "v")).select("u", "v"))
+    labels = confirm(written(rest, "rest"), "rest-links")
     named = nodes.join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc", "text_key")
     top = named.groupBy("comp").agg(least.alias("top"))
     classes = named.select("node", "comp").join(top, "comp").select("node", "top")
