@@ -178,7 +178,7 @@ def read_archives(spark: SparkSession, listing: DataFrame, folder: str, with_pay
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
-    return listing.select("path").repartition(F.col("path")).mapInArrow(run, schema)
+    return listing.select("path").repartition(max(1, listing.count())).mapInArrow(run, schema)  # a task for each archive
 
 
 def resolve(records: DataFrame) -> DataFrame:
