@@ -7,8 +7,9 @@ shared folder and gives the reread rows to the next one. All stages but the last
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mailsift.llm import decontaminate, quality_rules, secret_scan
+from mailsift.llm import decontaminate, near_dup, quality_rules, secret_scan, sentencepiece_fst
 from mailsift.llm.common import fresh, prepare, written
 from mailsift.session import read_table
 
@@ -18,6 +19,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.clean(docs)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays (shingles of five words, similarity 0.8 or more)."""
+    return near_dup.distinct_documents(docs, size=5)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark window go."""
     h = fresh(docs, "hits")
@@ -30,7 +36,16 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return secret_scan.redact(docs)
 
 
-STAGES = [("quality rules", quality_stage), ("benchmark decontamination", decontamination_stage), ("secret scans", secret_stage)]
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids, the number of tokens and whether these decode to the text."""
+    p = fresh(docs, "pieces")
+    out = sentencepiece_fst.encode(docs, name=p)
+    return out.select("doc_id", "text", "lang", "source", f"`{p}`.n_tokens", f"`{p}`.ids", F.col(f"`{p}`.same").alias("decodes_to_text"))
+
+
+STAGES = [("quality rules", quality_stage), ("MinHash near-duplicates", near_duplicate_stage),
+          ("benchmark decontamination", decontamination_stage), ("secret scans", secret_stage),
+          ("SentencePiece encoding", token_stage)]
 
 ORACLE_SQL = None
 

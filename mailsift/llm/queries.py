@@ -60,3 +60,23 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mailsift.llm import near_dup as op
     return op.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mailsift.llm import sentencepiece_fst as op
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op.encode(docs, name="p").select("doc_id", F.col("p.n_tokens"), F.col("p.ids"), F.col("p.same").alias("decodes_to_text"))
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mailsift.llm import licenses as op
+    return op.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"), op.notices(spark))
+
+
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mailsift.llm import pii as op
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op.find_pii(docs, name="p").select("doc_id", F.col("p.*"))
