@@ -61,16 +61,18 @@ def shingles(df: DataFrame, text_col: str = "text") -> DataFrame:
     return _once(out, "h", h).drop("w")
 
 
-def _hashed(j: int):
-    return lambda x: F.xxhash64(x, F.lit(j))
-
-
 def bands(df: DataFrame, stride: int) -> DataFrame:
-    """A row for each band of each window: the other columns and ``band``, the minimal hash of one hash function."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size("h") - (SIZE - stride), F.lit(1)), F.lit(stride))
-    rows = df.select(*[c for c in df.columns if c != "h"], F.explode(F.transform(starts, lambda i: F.slice("h", i, SIZE))).alias("s"))
-    least = [F.array_min(F.transform("s", _hashed(j))) for j in range(BANDS)]
-    return rows.select(*[c for c in df.columns if c != "h"], F.explode(F.array(*least)).alias("band"))
+    """A row for each band of each window: the other columns and ``band``, the minimal hash of one hash function.
+
+    A window's shingles become plain columns (a short text's first one is repeated, which changes no minimum), so that the
+    hashes are compiled instead of being interpreted in a lambda.
+    """
+    others = [c for c in df.columns if c != "h"]
+    starts = F.sequence(F.lit(0), F.greatest(F.size("h") - (SIZE - stride) - 1, F.lit(0)), F.lit(stride))
+    window = F.transform(starts, lambda i: F.struct(*[F.coalesce(F.get("h", i + k), F.get("h", i)).alias(f"s{k}") for k in range(SIZE)]))
+    rows = df.select(*others, F.inline(window))
+    least = [F.least(*[F.xxhash64(f"s{k}", F.lit(j)) for k in range(SIZE)]) for j in range(BANDS)]
+    return rows.select(*others, F.explode(F.array(*least)).alias("band"))
 
 
 def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
