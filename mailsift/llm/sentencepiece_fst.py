@@ -30,7 +30,7 @@ from mailsift.llm.common import append_struct, prepare
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-REMEMBER = 400_000
+REMEMBER = 800_000
 NORMAL, UNKNOWN, USER, UNUSED, BYTE = 1, 2, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 INFINITY = float("inf")
@@ -95,7 +95,10 @@ class Transducer:
         if kind == BPE:
             self._merges()
         alphabet = {c for p in self.ids if len(p) > 1 for c in p}
-        self.cut = re.compile(f"({BLANK}+|\n+)" if "\n" not in alphabet else f"({BLANK}+)")
+        # Segments: a word with the blank before it, runs of blanks, and line ends if no piece holds one.
+        line = "" if "\n" in alphabet else "\n"
+        self.tokens = re.compile(f"{BLANK}?[^{BLANK}{line}]+|{BLANK}+(?={BLANK}[^{BLANK}{line}])|{BLANK}+" + (f"|{line}+" if line else "")).findall
+        self.written = [bytes([int(p[3:5], 16)]) if t == BYTE else p.encode() for p, _, t in self.pieces]
         if any(BLANK in p.lstrip(BLANK) or len(p) > 1 and p.startswith(BLANK * 2) and p.strip(BLANK) for p in self.ids):
             raise ValueError("a piece goes on after a blank; segments would not be independent")
         self.memo: dict[str, tuple] = {}
@@ -155,22 +158,32 @@ class Transducer:
 
     def path(self, segment: str) -> list[str]:
         """Pieces (and single characters without a piece) of the shortest path."""
-        best = [(0.0, None, 0)] + [(INFINITY, None, 0)] * len(segment)
         pieces = self.last if self.kind == BPE else self.score
+        free = self.kind == BPE  # all weights are 0 or infinity: a path of weight 0 is least
+        apart, weight = self.apart, self.weight
+        total_to, last, since = [0.0], [None], [0]
         for end in range(1, len(segment) + 1):
-            least = (INFINITY, None, 0)
-            for start in range(max(0, end - self.longest), end):
+            least, least_piece, least_start = INFINITY, None, 0
+            for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
                 piece = segment[start:end]
-                if piece in pieces or end - start == 1:
-                    done, before, _ = best[start]
-                    total = done + self.weight(before, piece)
-                    if total < least[0]:
-                        least = (total, piece, start)
-            best[end] = least
+                if piece in pieces or start == end - 1:
+                    before = last[start]
+                    if free and before is not None and (before, piece) in apart:
+                        step = 0.0 if apart[before, piece] else INFINITY
+                    else:
+                        step = weight(before, piece)
+                    total = total_to[start] + step
+                    if total < least:
+                        least, least_piece, least_start = total, piece, start
+                        if free:
+                            break
+            total_to.append(least)
+            last.append(least_piece)
+            since.append(least_start)
         out, end = [], len(segment)
         while end:
-            _, piece, end = best[end]
-            out.append(piece)
+            out.append(last[end])
+            end = since[end]
         return out[::-1]
 
     def blanks(self, n: int) -> tuple:
@@ -228,29 +241,24 @@ class Transducer:
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        parts = self.cut.split((BLANK if self.prefix else "") + text.replace(" ", BLANK))
-        out: list[int] = []
-        waiting = 0
-        for part in parts:
-            if not part:
-                continue
-            if part[0] == BLANK:
-                waiting += len(part)
-                continue
-            if part[0] == "\n":
-                if waiting:
-                    out += self.blanks(waiting)
+        known, out, waiting = self.memo.get, [], 0
+        for token in self.tokens((BLANK if self.prefix else "") + text.replace(" ", BLANK)):
+            found = known(token)
+            if found is None:
+                if not token.strip(BLANK):
+                    waiting += len(token)
+                    continue
+                if token[0] == "\n":
+                    out += self.blanks(waiting) if waiting else ()
+                    out += self.outputs(["\n"]) * len(token)
                     waiting = 0
-                out += self.outputs(["\n"]) * len(part)
-                continue
-            if not waiting:
-                out += self.segment(part)[1]
-                continue
-            alone, ids = self.segment(BLANK + part)
-            if waiting - 1 + alone:
-                out += self.blanks(waiting - 1 + alone)
+                    continue
+                found = self.segment(token)
+            alone, ids = found
+            if alone or waiting:
+                out += self.blanks(waiting + alone)
+                waiting = 0
             out += ids
-            waiting = 0
         if waiting:
             out += self.blanks(waiting)
         return out
@@ -259,8 +267,7 @@ class Transducer:
         """The output side read backwards: pieces and bytes to text."""
         if not ids:
             return ""
-        data = b"".join(bytes([int(p[3:5], 16)]) if t == BYTE else p.encode() for p, _, t in map(self.pieces.__getitem__, ids))
-        text = data.decode(errors="replace").replace(BLANK, " ")
+        text = b"".join(map(self.written.__getitem__, ids)).decode(errors="replace").replace(BLANK, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
