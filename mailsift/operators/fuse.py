@@ -55,7 +55,7 @@ def post_filter(ents: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_
     blank_stripped = F.regexp_replace(F.col("name"), r"^ +| +\z", "")
     inner = F.call_function("substr", blank_stripped, F.lit(2), F.length(blank_stripped) - 2)
     no_inner_newline = (F.length(blank_stripped) < 2) | (F.instr(inner, "\n") == 0)
-    digits = F.length(F.regexp_replace(F.col("name"), r"\D", ""))
+    digits = F.length(F.regexp_replace(F.col("name"), r"\P{Nd}", ""))  # decimal digits of any script
     phone_ok = ~F.col("entity").isin(S.PHONE_TAGS) | (digits > min_phone_digits_exclusive)
     pieces = F.split(F.col("name"), "[ \n:]", -1)
     text_tokens = F.split(F.col(text_col), "[ \n,:;]", -1)

@@ -48,3 +48,19 @@ def test_auto_forms_agree(spark):
     small = merge_spans_auto(df, ["k"], ["start", "id"], max_rows_per_group=10)      # -> skew-safe
     large = merge_spans_auto(df, ["k"], ["start", "id"], max_rows_per_group=10 ** 9)  # -> window
     assert sorted(small.collect()) == sorted(large.collect())
+
+
+def test_find_signature_text_column(spark):
+    from mailsift.operators.spans import find_signature
+    preds = spark.createDataFrame([(1, 0, 6, 10, "SIGNATURE")], "doc_id long, token_no int, start int, end int, entity string")
+    texts = spark.createDataFrame([(1, "hello name")], "doc_id long, mail string")
+    row = find_signature(preds, texts, ["doc_id"], text_col="mail").first()
+    assert (row.body, row.signature, row.tag) == ("hello ", "name", "perfect_match")
+
+
+def test_post_filter_counts_digits_of_any_script(spark):
+    from mailsift.operators.fuse import post_filter
+    phone = "".join(chr(0xFF10 + int(c)) for c in "5551234567")
+    ents = spark.createDataFrame([(1, 0, 10, "PHONE", phone)], "doc_id long, start int, end int, entity string, name string")
+    texts = spark.createDataFrame([(1, phone, "en")], "doc_id long, text string, lang string")
+    assert post_filter(ents, texts).count() == 1
