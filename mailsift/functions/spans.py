@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN_TYPE = "array<struct<start:int,end:int,name:string>>"
+BLOCK = 128
 
 
 def match_spans(text: Column | str, pattern: str, guard: Column | None = None) -> Column:
@@ -26,7 +27,22 @@ def match_spans(text: Column | str, pattern: str, guard: Column | None = None) -
     matches = F.regexp_extract_all(text, F.lit(pattern), 0)
     pieces = F.split(text, pattern, -1)
     pairs = F.zip_with(matches, pieces, lambda n, q: F.struct(q.alias("q"), n.alias("n")))
-    init = F.struct(F.lit(0).alias("pos"), F.expr(f"cast(array() as {SPAN_TYPE})").alias("acc"))
+    skip = text.isNull() if guard is None else (text.isNull() | ~F.coalesce(guard, F.lit(False)))
+    # bound as a lambda variable, so that the regexes run once and not once for each block
+    return F.when(skip, F.expr(f"cast(array() as {SPAN_TYPE})")).otherwise(
+        F.transform(F.array(pairs), _placed)[0])
+
+
+def _placed(pairs: Column) -> Column:
+    """Spans of (piece, match) pairs. Appending to an array copies it, so spans are built in blocks of ``BLOCK``
+    pairs, whose starts a first fold has summed up."""
+    def block(no):
+        return F.slice(pairs, no * BLOCK + 1, F.lit(BLOCK))
+
+    def sum_up(s, no):
+        width = F.aggregate(block(no), F.lit(0), lambda n, x: n + F.length(x["q"]) + F.coalesce(F.length(x["n"]), F.lit(0)))
+        here = F.array(F.struct(no.alias("no"), s["pos"].alias("pos")))
+        return F.struct((s["pos"] + width).alias("pos"), F.concat(s["blocks"], here).alias("blocks"))
 
     def step(s, x):
         start = s["pos"] + F.length(x["q"])
@@ -37,6 +53,10 @@ def match_spans(text: Column | str, pattern: str, guard: Column | None = None) -
         )
         return F.when(x["n"].isNull(), s).otherwise(grown)
 
-    skip = text.isNull() if guard is None else (text.isNull() | ~F.coalesce(guard, F.lit(False)))
-    return F.when(skip, F.expr(f"cast(array() as {SPAN_TYPE})")).otherwise(
-        F.aggregate(pairs, init, step, lambda s: s["acc"]))
+    def spans(b):
+        init = F.struct(b["pos"].alias("pos"), F.expr(f"cast(array() as {SPAN_TYPE})").alias("acc"))
+        return F.aggregate(block(b["no"]), init, step, lambda s: s["acc"])
+
+    numbers = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int"))
+    none = F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<struct<no:int,pos:int>>)").alias("blocks"))
+    return F.flatten(F.transform(F.aggregate(numbers, none, sum_up, lambda s: s["blocks"]), spans))

@@ -49,10 +49,15 @@ def url_spans(text: Column, emails: Column, linkedin: Column) -> Column:
     em_names = F.transform(emails, lambda x: x["name"])
     kept = F.filter(raw, lambda x: ~F.array_contains(lk_names, x["name"])
                     & ~F.array_contains(em_names, x["name"]) & ~_has_marker(x["name"]))
-    return F.transform(kept, lambda x: F.struct(
+    bare = F.transform(kept, lambda x: F.struct(
         x["start"].alias("start"),
         F.when(x["name"].endswith("."), x["end"] - 1).otherwise(x["end"]).alias("end"),
+        F.regexp_replace(x["name"], r"\.$", "").alias("whole"),
         replace_all(F.regexp_replace(x["name"], r"\.$", "")).alias("name")))
+    # a removed prefix moves the start; where a listed text was removed further inside, the span covers the whole match
+    return F.transform(bare, lambda x: F.struct(
+        F.when(x["whole"].endswith(x["name"]), x["end"] - F.length(x["name"])).otherwise(x["start"]).alias("start"),
+        x["end"].alias("end"), x["name"].alias("name")))
 
 
 def regex_entity_array(text: Column | str) -> Column:

@@ -21,17 +21,3 @@ def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
     n = small.count()
     side = F.broadcast(small) if n <= max_rows else small
     return big.join(side, on=on, how=how)
-
-
-# Rows one task may hold for a single key before a skew-safe physical form is used.
-DEFAULT_GROUP_ROWS = 200_000
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Row count of the largest key group (partial aggregation; one small job)."""
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("m")).first()
-    return int(row.m or 0)
-
-
-def is_skewed(df: DataFrame, keys: list[str], max_rows: int = DEFAULT_GROUP_ROWS) -> bool:
-    return largest_group(df, keys) > max_rows

@@ -135,7 +135,7 @@ def _value_of(field):
 
 def response_to_long(resp: DataFrame, id_col: str = "doc_id", fields_col: str = "signatureFields",
                      tags=RESPONSE_TAGS) -> DataFrame:
-    """RSH-1: response -> ``(id, pos, entity, name)``; one row per value, a tag without values
+    """RSH-1: response -> ``(id, tag_no, pos, entity, name)``; one row per value, a tag without values
     gives one row with ''; a NULL payload gives no rows."""
     f = F.col(fields_col)
     per_tag = []
@@ -149,7 +149,7 @@ def response_to_long(resp: DataFrame, id_col: str = "doc_id", fields_col: str =
         per_tag.append(F.struct(F.lit(i).alias("t"), F.lit(tag).alias("entity"), vals.alias("names")))
     x = resp.where(f.isNotNull()).select(id_col, F.explode(F.array(*per_tag)).alias("p"))
     x = x.select(id_col, "p.t", "p.entity", F.posexplode("p.names").alias("k", "name"))
-    return x.select(id_col, (F.col("t") * 100000 + F.col("k")).cast("int").alias("pos"), "entity", "name")
+    return x.select(id_col, F.col("t").alias("tag_no"), F.col("k").alias("pos"), "entity", "name")
 
 
 # ------------------------------------------------------------------------------ envelopes

@@ -263,14 +263,3 @@ def char_windows(df: DataFrame, id_col: str, text_col: str, width: int = 300, st
     n = F.length(text_col)
     x = df.where(n > 0).select(id_col, text_col, F.explode(F.sequence(F.lit(0), n - 1, F.lit(step))).alias("window_start"))
     return x.select(id_col, "window_start", F.expr(f"substring({text_col}, window_start + 1, {width})").alias("text"))
-
-
-def training_segments_auto(blocks: DataFrame, group_cols: list[str], order_col: str, text_col: str, label_col: str,
-                           max_rows_per_group: int | None = None, **kw) -> DataFrame:
-    """SEG-4..7 choosing the physical form from the data: the in-row packer while every mail is
-    small, the range-partitioned packer once one mail holds more than ``max_rows_per_group`` blocks."""
-    from mailsift.operators.joins import DEFAULT_GROUP_ROWS, is_skewed
-    limit = max_rows_per_group or DEFAULT_GROUP_ROWS
-    if is_skewed(blocks, group_cols, limit):
-        return training_segments_skewsafe(blocks, group_cols, order_col, text_col, label_col, **kw)
-    return training_segments(blocks, group_cols, order_col, text_col, label_col, **kw)

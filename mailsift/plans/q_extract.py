@@ -33,13 +33,15 @@ lk AS (SELECT {id_col}, i, "start",
        FROM lk0 WHERE contains(name, 'linkedin') AND name <> 'linkedin.com'
              AND NOT contains(name, '@') AND NOT contains(name, 'malito')),
 wb0 AS {wb0},
-wb AS (SELECT w.{id_col}, w.i, w."start",
+wb1 AS (SELECT w.{id_col}, w.i, w."start" AS s0,
               CAST(CASE WHEN ends_with(w.name, '.') THEN w."end" - 1 ELSE w."end" END AS INTEGER) AS "end",
-              {url_name} AS name
+              regexp_replace(w.name, '\\.$', '') AS whole, {url_name} AS name
        FROM wb0 w
        WHERE NOT EXISTS (SELECT 1 FROM lk WHERE lk.{id_col} = w.{id_col} AND lk.name = w.name)
          AND NOT EXISTS (SELECT 1 FROM em WHERE em.{id_col} = w.{id_col} AND em.name = w.name)
          AND NOT contains(w.name, '@') AND NOT contains(w.name, 'malito')),
+wb AS (SELECT {id_col}, i, CAST(CASE WHEN ends_with(whole, name) THEN "end" - length(name) ELSE s0 END AS INTEGER) AS "start",
+              "end", name FROM wb1),
 allents AS (
   SELECT {id_col}, 0 AS r, i, "start", "end", 'EMAIL' AS entity, name FROM em
   UNION ALL SELECT {id_col}, 1, i, "start", "end", 'LINKEDIN', name FROM lk

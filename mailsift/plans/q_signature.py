@@ -73,14 +73,14 @@ def _resp_long_sql(prefix: str | None = None, ents: str = "pf", docs: str = "doc
     for i, (tag, lst, val, ptype) in enumerate(RESPONSE_TAGS):
         src = {"names": None, "phoneNumbers": f"PHONE_{ptype}" if ptype else None}.get(lst, tag)
         if lst == "names":
-            parts.append(f"""SELECT d.doc_id, CAST({i} * 100000 AS INTEGER) AS pos, {K.q(tag)} AS entity,
+            parts.append(f"""SELECT d.doc_id, {i} AS tag_no, 0 AS pos, {K.q(tag)} AS entity,
                 coalesce((SELECT arg_min(name, seq) FROM {ents} pf WHERE pf.doc_id = d.doc_id AND pf.entity = {K.q(tag)}), '') AS name
                 FROM {docs} d""")
         else:
             ent = src if lst != "phoneNumbers" else f"PHONE_{ptype}"
-            parts.append(f"""SELECT doc_id, CAST({i} * 100000 + row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS INTEGER),
+            parts.append(f"""SELECT doc_id, {i}, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS INTEGER),
                 {K.q(tag)}, name FROM {ents} WHERE entity = {K.q(ent)}
-                UNION ALL SELECT d.doc_id, CAST({i} * 100000 AS INTEGER), {K.q(tag)}, ''
+                UNION ALL SELECT d.doc_id, {i}, 0, {K.q(tag)}, ''
                 FROM {docs} d WHERE NOT EXISTS (SELECT 1 FROM {ents} pf WHERE pf.doc_id = d.doc_id AND pf.entity = {K.q(ent)})""")
     return f"WITH {prefix or _ENTS_SQL}\n" + "\nUNION ALL\n".join(parts)
 
@@ -341,7 +341,7 @@ mf AS (SELECT t.doc_id, t.i, t.name, t."start", t."end",
               length(substr(s.text, 1, t."start")) - length(replace(substr(s.text, 1, t."start"), chr(10), '')) AS line,
               length(regexp_replace(t.name, '[^0-9]', '', 'g')) AS digits,
               {K.in_list('t.name', sorted(_ORG_WORDS))} AS org,
-              regexp_matches(t.name, '^\p{{Lu}}') AND regexp_full_match(t.name, '\p{{L}}+') AS ua
+              regexp_matches(t.name, '^\\p{{Lu}}') AND regexp_full_match(t.name, '\\p{{L}}+') AS ua
        FROM mtk t JOIN sigs s ON t.doc_id = s.doc_id),
 mg AS (SELECT *, line <> coalesce(lag(line) OVER (PARTITION BY doc_id ORDER BY i), -1) AS fil FROM mf),
 mh AS (SELECT *, CASE WHEN digits >= 9 THEN 'PHONE_OFFICE' WHEN org THEN 'ORGANIZATION'
@@ -409,15 +409,19 @@ def rsp_parse_bodies(spark, sf_dir):
 @register("udf_detect_language", """
 WITH w AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM documents),
 df AS (SELECT lang, word, count(DISTINCT doc_id) AS weight FROM w GROUP BY lang, word),
-prof AS (SELECT lang, word, weight FROM df WHERE weight >= 20),
+n AS (SELECT lang, count(DISTINCT doc_id) AS n_docs FROM w GROUP BY lang),
+prof AS (SELECT df.lang, word, weight FROM df JOIN n ON df.lang = n.lang WHERE weight * 1000 >= n_docs),
 sc AS (SELECT w.doc_id, p.lang, sum(p.weight) AS score FROM w JOIN prof p ON w.word = p.word GROUP BY w.doc_id, p.lang),
 best AS (SELECT doc_id, arg_max(lang, (score, lang)) AS best FROM sc GROUP BY doc_id)
 SELECT d.doc_id, coalesce(best, 'en') AS detected_lang FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id""")
 def udf_detect_language(spark, sf_dir):
-    """UDF-4: word-profile language detection (profile derived from the corpus itself)."""
+    """UDF-4: word-profile language detection. The profile has the words of at least one in a thousand documents of a
+    language: a share, so it does not depend on the size of the corpus and has a bounded number of words."""
     docs = read_text_table(spark, sf_dir, "documents", "doc_id", ["doc_id", "text", "lang"])
     w = docs.select("doc_id", "lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(S.WORD_PATTERN), 0)).alias("word"))
-    prof = w.groupBy("lang", "word").agg(F.countDistinct("doc_id").alias("weight")).where(F.col("weight") >= 20)
+    prof = w.groupBy("lang", "word").agg(F.countDistinct("doc_id").alias("weight"))
+    n = w.groupBy("lang").agg(F.countDistinct("doc_id").alias("n_docs"))
+    prof = prof.join(n, "lang").where("weight * 1000 >= n_docs").drop("n_docs")
     return detect_language(docs, prof)
 
 
@@ -427,7 +431,7 @@ def rsp_parse_signatures(spark, sf_dir):
     cleaned, entities extracted, first response element (rows-only: Python scorer)."""
     from mailsift.functions.text import clean_mail_text
     conv = read_table(spark, sf_dir, "conversations")
-    blocks = cut_lineage(conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),
+    blocks = cut_lineage(conv.select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"),
                                      clean_mail_text("text").alias("text")))
     langs = blocks.select("doc_id", F.lit("en").alias("lang"))
     ents = entities_for_blocks(spark, blocks.where(F.length("text") > 0), langs)
@@ -456,9 +460,9 @@ def rsp_parse_bodies_long(spark, sf_dir):
 
 def _parse_signatures_long_sql() -> str:
     from mailsift.plans.q_clean import sql_clean
-    blocks = f"SELECT conv_id * 1000 + turn AS doc_id, {sql_clean('text')} AS text FROM conversations"
+    blocks = f"SELECT concat(conv_id, ':', turn) AS doc_id, {sql_clean('text')} AS text FROM conversations"
     chain = _extract_sql(f"SELECT * FROM ({blocks}) b WHERE length(text) > 0",
-                         f"SELECT conv_id * 1000 + turn AS doc_id, 'en' AS lang FROM conversations")
+                         f"SELECT concat(conv_id, ':', turn) AS doc_id, 'en' AS lang FROM conversations")
     head, final = chain[len("WITH "):].rsplit("\nSELECT doc_id, lang,", 1)
     prefix = f"""{head},
 fin AS (SELECT doc_id, lang,{final}),
@@ -472,7 +476,7 @@ def rsp_parse_signatures_long(spark, sf_dir):
     nested responses flattened to (tag, value) rows."""
     from mailsift.functions.text import clean_mail_text
     conv = read_table(spark, sf_dir, "conversations")
-    blocks = cut_lineage(conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),
+    blocks = cut_lineage(conv.select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"),
                                      clean_mail_text("text").alias("text")))
     langs = blocks.select("doc_id", F.lit("en").alias("lang"))
     ents = entities_for_blocks(spark, blocks.where(F.length("text") > 0), langs)

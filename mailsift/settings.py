@@ -21,14 +21,6 @@ LANGUAGE_MAP = {
     "zh": "zh-hans",
 }
 
-VALID_LANGUAGES = ["en", "zh-hans", "zh-hant", "zh_hans", "zh_hant"]
-
-# Sentence-parser language keys.
-PARSER_LANGUAGES = [
-    "en", "zh-hans", "zh-hant", "zh_hans", "zh_hant", "fr", "pt", "es", "ja",
-    "it", "nl", "de", "ru",
-]
-
 # Extractor allow-lists used by the fusion step, and the location blacklist.
 FUSION_ML_TAGS = [
     "NAME_GIVEN", "NAME_MIDDLE", "NAME_SURNAME", "NAME_PREFIX", "NAME_SUFFIX",
@@ -36,7 +28,6 @@ FUSION_ML_TAGS = [
     "PHONE_OFFICE", "PHONE_HOME", "PHONE_FAX", "ADDRESS_POSTAL_CODE",
 ]
 FUSION_REGEX_TAGS = ["EMAIL", "URL", "LINKEDIN"]
-FUSION_NF_TAGS = ["COUNTRY", "STATE", "CITY"]
 LOCATION_BLACKLIST = [
     "Mobile", "Office", "City", "Fax", "Success", "Management", "County",
     "State", "Home", "Name", "Address", "Street", "Country", "Postal", "Code",
@@ -71,17 +62,12 @@ STANDARD_TAGS = [
     "PHONE_FAX", "PHONE_SOCIAL", "PHONE_VOICE_MAIL", "PHONE_TIE_LINE",
     "PHONE_PAGER", "URL", "EMAIL", "LINKEDIN", "UNKNOWN",
 ]
-WEIGHTED_LEADERBOARD_COLUMNS = [
-    "MODEL", "TEST_DATASET", "ENTITIES_NUMBER", "PRECISION", "RECALL",
-    "F1-MEASURE", "MODEL_VERSION",
-]
 FULL_LEADERBOARD_COLUMNS = [
     "MODEL", "TEST_DATASET", "ADDRESS_CITY", "ADDRESS_COUNTRY",
     "ADDRESS_POSTAL_CODE", "ADDRESS_STREET", "EMAIL", "ORGANIZATION", "URL",
     "PHONE_MOBILE", "PHONE_OFFICE", "JOB_TITLE", "NAME_GIVEN", "NAME_SURNAME",
     "LAST_UPDATE", "MODEL_VERSION",
 ]
-PERFORMANCE_COLUMNS = ["Entity", "TP", "FP", "FN", "PRECISION", "RECALL", "F1-MEASURE"]
 STANDARD_EMAIL_DATA = ["email_id", "email_body_text", "signature_block", "signature_block_ner", "NER_id"]
 # Rows of the formatted leaderboard, in report order.
 LEADERBOARD_ROWS = [
@@ -94,7 +80,6 @@ NULL_SENTINELS = ["None", "[]", "NaN", "NAN", "nan", "Null", "null"]
 MULTI_VALUE_SEPARATOR = " ; "
 
 # Signature construction and segmentation limits.
-MIN_CHARS_BETWEEN_BLOCKS = 10
 INFERENCE_TOKEN_LIMIT = 400
 TRAINING_TOKEN_LIMIT = 250
 DIRECT_EXTRACTOR_MAX_TOKENS = 512
@@ -103,24 +88,13 @@ TRAINING_LIMIT_FRACTIONS = (1, 7, 1)  # range(int(0.1*m), int(0.7*m), int(0.1*m)
 SIGNATURE_LABEL = "SIGNATURE"
 BODY_LABEL = "BODY"
 # Post-filter of fused entities.
-WHOLE_TOKEN_TAGS = [
-    "NAME_GIVEN", "NAME_MIDDLE", "NAME_SURNAME", "NAME_PREFIX", "NAME_SUFFIX",
-    "JOB_TITLE", "ORGANIZATION", "ADDRESS_STREET", "ADDRESS_POSTAL_CODE",
-]
 PHONE_TAGS = ["PHONE_MOBILE", "PHONE_OFFICE", "PHONE_HOME", "PHONE_FAX"]
 PHONE_MIN_DIGITS_EXCLUSIVE = 8
-TRAILING_SEPARATORS = [",", ".", ";", ":"]
 NAME_OR_ORG_TAGS = ["NAME_GIVEN", "NAME_MIDDLE", "NAME_SURNAME", "ORGANIZATION"]
 GAZETTEER_TAG = {"city": "ADDRESS_CITY", "state": "ADDRESS_COUNTRY_DIVISION", "country": "ADDRESS_COUNTRY"}
-# Flags of the signature locator.
-FLAG_PERFECT = "perfect_match"
-FLAG_IMPERFECT = "imperfect_match"
-FLAG_NONE = "no_match"
 # Response enums.
 PARSE_SUCCESS = "SUCCESS"
-PARSE_FAILED = "FAILED"
 PARSE_NO_SIGNATURE = "NO_SIGNATURE_BLOCK"
-SOURCE_TYPES = ["SENDER", "FROM", "REPLY_TO", "SIGNATURE_EMAIL_ADDRESS"]
 SENDER_CONFIDENCE = 5
 SPLIT_NAMES = ["train", "validation", "test"]
 # Few-shot prompt label words per language.

@@ -42,14 +42,6 @@ def test_next_gap_skewsafe_equals_window(spark):
             assert sorted(a.collect()) == sorted(b.collect()), (fill, parts)
 
 
-def test_auto_forms_agree(spark):
-    from mailsift.operators.spans import merge_spans_auto
-    df = _data(spark)
-    small = merge_spans_auto(df, ["k"], ["start", "id"], max_rows_per_group=10)      # -> skew-safe
-    large = merge_spans_auto(df, ["k"], ["start", "id"], max_rows_per_group=10 ** 9)  # -> window
-    assert sorted(small.collect()) == sorted(large.collect())
-
-
 def test_find_signature_text_column(spark):
     from mailsift.operators.spans import find_signature
     preds = spark.createDataFrame([(1, 0, 6, 10, "SIGNATURE")], "doc_id long, token_no int, start int, end int, entity string")
@@ -64,3 +56,21 @@ def test_post_filter_counts_digits_of_any_script(spark):
     ents = spark.createDataFrame([(1, 0, 10, "PHONE", phone)], "doc_id long, start int, end int, entity string, name string")
     texts = spark.createDataFrame([(1, phone, "en")], "doc_id long, text string, lang string")
     assert post_filter(ents, texts).count() == 1
+
+
+def test_match_spans_over_block_borders(spark):
+    from mailsift import settings as S
+    from mailsift.functions.spans import BLOCK, match_spans
+    texts = ["", " ", *(" ".join(f"é{i}" for i in range(n)) for n in (1, BLOCK - 1, BLOCK, BLOCK + 1, 2 * BLOCK + 1, 5000))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for row in df.select("text", match_spans("text", S.WORD_PATTERN).alias("a")).collect():
+        assert [x.name for x in row.a] == row.text.split()
+        assert all(row.text[x.start: x.end] == x.name for x in row.a)
+
+
+def test_url_span_starts_after_a_removed_prefix(spark):
+    from mailsift.operators.extract import regex_entities
+    text = "see w:www.acme.io. and www.b.com"
+    got = regex_entities(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert sorted(e.name for e in got) == ["www.acme.io", "www.b.com"]
+    assert all(text[e.start: e.end] == e.name for e in got)
