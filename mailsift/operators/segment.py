@@ -178,7 +178,8 @@ def training_segments(blocks: DataFrame, group_cols: list[str], order_col: str,
         blocks = blocks.drop(*remove_columns)
     clean = blocks.dropna(subset=[*group_cols, order_col, text_col, label_col])
     g = clean.groupBy(*group_cols).agg(F.array_sort(F.collect_list(
-        F.struct(F.col(order_col).alias("o"), F.col(text_col).alias("t"), F.col(label_col).alias("l")))).alias("_b"))
+        F.struct(F.col(order_col).alias("o"), F.col(label_col).alias("l"), F.xxhash64(text_col).alias("h"),
+                 F.col(text_col).alias("t")))).alias("_b"))   # ties in the order: by label, then by text
     g = g.select(*group_cols, "_b", F.explode(F.array(*[F.lit(x) for x in limits])).alias("limit"))
     lim = F.col("limit")
     sents = F.flatten(F.transform("_b", lambda b: F.transform(
@@ -194,22 +195,30 @@ def training_segments(blocks: DataFrame, group_cols: list[str], order_col: str,
 
 def training_segments_skewsafe(blocks: DataFrame, group_cols: list[str], order_col: str, text_col: str,
                                label_col: str, max_tokens: int = S.TRAINING_TOKEN_LIMIT,
-                               limits: list[int] | None = None, num_partitions: int | None = None) -> DataFrame:
+                               limits: list[int] | None = None, num_partitions: int | None = None,
+                               remove_columns: list[str] | None = None) -> DataFrame:
     """SEG-4..7 without grouping a mail: sentence rows are packed by the range-partitioned packer
     (:mod:`mailsift.operators.packing`); same rows as :func:`training_segments`."""
     from mailsift.operators.packing import pack_overlapping_skewsafe
     if limits is None:
         lo, hi, st = (int(f * max_tokens / 10) for f in S.TRAINING_LIMIT_FRACTIONS)
         limits = list(range(lo, hi, st))
+    if remove_columns and set(remove_columns).issubset(blocks.columns):   # FLT-6
+        blocks = blocks.drop(*remove_columns)
     clean = blocks.dropna(subset=[*group_cols, order_col, text_col, label_col])
     x = clean.select(*group_cols, order_col, label_col, text_col,
                      F.explode(F.array(*[F.lit(v) for v in limits])).alias("limit"))
-    x = x.select(*group_cols, "limit", order_col, label_col,
+    x = x.select(*group_cols, "limit", order_col, label_col, F.xxhash64(text_col).alias("_h"),
                  F.posexplode_outer(sentence_tokens(F.col(text_col), F.col("limit"))).alias("_k", "tokens"))
     rows = x.where(F.col("tokens").isNotNull()).select(
-        *group_cols, "limit", (F.col(order_col).cast("long") * 1_000_000 + F.col("_k")).alias("_pos"),
+        *group_cols, "limit", F.col(order_col).alias("_pos"), F.col(label_col).alias("_label"), "_h", "_k",
         F.size("tokens").alias("_n"), "tokens", F.array_repeat(F.col(label_col), F.size("tokens")).alias("labels"))
-    return pack_overlapping_skewsafe(rows, group_cols, "_pos", "_n", "limit", ["tokens", "labels"], num_partitions)
+    packed = pack_overlapping_skewsafe(rows, group_cols, ["_pos", "_label", "_h", "_k"], "_n", "limit", ["tokens", "labels"], num_partitions)
+    # A mail without any sentence is one empty segment.
+    blank = x.groupBy(*group_cols, "limit").agg(F.count("tokens").alias("_c")).where("_c = 0")
+    types = {f.name: f.dataType.simpleString() for f in packed.schema.fields}
+    return packed.unionByName(blank.select(*group_cols, "limit", F.lit(0).alias("segment_no"),
+                                           *[F.expr(f"cast(array() as {types[c]})").alias(c) for c in ("tokens", "labels")]))
 
 
 def token_rows_to_sequences(rows: DataFrame, group_cols: list[str], order_col: str, token_col: str = "token",
