@@ -26,16 +26,20 @@ def _typed(df):
 
 
 def _orders_roundtrip(spark, sf_dir):
-    orders = read_table(spark, sf_dir, "orders").select(*ORDER_COLS).repartition(2, "o_orderkey")
+    orders = read_table(spark, sf_dir, "orders").select(*ORDER_COLS)
+    done = F.coalesce(F.col("o_orderstatus") == "F", F.lit(False))
+    # The second file of a format has its columns in another order, and one more.
+    halves = [orders.where(done), orders.where(~done).select(F.lit("x").alias("extra"), *reversed(ORDER_COLS))]
     base = scratch_path(spark, "src1")
-    write_dataframe(orders, os.path.join(base, "o.csv"))
-    orders.write.mode("overwrite").option("header", "true").option("sep", "\t").csv(os.path.join(base, "o_tsv"))
-    orders.write.mode("overwrite").json(os.path.join(base, "o_json"))
-    write_dataframe(orders, os.path.join(base, "o.parquet"))
+    for df in halves:
+        write_dataframe(df, os.path.join(base, "o.csv"), mode="append")
+        df.write.mode("append").option("header", "true").option("sep", "\t").csv(os.path.join(base, "o_tsv"))
+        df.write.mode("append").json(os.path.join(base, "o_json"))
+        write_dataframe(df, os.path.join(base, "o.parquet"), mode="append")
     reads = {
         "csv": read_dataframe(spark, os.path.join(base, "o.csv", "*.csv")),
         "tsv": read_dataframe(spark, os.path.join(base, "o_tsv", "*.csv"), fmt="tsv"),
-        "json": spark.read.json(os.path.join(base, "o_json", "*.json")),
+        "json": read_dataframe(spark, os.path.join(base, "o_json", "*.json")),
         "parquet": read_dataframe(spark, os.path.join(base, "o.parquet", "*.parquet")),
     }
     return base, reads
@@ -44,8 +48,8 @@ def _orders_roundtrip(spark, sf_dir):
 @register("src_multiformat_roundtrip", f"""
 SELECT {', '.join(ORDER_COLS)}, fmt FROM orders, (SELECT unnest(['csv', 'tsv', 'json', 'parquet']) AS fmt) f""")
 def src_multiformat_roundtrip(spark, sf_dir):
-    """SRC-1 + SNK-1: orders written as csv/tsv/json/parquet (two files each), read back by
-    extension/format and unioned by column name."""
+    """SRC-1 + SNK-1: orders written as csv/tsv/json/parquet (files whose columns differ in order and
+    number), read back by extension/format and unioned by column name."""
     _, reads = _orders_roundtrip(spark, sf_dir)
     out = None
     for fmt, df in reads.items():
@@ -119,11 +123,17 @@ def src_text_articles(spark, sf_dir):
 @register("src_eml_bodies", """
 SELECT conv_id, turn, text AS body FROM conversations""")
 def src_eml_bodies(spark, sf_dir):
-    """SRC-9: raw messages (headers, blank line, body) built from conversations -> bodies."""
+    """SRC-9: raw messages built from conversations (plain, base64, quoted-printable and multipart by turn) -> bodies."""
     conv = read_table(spark, sf_dir, "conversations")
-    raw = F.concat(F.lit("From: "), F.col("role"), F.lit("@example.org\r\nSubject: turn "), F.col("turn").cast("string"),
-                   F.lit("\r\n\r\n"), F.col("text"))
-    return conv.select("conv_id", "turn", raw.alias("raw")).select("conv_id", "turn", message_bodies("raw").alias("body"))
+    packed = F.base64(F.encode("text", "UTF-8"))
+    kinds = [F.concat(F.lit("\r\n"), "text"),
+             F.concat(F.lit("Content-Transfer-Encoding: base64\r\n\r\n"), packed),
+             F.concat(F.lit("Content-Transfer-Encoding: quoted-printable\r\n\r\n"), F.replace(F.col("text"), F.lit("="), F.lit("=3D"))),
+             F.concat(F.lit("Content-Type: multipart/mixed; boundary=\"=b=\"\r\n\r\n--=b=\r\nContent-Transfer-Encoding: base64\r\n\r\n"),
+                      packed, F.lit("\r\n--=b=\r\n\r\nnext part\r\n--=b=--\r\n"))]
+    raw = F.concat(F.lit("From: "), F.coalesce("role", F.lit("")), F.lit("@example.org\r\nSubject: turn\r\n"),
+                   F.get(F.array(*kinds), F.coalesce(F.pmod("turn", F.lit(4)), F.lit(0)).cast("int")))
+    return message_bodies(conv.select("conv_id", "turn", raw.alias("raw"))).drop("raw")
 
 
 @register("src_split_table", "SELECT text AS tokens, role AS ner_tags FROM conversations")

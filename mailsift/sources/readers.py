@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,26 +33,49 @@ def read_text_table(spark: SparkSession, sf_dir: str, name: str, key: str,
     return spread(df, key)
 
 
+def _files_by(spark: SparkSession, path: str, mark) -> list[tuple[object, list[str]]]:
+    """Files grouped by ``mark`` of their first line that is not blank. Empty files are left out.
+
+    One aggregation over the lines; the driver gets the file names, which it lists for any read anyway."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value",
+                                         F.col("_metadata.file_block_start").alias("block"))
+    lines = lines.where("block = 0 and trim(value) <> ''").withColumn("line", F.monotonically_increasing_id())
+    first = lines.groupBy("file").agg(F.min_by("value", "line").alias("first"))
+    rows = first.groupBy(mark(F.col("first")).alias("mark")).agg(F.array_sort(F.collect_list("file")).alias("files"))
+    return [(r["mark"], [unquote(f) for f in r["files"]]) for r in sorted(rows.collect(), key=lambda r: str(r["mark"]))]
+
+
 def read_dataframe(spark: SparkSession, input_path: str, header_names: list[str] | None = None,
                    max_records_per_file: int = -1, header: bool = True, fmt: str | None = None) -> DataFrame:
     """SRC-1/FLT-7/LIM-1: glob read where the extension (or ``fmt``) picks the format; files are
-    unioned by column name; csv/tsv malformed rows dropped; optional per-file cap."""
+    unioned by column name (a column that a file lacks is NULL for its rows); csv/tsv malformed rows dropped; json
+    files hold lines, an array or one record, flattened to dotted columns; optional per-file cap."""
     ext = (fmt or input_path.rsplit(".", 1)[-1]).lower()
     if ext not in FORMATS:
         raise TypeError(f"File extension not supported: {ext}")
-    reader = spark.read
-    if ext in ("csv", "tsv"):
-        reader = reader.option("header", str(header).lower()).option("mode", "DROPMALFORMED")
-        if ext == "tsv":
-            reader = reader.option("sep", "\t")
-        if header_names:
-            reader = reader.schema(", ".join(f"`{h}` STRING" for h in header_names))
+
+    def load(files, **options):
+        df = spark.read.format(FORMATS[ext]).options(**options).load(files)
+        return cap_per_file(df, max_records_per_file) if max_records_per_file and max_records_per_file > 0 else df
+
+    if ext == "parquet":
+        return load(input_path, mergeSchema="true")
     if ext == "json":
-        reader = reader.option("multiLine", "true")
-    df = reader.format(FORMATS[ext]).load(input_path)
-    if max_records_per_file and max_records_per_file > 0:
-        df = cap_per_file(df, max_records_per_file)
-    return df
+        # A first line that is a whole value: a file of lines (or a file of one line).
+        groups = _files_by(spark, input_path, lambda line: F.try_parse_json(line).isNull())
+        parts = [flatten_struct(load(files, multiLine=str(whole).lower())) for whole, files in groups]
+    else:
+        options = {"header": str(header).lower(), "mode": "DROPMALFORMED", **({"sep": "\t"} if ext == "tsv" else {})}
+        if header_names:
+            reader = spark.read.format("csv").options(**options).schema(", ".join(f"`{h}` STRING" for h in header_names))
+            df = reader.load(input_path)
+            return cap_per_file(df, max_records_per_file) if max_records_per_file and max_records_per_file > 0 else df
+        if not header:
+            return load(input_path, **options)
+        parts = [load(files, **options) for _, files in _files_by(spark, input_path, lambda line: line)]
+    if not parts:
+        return spark.createDataFrame([], "struct<>")
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
 
 def cap_per_file(df: DataFrame, n: int) -> DataFrame:
@@ -66,11 +90,11 @@ def cap_per_file(df: DataFrame, n: int) -> DataFrame:
 
 def read_parquet_dataset(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """SRC-3: parquet directory; in strict mode any other file raises. Files are never deleted."""
-    if strict and os.path.isdir(path):
-        others = [f for f in os.listdir(path)
-                  if not f.endswith(".parquet") and not f.startswith(("_", "."))]
-        if others:
-            raise TypeError(f"not a parquet file: {others[0]}")
+    if strict:
+        # Only the names are read; names that start with "_" or "." are not data.
+        other = spark.read.format("binaryFile").load(path).where("path not like '%.parquet'").select("path").first()
+        if other:
+            raise TypeError(f"not a parquet file: {other.path}")
     return spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
 
 

@@ -6,7 +6,7 @@ import os
 import uuid
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailsift.session import ensure_checkpoint_dir
@@ -42,33 +42,28 @@ def save_results(predictions: DataFrame, errors: DataFrame, performances: DataFr
 
 
 # ------------------------------------------------------------------------------ SRC-9
-def _multipart_body_fn(raw: pd.Series) -> pd.Series:
-    """First non-container part of a multipart message, decoded (stdlib parser, Arrow batches)."""
+def _decoded_body(raw: pd.Series) -> pd.Series:
+    """First part that is no container, decoded (stdlib parser, Arrow batches)."""
     import email
 
     def first_text(s):
-        if s is None:
-            return None
-        msg = email.message_from_string(s)
-        for part in msg.walk():
-            if part.is_multipart():
-                continue
-            payload = part.get_payload(decode=True)
-            return payload.decode("utf-8", "ignore") if payload is not None else ""
+        for part in email.message_from_bytes(s.encode()).walk():
+            if not part.is_multipart():
+                return (part.get_payload(decode=True) or b"").decode("utf-8", "ignore")
         return ""
     return raw.map(first_text)
 
 
-def message_bodies(raw_col: str = "raw") -> Column:
-    """SRC-9: body of a raw RFC-822 message. Single-part messages are cut natively at the first
-    blank line; only multipart rows go through Python."""
+def message_bodies(df: DataFrame, raw_col: str = "raw", name: str = "body") -> DataFrame:
+    """SRC-9: ``df`` with the body of its raw RFC-822 messages as the last column. Plain messages are cut at the first blank line
+    in the JVM; only multipart and encoded messages are filtered out to the Python parser. Null messages have a null body."""
     raw = F.col(raw_col)
-    norm = F.replace(raw, F.lit("\r\n"), F.lit("\n"))
-    multipart = F.lower(norm).rlike(r"(?m)^content-type:\s*multipart/")
-    sep = F.instr(norm, "\n\n")
-    single = F.when(sep > 0, F.call_function("substr", norm, sep + 2)).otherwise(F.lit(""))
-    multipart_body = F.pandas_udf(_multipart_body_fn, "string")  # built lazily: needs a live session
-    return F.when(multipart, multipart_body(raw)).otherwise(single)
+    head = F.regexp_extract(raw, r"\A(?:\r?\n|((?s:.*?))(?:\r?\n\r?\n|\z))", 1)
+    encoded = F.coalesce(head.rlike(r"(?im)^content-type:\s*multipart/|^content-transfer-encoding:\s*(base64|quoted-printable|(x-)?uue)"),
+                         F.lit(False))
+    plain = df.where(~encoded).withColumn(name, F.regexp_extract(raw, r"\A(?:\r?\n|(?s:.*?)\r?\n\r?\n)((?s:.*))\z", 1))
+    parsed = df.where(encoded).withColumn(name, F.pandas_udf(_decoded_body, "string")(raw))
+    return plain.unionByName(parsed)
 
 
 # ------------------------------------------------------------------------------ SRC-10 / SRC-11
