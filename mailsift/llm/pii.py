@@ -176,16 +176,20 @@ def labelled(text: str) -> list[tuple[list[float], int]]:
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, train_docs: int = TRAIN_DOCS, train_rows: int = TRAIN_ROWS) -> Verdict | None:
-    key = F.xxhash64(F.col(id_col))
-    sample = docs.orderBy(key, F.col(id_col)).limit(train_docs).select(F.col(text_col).cast("string").alias("t"))
+    # The ids of least hash are found without their texts; repeated ids count once and give their least text.
+    keyed = docs.select(F.xxhash64(F.col(id_col)).alias("k"), F.col(text_col).cast("string").alias("t"))
+    cut = keyed.select("k").distinct().orderBy("k").limit(train_docs).agg(F.max("k").alias("k")).first().k
+    if cut is None:
+        return None
+    sample = keyed.where(F.col("k") <= F.lit(cut)).groupBy("k").agg(F.min("t").alias("t"))
 
     def run(batches):
         for b in batches:
-            rows = [r for t in b.column(0).to_pylist() if t for r in labelled(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.float64())),
-                                              pa.array([r[1] for r in rows], pa.int32())], names=["x", "y"])
+            rows = [(k, i, *r) for k, t in zip(*(c.to_pylist() for c in b.columns)) if t for i, r in enumerate(labelled(t))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(
+                (pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.int32()))], names=["k", "i", "x", "y"])
 
-    rows = sample.mapInArrow(run, "x array<double>, y int").limit(train_rows).collect()  # bounded by train_rows
+    rows = sample.mapInArrow(run, "k long, i int, x array<double>, y int").orderBy("k", "i").limit(train_rows).collect()
     rows = sorted((tuple(r.x), r.y) for r in rows)
     y = np.array([r[1] for r in rows], float)
     fold = np.arange(len(y)) % 2 == 1
