@@ -9,6 +9,9 @@
    links are contracted to components. The next rounds look, in regions that hold several components, at many more nodes
    of *other* components around each node and keep pairs whose whole signatures agree enough: first the best of every
    component is confirmed, then all that still lie between two components. All pairs of a group are never made.
+4. A region of more than ``LOOK`` nodes that still holds several components may have pairs beyond the look. Its nodes are
+   joined exactly, without signatures: two sets of similarity 0.8 share one of the rarest shingles of each (prefix
+   filter). Only pairs between components are made, first the best of every component is confirmed, then the rest.
 
 At a similarity of 0.8 one tree shows a pair of neighbours with probability 0.51, all 24 miss it with 3e-8.
 
@@ -112,12 +115,13 @@ def _neighbours(look: int):
     """One pass over rows in order: each node with the ``look`` nearest nodes of other components before it in its region.
 
     Where signatures are given, pairs that agree in too few of their values are left out. Rows marked ``edge`` are the
-    first and last nodes of the pass, at most ``look`` components of them, for joining up passes over adjoining ranges.
+    first and last nodes of the pass, for joining up passes over adjoining ranges: a region of at most ``look`` nodes is
+    carried whole, of a larger one the first ``look`` nodes and components and the last ``look`` nodes.
     """
     def run(batches):
         recent: OrderedDict[bytes, deque] = OrderedDict()
         here, first, out = None, set(), []
-        opening = True
+        opening, ahead = True, 0
         for b in batches:
             for tree, prefix, node, comp, sig in zip(*(c.to_pylist() for c in b.columns)):
                 region = (tree, prefix[: 2 * MIN_DEPTH])
@@ -141,8 +145,9 @@ def _neighbours(look: int):
                     if values is None or score >= AGREE:
                         u, v = ((node, comp), (there, other)) if node < there else ((there, other), (node, comp))
                         out.append((u[0], v[0], u[1], v[1], score, False, None, None, None, None, None))
-                if opening and len(first) <= look and comp not in first:
+                if opening and (ahead < look or (len(first) <= look and comp not in first)):
                     first.add(comp)
+                    ahead += 1
                     out.append((None,) * 5 + (True, tree, prefix, node, comp, sig))
                 if comp not in recent:
                     recent[comp] = deque(maxlen=look if sig is not None else 1)
@@ -160,36 +165,45 @@ def _neighbours(look: int):
     return run
 
 
+def _mixed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of all orders with their region, and the regions of several components with their numbers of nodes."""
+    rows = _orders(nodes).withColumn("region", F.substring("prefix", 1, 2 * MIN_DEPTH))
+    found = rows.groupBy("tree", "region").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("held"))
+    return rows, found.where("low <> high").select("tree", "region", "held")
+
+
+def _crowded(nodes: DataFrame) -> DataFrame:
+    """Nodes (node, comp) of the regions of several components and more than ``LOOK`` nodes: all the look may have cut."""
+    rows, mixed = _mixed(nodes)
+    return rows.join(mixed.where(F.col("held") > LOOK), ["tree", "region"], "left_semi").select("node", "comp").distinct()
+
+
 def _pairs(nodes: DataFrame, near: bool, name: str) -> DataFrame:
     """Candidates (u, v, cu, cv, score) between components: neighbours in the sorted orders. ``nodes``: node, sig, comp.
 
     ``near`` looks at a few neighbours of every node; otherwise at many of them, in the regions of several components,
     and compares the whole signatures.
     """
-    rows, order = _orders(nodes), ["tree", "prefix", "node"]
+    order = ["tree", "prefix", "node"]
     if near:
-        rows = rows.withColumn("sig", F.lit(None).cast("binary"))
+        rows = _orders(nodes).withColumn("sig", F.lit(None).cast("binary"))
     else:
-        region = ["tree", F.substring("prefix", 1, 2 * MIN_DEPTH).alias("region")]
-        mixed = rows.groupBy(*region).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-        rows = rows.withColumn("region", region[1]).join(mixed.select("tree", "region"), ["tree", "region"], "left_semi")
+        rows, mixed = _mixed(nodes)
+        rows = rows.join(mixed, ["tree", "region"], "left_semi")
         rows = rows.join(nodes.select("node", "sig"), "node")
     pass_ = _neighbours(NEIGHBOURS if near else LOOK)
     rows = rows.select("tree", "prefix", "node", "comp", "sig")
     found = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pass_, _FOUND_SQL), name)
-    # A bounded number of rows for each task of the pass above.
-    edges = found.where("edge").select(*rows.columns).repartition(1).sortWithinPartitions(*order)
+    # A bounded number of rows for each task of the pass above; those of a short range are its first and its last ones.
+    edges = found.where("edge").select(*rows.columns).dropDuplicates(["tree", "node"]).repartition(1).sortWithinPartitions(*order)
     columns = ["u", "v", "cu", "cv", "score"]
     both = found.where("not edge").select(*columns).unionByName(edges.mapInArrow(pass_, _FOUND_SQL).where("not edge").select(*columns))
     return both.groupBy("u", "v").agg(F.min("cu").alias("cu"), F.min("cv").alias("cv"), F.sum("score").alias("score"))
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int,
-               name: str) -> DataFrame:
-    """``pairs`` with ``linked``, decided on the full sets of either node, each made from one of its texts."""
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(
-        nodes.select("node", "doc", "text_key"), "node")
-    wanted = written(wanted, f"{name}-nodes")
+def _sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, name: str) -> DataFrame:
+    """The wanted nodes with their full sets (z), each made from one of its texts."""
+    wanted = written(wanted.select("node").distinct().join(nodes.select("node", "doc", "text_key"), "node"), f"{name}-nodes")
     few = wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("text_key"),
                         F.col(text_col).cast("string").cast("binary").alias("raw"))
@@ -204,8 +218,15 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
 
     found = texts.join(F.broadcast(keys) if few else keys, same, "left_semi").mapInArrow(pack, "doc long, text_key long, z binary")
     found = found.dropDuplicates(["doc", "text_key"])
-    held = written(wanted.alias("w").join(found.alias("f"), F.col("w.doc").eqNullSafe(F.col("f.doc")) &
-                                          (F.col("w.text_key") == F.col("f.text_key"))).select("node", "z"), f"{name}-sets")
+    return written(wanted.alias("w").join(found.alias("f"), F.col("w.doc").eqNullSafe(F.col("f.doc")) &
+                                            (F.col("w.text_key") == F.col("f.text_key"))).select("node", "z"), f"{name}-sets")
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int,
+               name: str) -> DataFrame:
+    """``pairs`` with ``linked``, decided on the full sets of either node, each made from one of its texts."""
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node")))
+    held = _sets(wanted, nodes, docs, id_col, text_col, size, name)
 
     def run(batches):
         unpack = lambda z: np.frombuffer(z, np.uint64)
@@ -218,6 +239,37 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     return written(both.select("u", "v", "zu", "zv").mapInArrow(run, "u binary, v binary, linked boolean"), name)
 
 
+def _exact(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (u, v, cu, cv, score) between components of ``crowd`` (node, comp) that share a rare shingle.
+
+    A set of n shingles shares at least ``percent`` of n with any set similar enough, so of its n - percent + 1 rarest
+    shingles at least one lies among those of the other set, in whatever order both are taken.
+    """
+    def explode(batches):
+        for b in batches:
+            for node, comp, z in zip(*(c.to_pylist() for c in b.columns)):
+                g = np.frombuffer(z, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([node] * len(g), pa.binary()), pa.array([comp] * len(g), pa.binary()),
+                                                  pa.array(np.full(len(g), len(g))), pa.array(g)], names=["node", "comp", "n", "g"])
+
+    grams = crowd.join(sets, "node").select("node", "comp", "z").mapInArrow(explode, "node binary, comp binary, n long, g long")
+    known = grams.groupBy("g").agg(F.count("*").alias("texts"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    ranked = grams.join(known.select("g", "texts", (F.col("low") != F.col("high")).alias("mixed")), "g")
+    rare = ranked.groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "g", "mixed"))).alias("all"))
+    prefix = rare.select("node", "comp", "n", F.inline(F.expr(f"slice(all, 1, cast(n - ceil({percent} * n / 100) + 1 as int))")))
+    # Salted by node, so that a common shingle is dealt out; components are paired first, so no pair inside one is made.
+    prefix = written(prefix.where("mixed").select("node", "comp", "n", "g", F.expr("pmod(xxhash64(node), 16)").alias("salt")), "prefix")
+    side = lambda k: prefix.select("g", *[F.col(c).alias(c + k) for c in ("node", "comp", "n", "salt")])
+    parts = lambda k: side(k).select("g", "comp" + k, "salt" + k).distinct()
+    met = parts("1").join(parts("2"), "g").where("comp1 < comp2")
+    both = met.join(side("1"), ["g", "comp1", "salt1"]).join(side("2"), ["g", "comp2", "salt2"])
+    both = both.where(f"100 * n1 >= {percent} * n2 and 100 * n2 >= {percent} * n1")
+    swap = lambda a, b: F.when(F.col("node1") < F.col("node2"), F.col(a)).otherwise(F.col(b))
+    pairs = both.select(swap("node1", "node2").alias("u"), swap("node2", "node1").alias("v"), swap("comp1", "comp2").alias("cu"),
+                        swap("comp2", "comp1").alias("cv"))
+    return pairs.groupBy("u", "v", "cu", "cv").agg(F.count("*").cast("int").alias("score"))
+
+
 def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (node, comp) after merging the components of the links (u, v), which may be of any shape.
 
@@ -274,12 +326,20 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return nodes.join(labels, "node", "left").select("node", "sig", F.coalesce("comp", "node").alias("comp"))
 
     labels = confirm(written(best(_pairs(current(), True, "near")), "best-near"), "near-links")
-    far = written(_pairs(current(), False, "far"), "far-pairs")
-    tried = written(best(far), "best-far")
-    labels = confirm(tried, "far-links")
-    rest = (far.join(tried, ["u", "v"], "left_anti").join(now("u"), "u", "left").join(now("v"), "v", "left")
-            .where(F.coalesce("now_u", "u") != F.coalesce("now_v", "v")).select("u", "v"))
-    labels = confirm(written(rest, "rest"), "rest-links")
+    def joined(pairs, name):
+        """Labels after the best pair of every component, then all that still lie between two components."""
+        nonlocal labels
+        tried = written(best(pairs), f"best-{name}")
+        labels = confirm(tried, f"{name}-links")
+        rest = (pairs.join(tried, ["u", "v"], "left_anti").join(now("u"), "u", "left").join(now("v"), "v", "left")
+                .where(F.coalesce("now_u", "u") != F.coalesce("now_v", "v")).select("u", "v"))
+        labels = confirm(written(rest, f"{name}-rest"), f"{name}-rest-links")
+
+    joined(written(_pairs(current(), False, "far"), "far-pairs"), "far")
+    crowd = written(_crowded(current()), "crowd")
+    if not crowd.isEmpty():
+        sets = _sets(crowd, nodes, docs, id_col, text_col, size, "crowd")
+        joined(written(_exact(crowd, sets, percent), "crowd-pairs"), "crowd")
     named = nodes.join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc", "text_key")
     top = named.groupBy("comp").agg(least.alias("top"))
     classes = named.select("node", "comp").join(top, "comp").select("node", "top")

@@ -58,3 +58,27 @@ def test_contract(spark):
         p, q = sorted((find(name(a)), find(name(b))))
         root[q] = p
     assert all(got.get(x, x) == find(x) for x in root)
+
+
+def test_crowded_region(spark, monkeypatch):
+    """A templated source: the few similar pairs lie far apart among many texts that are almost similar."""
+    r = random.Random(4)
+    base, rows = [f"w{i}" for i in range(200)], []
+
+    def changed(words, n):
+        words = list(words)
+        for i in r.sample(range(0, 200, 4), n):
+            words[i] = f"v{r.randrange(10 ** 9)}"
+        return words
+
+    for k in range(300):  # similarity about 0.75 to each other
+        text = changed(base, 7)
+        rows.append((2 * k, " ".join(text)))
+        if k % 6 == 0:
+            rows.append((2 * k + 1, " ".join(changed(text, 5))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for name, value in (("TREES", 1), ("MIN_DEPTH", 0), ("LOOK", 2), ("NEIGHBOURS", 1)):  # one region, far over the look
+        monkeypatch.setattr(near_dup, name, value)
+    want = sorted(brute.op8(rows), key=repr)
+    assert sum(not x[3] for x in want) > 40
+    assert result(near_dup.near_duplicates(df), *COLUMNS) == want
