@@ -1,14 +1,17 @@
 """Personal data: base patterns, and a boosted-tree verdict on the spans of high-recall generators.
 
 Base kinds (email, ip, card, phone) always stay. Generators propose overlapping spans of digits with separators, address
-tokens around an at sign, and letter-digit account numbers. Gradient-boosted trees over format and context features score
-them; labels are the base matches in a bounded sample of documents (``TRAIN_DOCS``, at most ``TRAIN_ROWS`` spans, both
-parameters), half of which calibrates scores and the threshold. Spans over the threshold that touch no base span are added
-as kind ``model``.
+tokens around an at sign (also a written one), and letter-digit account numbers. Validators that are not the base patterns
+(check digits of account numbers, cue word and digit format, written-out addresses; dates, decimals and the like are
+refuted) label what they can; proposals on base spans are personal, and what nobody decides stays unlabelled.
+Gradient-boosted trees over format and context features, without the plus and at signs that make a base span, learn these
+labels in a bounded sample of documents (``TRAIN_DOCS``, at most ``TRAIN_ROWS`` spans, both parameters), half of which
+calibrates scores and the threshold. Of the spans that touch no base span, validated ones and undecided ones over the
+threshold are added as kind ``model``.
 
 Patterns are applied so that the time stays linear in the text: runs are entered at their start only, and addresses are
-looked for at their at sign. Defined cases: null and empty texts have no spans; without labelled spans of both classes no
-span is added; repeated rows are scanned each for itself; an empty table gives an empty table.
+looked for at their at sign. Defined cases: null and empty texts have no spans; without labelled spans of both classes only
+validated spans are added; repeated rows are scanned each for itself; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -34,7 +37,21 @@ _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _chain = re.compile(r"(?<![0-9A-Za-z])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,29}")
 _account = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){10,30}")
-_at = re.compile(r"[^\s@]{1,64}(?:@|\x20at\x20|\(at\)|\[at\])[^\s@]{1,64}")
+_dot = r"(?:\x20?(?:\(dot\)|\[dot\])\x20?|\x20dot\x20)"
+_at = re.compile(r"[^\s@]{1,64}(?:@|\x20at\x20|\x20?(?:\(at\)|\[at\])\x20?)[^\s@]{1,64}(?:" + _dot + r"[^\s@]{1,64}){0,4}")
+_hidden = re.compile(r"[\w.%+-]+(\x20at\x20|\x20?(?:\(at\)|\[at\])\x20?)[A-Za-z0-9-]+(?:(?:\.|" + _dot + r")[A-Za-z0-9-]+)*"
+                     r"(?:\.|(" + _dot + r"))[A-Za-z]{2,24}[.,;:!?)]*")
+_date = re.compile(r"(?:(?:19|20)[0-9]{2}([-./\x20])[01]?[0-9]\1[0-3]?[0-9]|[0-3]?[0-9]([-./])[0-3]?[0-9]\2(?:19|20)[0-9]{2})(?![0-9])")
+_decimal = re.compile(r"[0-9]+\.[0-9]+")
+_called = re.compile(r"\b(?:tel|telephone|phone|call|mobile|cell|fax|contact|whatsapp)\b[^0-9]{0,12}$")
+_banked = re.compile(r"\b(?:account|iban|a/c)\b[^0-9]{0,12}$")
+_ssn = re.compile(r"[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}")
+#: Lengths of account numbers by country.
+IBAN = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 "
+    "GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 "
+    "MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 "
+    "XK20").split()}
 _digit = re.compile("[^0-9]+")
 CUES = ("tel", "phone", "call", "mobile", "fax", "card", "visa", "iban", "account", "mail", "contact", "ssn", "id", "ip")
 
@@ -73,23 +90,54 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def _cut(m: re.Match) -> tuple[int, int]:
+    """The span of an account number, without capitals that follow a known country's length."""
+    left = IBAN.get(m[0][:2], len(m[0]))
+    for at, c in enumerate(m[0]):
+        left -= c != " "
+        if not left:
+            return m.start(), m.start() + at + 1
+    return m.span()
+
+
+def verdict_of(text: str, start: int, end: int) -> int | None:
+    """1 for a validated span, 0 for a refuted one, None where no validator decides. Base patterns are not asked."""
+    s, before = text[start:end], text[max(0, start - 24):start].lower()
+    if _account.fullmatch(s):
+        code = s.replace(" ", "")
+        return int(IBAN.get(code[:2]) == len(code) and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1)
+    if not _chain.fullmatch(s):
+        m = _hidden.fullmatch(s)
+        if not m:
+            return 0
+        return 1 if m[1] != " at " or m[2] or "mail" in before or "contact" in before else None
+    digits, groups = _digit.sub("", s), re.findall("[0-9]+", s)
+    if (_date.match(s) and len(digits) <= 14) or _decimal.fullmatch(s) or len(set(digits)) == 1 or max(map(len, groups)) == 1:
+        return 0
+    if len(digits) > 19 or (len(digits) > 15 and not luhn(digits)):
+        return 0
+    if _called.search(before) and 7 <= len(digits) <= 15 or _banked.search(before) and 8 <= len(digits) <= 17:
+        return 1
+    return 1 if _ssn.fullmatch(s) and "ssn" in before else None
+
+
 def proposals(text: str) -> list[tuple[int, int]]:
-    spans = {m.span() for m in _chain.finditer(text)} | {m.span() for m in _account.finditer(text)}
+    spans = {m.span() for m in _chain.finditer(text)} | {_cut(m) for m in _account.finditer(text)}
     if "@" in text or " at " in text or "at)" in text or "at]" in text:
         spans |= {m.span() for m in _at.finditer(text)}
     return sorted(spans)
 
 
 def features(text: str, start: int, end: int) -> list[float]:
-    """Format and context of a span."""
+    """Format and context of a span; the signs of the base patterns are masked, as no span to be added has them."""
     s, before, after = text[start:end], text[max(0, start - 24):start], text[end:end + 12]
+    s, before = s.replace("@", " at "), before.rstrip("+")
     digits = sum(map(str.isdigit, s))
     groups = [len(g) for g in re.findall("[0-9]+", s)]
     low = before.lower()
     return [len(s), digits, digits / len(s), sum(map(str.isalpha, s)), sum(map(str.isupper, s)), len(groups),
             max(groups, default=0), min(groups, default=0), groups[0] if groups else 0, groups[-1] if groups else 0,
-            s.count("."), s.count("-"), s.count(" "), s.count("("), float("@" in s), s.rpartition("@")[2].count("."),
-            float(before.endswith("+")), float(before[-1:].isalnum()), float(after[:1].isalnum()),
+            s.count("."), s.count("-"), s.count(" "), s.count("("), float(before[-1:].isalnum()), float(after[:1].isalnum()),
             float(any(c in low for c in CUES)), float(before.rstrip().endswith((":", "="))), float(after[:1] in (".", ",")),
             len(set(s)) / len(s), float(s[:1] == "4")]
 
@@ -170,9 +218,13 @@ class Verdict:
 
 
 def labelled(text: str) -> list[tuple[list[float], int]]:
-    """Features of the proposals, 1 for those that hold or touch a base span."""
-    base = base_spans(text)
-    return [(features(text, s, e), int(any(a < e and s < b for a, _, b in base))) for s, e in proposals(text)]
+    """Features of the proposals that hold or touch a base span (1) or that a validator decides (1 or 0)."""
+    base, out = base_spans(text), []
+    for s, e in proposals(text):
+        y = 1 if any(a < e and s < b for a, _, b in base) else verdict_of(text, s, e)
+        if y is not None:
+            out.append((features(text, s, e), y))
+    return out
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, train_docs: int = TRAIN_DOCS, train_rows: int = TRAIN_ROWS) -> Verdict | None:
@@ -202,14 +254,18 @@ def scan(text: str | None, verdict: Verdict | None) -> list[tuple[int, int, int]
     if not text:
         return []
     found = base_spans(text)
-    spans = proposals(text) if verdict else []
+    spans = proposals(text)
     if spans:
-        chosen = verdict.chosen(np.array([features(text, s, e) for s, e in spans]))
+        decided = [verdict_of(text, s, e) for s, e in spans]
+        chosen = verdict.chosen(np.array([features(text, s, e) for s, e in spans])) if verdict else [False] * len(spans)
         last = -1
-        for (s, e), yes in zip(spans, chosen):
-            if yes and s >= last and not any(a < e and s < b for a, _, b in found if _ < 4):
-                found.append((s, 4, e))
-                last = e
+        # Validated spans first: an undecided one that overlaps them must not take their place.
+        sure = [x for x, y in zip(spans, decided) if y == 1]
+        for (s, e), yes, y in zip(spans, chosen, decided):
+            if y is None and yes and not any(a < e and s < b for a, b in sure) or y == 1:
+                if s >= last and not any(a < e and s < b for a, k, b in found if k < 4):
+                    found.append((s, 4, e))
+                    last = e
     return sorted(found)
 
 

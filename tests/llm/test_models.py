@@ -91,3 +91,36 @@ def test_pii_verdict(docs):
     chosen = v.chosen(x[third == 2])
     truth = y[third == 2] > 0
     assert chosen[truth].mean() > 0.8 and truth[chosen].mean() > 0.9
+
+
+def test_pii_beyond_base(spark):
+    """Personal data that no base pattern finds: recall on planted spans, and what is refuted stays out."""
+    r = random.Random(8)
+
+    def iban():
+        body = "".join(r.choice("0123456789") for _ in range(18))
+        code = f"DE{98 - int(body + '131400') % 97:02d}{body}"
+        return " ".join(code[i:i + 4] for i in range(0, 22, 4))
+
+    number = lambda n: "".join(r.choice("123456789") for _ in range(n))
+    kinds = [iban, lambda: f"({number(3)}) {number(3)}-{number(4)}", lambda: f"jo{number(2)} (at) host{number(1)}.org",
+             lambda: f"jo{number(2)} at host{number(1)} dot org"]
+    cues = ["pay to", "tel:", "write", "write"]
+    rows, planted = [], {}
+    for d in range(400):
+        k = d % 4
+        span = kinds[k]()
+        lead = f"Seen on 2024-03-1{d % 10} with 3.14159{number(4)}, base +1 212 555 {number(4)} or a{d}@b.org. Please {cues[k]} "
+        rows.append((d, f"{lead}{span}\nlook at this"))
+        planted[d] = (k, len(lead), len(lead) + len(span))
+    found = {x.doc_id: x.spans.split(",") for x in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), name="p")
+             .select("doc_id", "p.spans").collect()}
+    hit = [0] * 4
+    for d, (k, start, end) in planted.items():
+        model = [tuple(map(int, x.split(":")[1:])) for x in found[d] if x.startswith("model")]
+        base = [tuple(map(int, x.split(":")[1:])) for x in found[d] if not x.startswith("model")]
+        hit[k] += any(a <= start and end <= b for a, b in model) or (k == 0 and any(a < end and start < b for a, b in base))
+        assert all(a < end and start < b for a, b in model), (rows[d], found[d])
+    assert min(hit) >= 95, hit
+    assert pii.verdict_of("DE89 3704 0044 0532 0130 01", 0, 27) == 0
+    assert pii.proposals("DE89 3704 0044 0532 0130 00 BIC COBADE")[0] == (0, 27)
