@@ -212,11 +212,16 @@ def sig_find_signature(spark, sf_dir):
     return find_signature(preds, texts, ["doc_id", "segment_no"], offset_col="seg_start")
 
 
-def locate_signatures(spark, sf_dir):
-    """SPN-6: first segment's signature re-aligned onto the whole text (SPN-5); texts with
-    fewer than 3 line breaks keep the raw signature but the computed offsets."""
+def locate_signatures(spark, sf_dir, all_windows=False):
+    """SPN-6: first segment's signature (``all_windows``: that of the last segment with a hit)
+    re-aligned onto the whole text (SPN-5); texts with fewer than 3 line breaks keep the raw
+    signature but the computed offsets."""
     docs, _ = _segments(spark, sf_dir)
-    sig = sig_find_signature(spark, sf_dir).where(F.col("segment_no") == 0).select("doc_id", F.col("signature").alias("raw"))
+    sig = sig_find_signature(spark, sf_dir)
+    if all_windows:
+        sig = sig.where("tag <> 'no_match'").groupBy("doc_id").agg(F.max_by("signature", "segment_no").alias("raw"))
+    else:
+        sig = sig.where(F.col("segment_no") == 0).select("doc_id", F.col("signature").alias("raw"))
     j = docs.select("doc_id", "text").join(sig, "doc_id", "left")
     a = align(j, "text", "raw", "a")
     few_lines = (F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))) < 3
@@ -232,16 +237,18 @@ def _strip_sql(x):
     return f"regexp_replace({x}, '^{WSQ}+|{WSQ}+$', '', 'g')"
 
 
-def _locate_sql() -> str:
+def _locate_sql(all_windows: bool = False) -> str:
     base = _SIG_SQL.strip()
     assert base.startswith("WITH ")
     body_ctes = base[len("WITH "):]
     last_select = body_ctes.rindex("\nSELECT sg.doc_id")
     ctes, final = body_ctes[:last_select], body_ctes[last_select:]
+    picked = ("SELECT doc_id, arg_max(signature, segment_no) AS signature FROM sig WHERE tag <> 'no_match' GROUP BY doc_id"
+              if all_windows else "SELECT doc_id, signature FROM sig WHERE segment_no = 0")
     return f"""WITH {ctes},
 sig AS ({final}),
 j AS (SELECT d.doc_id, d.text, r.signature AS raw FROM documents d
-      LEFT JOIN (SELECT doc_id, signature FROM sig WHERE segment_no = 0) r ON d.doc_id = r.doc_id),
+      LEFT JOIN ({picked}) r ON d.doc_id = r.doc_id),
 a0 AS (SELECT doc_id, text, raw, {_strip_sql("coalesce(raw, '')")} AS resp FROM j),
 a1 AS (SELECT *, list_filter(string_split({_strip_sql("substr(resp, 2, greatest(length(resp) - 2, 0))")}, ' '),
                              lambda x: x <> '') AS parts FROM a0),
@@ -296,6 +303,12 @@ def sig_locate_signatures(spark, sf_dir):
     return locate_signatures(spark, sf_dir)
 
 
+@register("sig_locate_signatures_all", _locate_sql(all_windows=True))
+def sig_locate_signatures_all(spark, sf_dir):
+    """SPN-5/SPN-6 over all windows: the signature of the last segment with a hit, re-aligned onto the text."""
+    return locate_signatures(spark, sf_dir, all_windows=True)
+
+
 def model_entities(spark, sf_dir, texts):
     """SPN-1 (find_ner) over NER-scorer predictions: same-tag tokens with gap < 4 merged,
     names sliced from the text (offsets are text-global)."""
@@ -317,12 +330,12 @@ def entities_for_blocks(spark, sigs, langs):
     return post_filter(fused, sigs.join(langs, "doc_id"))
 
 
-def extract_entities(spark, sf_dir):
+def extract_entities(spark, sf_dir, all_windows=False):
     """FUS-3: model + pattern + gazetteer entities fused and post-filtered for each located signature."""
     docs = read_text_table(spark, sf_dir, "documents", "doc_id", ["doc_id", "lang"])
     # Materialise first (reliable checkpoint in the shared folder): the signatures feed three
     # extractors, and a filter on a derived column must not be pushed into the alignment folds.
-    located = cut_lineage(locate_signatures(spark, sf_dir).select("doc_id", F.col("signature").alias("text")))
+    located = cut_lineage(locate_signatures(spark, sf_dir, all_windows).select("doc_id", F.col("signature").alias("text")))
     sigs = located.where(F.length("text") > 0)
     return sigs, entities_for_blocks(spark, sigs, docs.select("doc_id", "lang"))
 
@@ -395,13 +408,34 @@ def fus_extract_entities(spark, sf_dir):
     return extract_entities(spark, sf_dir)[1]
 
 
+def _all_blocks_sql() -> str:
+    return f"SELECT doc_id, signature AS text FROM ({_locate_sql(all_windows=True)}) loc WHERE length(signature) > 0"
+
+
+@register("fus_extract_entities_all", _extract_sql(_all_blocks_sql()))
+def fus_extract_entities_all(spark, sf_dir):
+    """FUS-1/FUS-3 with the signatures of all windows."""
+    return extract_entities(spark, sf_dir, all_windows=True)[1]
+
+
+def body_responses(spark, sf_dir, all_windows=False):
+    sigs, ents = extract_entities(spark, sf_dir, all_windows)
+    docs = read_text_table(spark, sf_dir, "documents", "doc_id", ["doc_id"])
+    blocks = docs.join(sigs, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("block"))
+    return build_responses(ents, blocks)
+
+
 @register("rsp_parse_bodies")
 def rsp_parse_bodies(spark, sf_dir):
     """RSP-6/7/8: signature located, entities extracted, nested response per document."""
-    sigs, ents = extract_entities(spark, sf_dir)
-    docs = read_text_table(spark, sf_dir, "documents", "doc_id", ["doc_id"])
-    blocks = docs.join(sigs, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("block"))
-    resp = build_responses(ents, blocks)
+    resp = body_responses(spark, sf_dir)
+    return resp.select("doc_id", "parseStatusType", F.to_json("signatureFields").alias("signatureFields"))
+
+
+@register("rsp_parse_bodies_all")
+def rsp_parse_bodies_all(spark, sf_dir):
+    """RSP-6/7/8 with the signatures of all windows."""
+    resp = body_responses(spark, sf_dir, all_windows=True)
     return resp.select("doc_id", "parseStatusType", F.to_json("signatureFields").alias("signatureFields"))
 
 
@@ -439,8 +473,8 @@ def rsp_parse_signatures(spark, sf_dir):
     return resp.select("doc_id", "parseStatusType", F.to_json("signatureFields").alias("signatureFields"))
 
 
-def _parse_bodies_long_sql() -> str:
-    chain = _extract_sql()
+def _parse_bodies_long_sql(blocks_sql: str | None = None) -> str:
+    chain = _extract_sql(blocks_sql)
     head, final = chain[len("WITH "):].rsplit("\nSELECT doc_id, lang,", 1)
     prefix = f"""{head},
 fin AS (SELECT doc_id, lang,{final}),
@@ -452,10 +486,13 @@ blocks AS (SELECT doc_id FROM sigs)"""
 def rsp_parse_bodies_long(spark, sf_dir):
     """RSP-6 + RSH-1: the body pipeline's nested responses flattened to (tag, value) rows (documents
     without a signature block give NO_SIGNATURE_BLOCK and no rows)."""
-    sigs, ents = extract_entities(spark, sf_dir)
-    docs = read_text_table(spark, sf_dir, "documents", "doc_id", ["doc_id"])
-    blocks = docs.join(sigs, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("block"))
-    return response_to_long(build_responses(ents, blocks))
+    return response_to_long(body_responses(spark, sf_dir))
+
+
+@register("rsp_parse_bodies_long_all", _parse_bodies_long_sql(_all_blocks_sql()))
+def rsp_parse_bodies_long_all(spark, sf_dir):
+    """RSP-6 + RSH-1 with the signatures of all windows."""
+    return response_to_long(body_responses(spark, sf_dir, all_windows=True))
 
 
 def _parse_signatures_long_sql() -> str:
