@@ -3,9 +3,8 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-SF001 = "/root/testdata/sf0.001"
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 
 @pytest.fixture(scope="session")
@@ -18,16 +17,10 @@ def spark():
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
+
+    from oracle_rows import SF001
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
     for t in ["events", "documents", "pages", "benchmark", "labels", "conversations", "orders"]:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
     return con
-
-
-def rows(cols, records):
-    order = sorted(range(len(cols)), key=lambda i: cols[i])
-    out = []
-    for r in records:
-        out.append(tuple(round(r[i], 6) if isinstance(r[i], float) else r[i] for i in order))
-    return sorted(out, key=repr)

@@ -2,7 +2,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF001, rows
+from oracle_rows import SF001, rows
 
 QUICK = ["ext_email_spans", "ext_phone_us_ca", "cln_mail_text", "fn_scalar_functions", "eval_performance_long",
          "eval_full_leaderboard", "dq_validate", "spn_merge_events", "spn_merge_events_skewsafe", "spl_documents_by_source",

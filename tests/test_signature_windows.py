@@ -1,6 +1,6 @@
 """Signatures at the end of texts longer than one window."""
 import __spark_entry__ as entry
-from conftest import SF001, rows
+from oracle_rows import SF001, rows
 
 
 def test_signature_of_a_long_text(spark, tmp_path):
