@@ -6,12 +6,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-SF001, SF01 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
-
-
-def result(df, *columns):
-    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
-
 
 @pytest.fixture(scope="session")
 def odd(spark):
@@ -31,5 +25,6 @@ def odd(spark):
 
 @pytest.fixture(scope="session")
 def docs(spark):
+    from llm_rows import SF01
     df = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
     return df, [tuple(x) for x in df.collect()]

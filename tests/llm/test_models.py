@@ -5,7 +5,7 @@ import re
 
 import brute
 import sentencepiece
-from conftest import result
+from llm_rows import result
 from mailsift.llm import licenses, pii, sentencepiece_fst as fst
 
 ODD = ["", " ", "  ", "a", " a", "a ", "Hello  world\n\n\tfoo é 漢字 𐍈 ﬁ  ", "x" * 300, "ab" * 150, "▁y", "a▁▁b",

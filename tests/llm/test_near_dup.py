@@ -1,7 +1,7 @@
 import random
 
 import brute
-from conftest import result
+from llm_rows import result
 from mailsift.llm import near_dup
 from test_repeats import made
 

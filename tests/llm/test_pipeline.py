@@ -2,7 +2,7 @@
 
 import brute
 import corpus_pipeline
-from conftest import SF001
+from llm_rows import SF001
 from mailsift.llm import decontaminate, quality_rules
 
 

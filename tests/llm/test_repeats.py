@@ -4,7 +4,7 @@ import random
 
 import brute
 import numpy as np
-from conftest import result
+from llm_rows import result
 from mailsift.llm import substring_bytes, substring_words
 
 WORDS = ["doc_id", "n_words", "n_removed", "kept_sha256"]

@@ -2,7 +2,7 @@
 
 import brute
 import pytest
-from conftest import SF01, result
+from llm_rows import SF01, result
 from mailsift.llm import decontaminate, quality_rules, secret_scan, warc
 
 
