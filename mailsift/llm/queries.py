@@ -81,3 +81,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mailsift.llm import pii as op
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return op.find_pii(docs, name="p").select("doc_id", F.col("p.*"))
+
+
+@query
+def op11_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mailsift.llm import mixing as op
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return op.mix(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mailsift.llm import vector_codes as op
+    return op.digest(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mailsift.llm import spelling as op
+    return op.variants(read_table(spark, sf_dir, "documents"))

@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 
@@ -145,3 +147,83 @@ def op10(text):
             found.append((m.start(), 3, "phone", m.end()))
     n = Counter(x[2] for x in found)
     return n["email"], n["ip"], n["card"], n["phone"], sha([f"{k}:{s}:{e}" for s, _, k, e in sorted(found)])
+
+
+def op11_targets(sizes, weights=(3, 1, 2)):
+    """Rounds of sharing, as the contract says them. sizes: {source: words}."""
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
+    w = {s: weights[i % 3] for i, s in enumerate(order)}
+    words, capped = 1.5 * sum(sizes.values()), set()
+    while True:
+        free = [s for s in order if s not in capped]
+        left = words - sum(2 * sizes[s] for s in capped)
+        t = {s: left * w[s] / sum(w[x] for x in free) for s in free} | {s: 2.0 * sizes[s] for s in capped}
+        over = {s for s in free if t[s] > 2 * sizes[s]}
+        if not over:
+            return t
+        capped |= over
+
+
+def op12(vectors, parts=16, entries=64):
+    """vectors: (vec_id, components or None, label)."""
+    rows = [(i, [math.floor(256 * x) for x in v], lab) for i, v, lab in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    if not rows:
+        return []
+    d = len(rows[0][1]) // parts
+    cut = lambda v: [v[p * d:(p + 1) * d] for p in range(parts)]
+    books = [list(c) for c in zip(*[cut(v) for _, v, _ in sorted(rows)[:entries]])]
+
+    def near(p, x):
+        return min((sum((a - b) ** 2 for a, b in zip(x, c)), k) for k, c in enumerate(books[p]))
+    for _ in range(2):
+        groups = [defaultdict(list) for _ in range(parts)]
+        for _, v, _ in rows:
+            for p, x in enumerate(cut(v)):
+                groups[p][near(p, x)[1]].append(x)
+        for p, g in enumerate(groups):
+            for k, xs in g.items():
+                books[p][k] = [sum(c) // len(xs) for c in zip(*xs)]
+    found = [(i, [near(p, x) for p, x in enumerate(cut(v))], lab) for i, v, lab in rows]
+    by = Counter()
+    for _, ds, lab in found:
+        by[lab] += sum(e for e, _ in ds)
+    sha_books = sha([str(x) for b in books for c in b for x in c])
+    return [(i, "".join("%02x" % k for _, k in ds), sum(e for e, _ in ds), by[lab], sha_books) for i, ds, lab in found]
+
+
+def op13(docs):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    n = Counter()
+    for d, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = run.translate(low)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            if h % 97 == 0:
+                k = h % len(run)
+                run = run[:k] + run[k + 1:]
+            n[run] += 1
+    n = {w: c for w, c in n.items() if len(w) >= 5 and c >= 3}
+    without = defaultdict(set)
+    for w in n:
+        for i in range(len(w)):
+            without[w[:i] + w[i + 1:]].add(w)
+    near = defaultdict(set)
+    for w in n:
+        for v in without[w]:
+            near[w].add(v)
+            near[v].add(w)
+        for i in range(len(w)):
+            for v in without[w[:i] + w[i + 1:]]:
+                if len(v) == len(w) and v != w and sum(a != b for a, b in zip(v, w)) == 1:
+                    near[w].add(v)
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best is not None and n[best] >= 2 * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), n[form[w]] if form[w] else None))
+    return out
