@@ -1,181 +1,170 @@
 """Gazetteer location finder (SRC-8, EXT-6..12, JON-6, JON-7).
 
-Whole-word matching of every gazetteer surface against every document is
-rewritten as an equi-join: when a surface occurs as a whole word, its first
-word run is a maximal word run of the text. So each document's distinct word
-runs are joined with the surfaces' first words (the gazetteer side is
-broadcast after a row-count check), and only those candidates are verified
-with the exact boundary pattern. Country/state/city resolution then runs
-relationally on the small hit table, grouped by (document, country).
-
-Word characters are ``[\\p{L}\\p{N}_]``; a match needs a non-word character (or
-the text edge) on both sides. The same pattern text runs in Java and RE2.
+Matching is an equi-join on whole surfaces. A surface has a shape: its number of word runs and of the other characters
+before the first and after the last one. Each text gives its word n-grams of the shapes that the gazetteer has, with their
+offsets, and these are joined with the surfaces; no pattern is run for a candidate and no text is joined back. A
+gazetteer within Spark's broadcast threshold is joined on the map side, so the n-grams are never shuffled.
+
+A match needs a non-word character or the text's edge on both sides, which holds for n-grams of maximal word runs. Word
+characters are ``[\\p{L}\\p{N}_]``. Whether a match stands next to a number, an ordinal or a single letter is known from the
+words around it before the join.
+
+Resolution is one exchange on the document: everything else are windows over (document, country) and below, whose rows are
+then together, so they only sort. Nothing is counted or written while a plan is built.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mailsift import settings as S
-from mailsift.operators.joins import join_checked
-from mailsift.session import cut_lineage
+from mailsift.functions.spans import match_spans
 
 NW = r"[^\p{L}\p{N}_]"
 WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-GAZ_SCHEMA = ("country struct<name:string, aliases:array<string>, "
-              "states:array<struct<name:string, aliases:array<string>, cities:array<string>>>>")
-
-
-def quoted(surface: Column) -> Column:
-    return F.concat(F.lit(r"\Q"), surface, F.lit(r"\E"))
-
-
-def occurrence_pattern(surface: Column) -> Column:
-    """Group 1 = text before the first whole-word occurrence (its length is the offset)."""
-    return F.concat(F.lit(rf"(?s)^(.*?(?:^|{NW}))"), quoted(surface), F.lit(rf"(?:{NW}|$)"))
-
-
-def adjacency_patterns(city: Column) -> list[Column]:
-    """EXT-10 rules: a number, an ordinal, or a single letter right before or after the city."""
-    q = quoted(city)
-    b, e = rf"(?:^|{NW})", rf"(?:{NW}|$)"
-    rules = [r"[0-9]+", r"[0-9]+(?:st|nd|rd|th)", r"[a-zA-Z]"]
-    return [F.concat(F.lit(f"{b}{r}{WS}+"), q, F.lit(e), F.lit("|"), F.lit(b), q, F.lit(f"{WS}+{r}{e}")) for r in rules]
+#: EXT-10: a number, an ordinal or a single letter.
+NEIGHBOUR = r"^(?:[0-9]+|[0-9]+(?:st|nd|rd|th)|[a-zA-Z])\z"
+COUNTRY = "struct<name:string,aliases:array<string>,states:array<struct<name:string,aliases:array<string>,cities:array<string>>>>"
 
 
 # ----------------------------------------------------------------------------- loading
 def load_gazetteer(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-8: nested JSON list of ``{country:{name,aliases,states:[{name,aliases,cities}]}}``."""
-    nested = spark.read.schema(GAZ_SCHEMA).option("multiLine", "true").json(path)
-    return explode_gazetteer(nested.withColumn("_pos", F.monotonically_increasing_id()))
+    """SRC-8: a JSON file with one list of ``{country:{name,aliases,states:[{name,aliases,cities}]}}``; a country's
+    number is its place in the list."""
+    whole = spark.read.text(path, wholetext=True)
+    return explode_gazetteer(whole.select(F.posexplode(F.from_json("value", f"array<struct<country:{COUNTRY}>>")).alias("_pos", "c"))
+                             .select("_pos", "c.country"))
 
 
 def explode_gazetteer(nested: DataFrame, pos_col: str = "_pos") -> DataFrame:
-    """Nested countries -> ``(country_pos, kind, state_pos, item_pos, surface)``; non-string /
-    empty surfaces and surfaces without a word character are dropped (Q40)."""
-    # one row per country: the ordering window runs over the (small) country list
-    c = nested.select((F.dense_rank().over(Window.orderBy(pos_col)) - 1).cast("int").alias("country_pos"), "country")
+    """Nested countries -> ``(country_pos, kind, state_pos, item_pos, surface)``; non-string / empty surfaces and surfaces
+    without a word character are dropped (Q40). ``pos_col`` numbers the countries in their order."""
+    c = nested.select(F.col(pos_col).cast("int").alias("country_pos"), "country")
+    no = F.array().cast("array<string>")
     countries = c.select("country_pos", F.lit("country").alias("kind"), F.lit(None).cast("int").alias("state_pos"),
-                         F.posexplode(F.concat(F.array("country.name"), F.coalesce("country.aliases", F.array())))
+                         F.posexplode(F.concat(F.array("country.name"), F.coalesce("country.aliases", no)))
                          .alias("item_pos", "surface"))
     st = c.select("country_pos", F.posexplode_outer("country.states").alias("state_pos", "st"))
     states = st.select("country_pos", F.lit("state").alias("kind"), "state_pos",
-                       F.posexplode(F.concat(F.array("st.name"), F.coalesce("st.aliases", F.array())))
+                       F.posexplode(F.concat(F.array("st.name"), F.coalesce("st.aliases", no)))
                        .alias("item_pos", "surface"))
     cities = st.select("country_pos", F.lit("city").alias("kind"), "state_pos",
-                       F.posexplode(F.coalesce("st.cities", F.array())).alias("item_pos", "surface"))
+                       F.posexplode(F.coalesce("st.cities", no)).alias("item_pos", "surface"))
     g = countries.unionByName(states).unionByName(cities)
     g = g.select("country_pos", "kind", F.col("state_pos").cast("int").alias("state_pos"),
                  F.col("item_pos").cast("int").alias("item_pos"), "surface")
-    return g.where(F.col("surface").isNotNull() & (F.length("surface") > 0) & ~F.col("surface").contains(r"\E")
-                   & F.col("surface").rlike(r"[\p{L}\p{N}_]"))
+    return g.where(F.col("surface").isNotNull() & (F.length("surface") > 0) & F.col("surface").rlike(r"[\p{L}\p{N}_]"))
 
 
 # ----------------------------------------------------------------------------- matching
+def surface_shape(surface: Column) -> Column:
+    """``struct<n, lead, tail>``: word runs, other characters before the first and after the last one."""
+    pieces = F.split(surface, S.WORD_PATTERN, -1)
+    return F.struct((F.size(pieces) - 1).alias("n"), F.length(F.get(pieces, 0)).alias("lead"),
+                    F.length(F.element_at(pieces, -1)).alias("tail"))
+
+
+def surface_grams(text: Column, shapes: Column) -> Column:
+    """``array<struct<surface, start, adjacent>>``: the whole-word pieces of a text that have one of the shapes."""
+    words, gaps = match_spans(text, S.WORD_PATTERN), F.split(text, S.WORD_PATTERN, -1)
+    blank = lambda g: F.when(g == " ", True).otherwise(g.rlike(rf"^{WS}+\z"))
+
+    def marked(w):
+        # only a word of one character or with a leading digit can be a neighbour
+        short = (w["end"] - w["start"] == 1) | w["name"].rlike("^[0-9]")
+        return F.struct(w["start"].alias("start"), w["end"].alias("end"), w["name"].alias("name"),
+                        F.when(short, w["name"].rlike(NEIGHBOUR)).otherwise(False).alias("near"))
+
+    def of(x):
+        ws, gs = x["ws"], x["gs"]
+        last = F.size(ws) - 1
+
+        def gram(sh):
+            def one(w, i):
+                n, lead, tail = sh["n"], sh["lead"], sh["tail"]
+                j = i + n - 1  # last word
+                before, after = F.get(gs, i), F.get(gs, j + 1)
+                body = F.when(n == 1, w["name"]).otherwise(F.concat(w["name"], F.array_join(F.transform(
+                    F.sequence(F.lit(1), n - 1), lambda k: F.concat(F.get(gs, i + k), F.get(ws, i + k)["name"])), "")))
+                name = F.when((lead == 0) & (tail == 0), body).otherwise(
+                    F.concat(F.right(before, lead), body, F.left(after, tail)))
+                edge = (((F.length(before) > lead) | ((i == 0) & (F.length(before) == lead)))
+                        & ((F.length(after) > tail) | ((j == last) & (F.length(after) == tail))))
+                left = (i > 0) & F.get(ws, i - 1)["near"] & blank(F.left(before, F.length(before) - lead))
+                right = (j < last) & F.get(ws, j + 1)["near"] & blank(F.right(after, F.length(after) - tail))
+                adjacent = F.coalesce(left, F.lit(False)) | F.coalesce(right, F.lit(False))
+                return F.when((j <= last) & edge, F.struct(name.alias("surface"), (w["start"] - lead).alias("start"), adjacent.alias("adjacent")))
+            return F.filter(F.transform(ws, one), lambda g: g.isNotNull())
+        return F.flatten(F.transform(shapes, gram))
+
+    once = F.array(F.struct(F.transform(words, marked).alias("ws"), gaps.alias("gs")))  # bound, so that it is computed once
+    return F.transform(once, of)[0]
+
+
 def gazetteer_hits(docs: DataFrame, gaz: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """EXT-6/JON-7/EXT-11: ``(id, country_pos, kind, state_pos, item_pos, surface, start)`` for
-    every gazetteer row whose surface occurs as a whole word; start = first occurrence."""
-    first = gaz.withColumn("first_word", F.regexp_extract("surface", S.WORD_PATTERN, 0))
-    words = docs.select(id_col, F.explode_outer(F.array_distinct(
-        F.regexp_extract_all(text_col, F.lit(S.WORD_PATTERN), 0))).alias("first_word"))
-    words = words.where(F.col("first_word").isNotNull())
-    cand = join_checked(words, first, on="first_word", how="inner")
-    # verify next to the text: candidates are grouped per document (small) and brought to it
-    per_doc = cand.groupBy(id_col).agg(F.collect_list(F.struct(
-        "country_pos", "kind", "state_pos", "item_pos", "surface")).alias("_c"))
-    d = join_checked(docs.select(id_col, text_col), per_doc, on=id_col, how="inner")
-    x = d.select(id_col, text_col, F.explode("_c").alias("c")).select(id_col, text_col, "c.*")
-    pat = occurrence_pattern(F.col("surface"))
-    x = x.where(F.regexp_like(F.col(text_col), pat))
-    start = F.length(F.call_function("regexp_extract", F.col(text_col), pat, F.lit(1)))
-    adjacent = (F.col("kind") == "city") & reduce(lambda a, b: a | b, [
-        F.regexp_like(F.col(text_col), p) for p in adjacency_patterns(F.col("surface"))])
-    return x.select(id_col, "country_pos", "kind", "state_pos", "item_pos", "surface", start.cast("int").alias("start"),
-                    adjacent.alias("adjacent"))
-
-
-def resolve_locations(hits: DataFrame, gaz: DataFrame, docs: DataFrame, id_col: str = "doc_id",
-                      text_col: str = "text") -> DataFrame:
-    """EXT-7..12: per document and country, cities -> states -> country with verification,
-    contained-city and adjacency rules, then the country choice. Returns
-    ``(id, country_pos, kind, surface, rank, start, end, n_keys)`` for kept countries."""
+    """EXT-6/JON-7/EXT-11: ``(id, country_pos, kind, state_pos, item_pos, surface, start, adjacent)`` for every gazetteer row
+    whose surface occurs as a whole word; start = first occurrence; adjacent = a city that somewhere stands next to a
+    number, an ordinal or a single letter."""
+    shapes = gaz.agg(F.collect_set(surface_shape(F.col("surface")))).scalar()  # a handful, read while the query runs
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), shapes.alias("shapes"))
+    grams = texts.select(F.col("id").alias(id_col), F.explode_outer(surface_grams(F.col("t"), F.col("shapes"))).alias("g"))
+    grams = grams.where("g is not null").select(id_col, "g.surface", "g.start", "g.adjacent")
+    hits = grams.join(gaz, "surface")
+    return hits.groupBy(id_col, "country_pos", "kind", "state_pos", "item_pos", "surface").agg(
+        F.min("start").cast("int").alias("start"), F.max((F.col("kind") == "city") & F.col("adjacent")).alias("adjacent"))
+
+
+def resolve_locations(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """EXT-7..12: per document and country, cities -> states -> country with verification, contained-city and adjacency
+    rules, then the country choice. Returns ``(id, country_pos, kind, surface, rank, start, end, n_keys)`` for kept
+    countries; ``rank`` orders the rows of a kind.
+
+    A surface found in the text is a hit for each gazetteer row that lists it, so the hits alone say which states list a
+    found city and which states a found surface names."""
     k = [id_col, "country_pos"]
-    # The hit table is small and referenced by every step below; materialise it once
-    # (reliable checkpoint in the shared folder) so the plan does not re-expand it per use.
-    h = cut_lineage(hits)
-    # gazetteer-derived sides are broadcast only under a checked bound
-    small = gaz.count() <= 2_000_000
-
-    def bc(df):
-        return F.broadcast(df) if small else df
-    # EXT-7 cities in gazetteer order (dedup by surface, first occurrence wins)
-    city_key = F.col("state_pos") * 1_000_000 + F.col("item_pos")
-    C = (h.where(F.col("kind") == "city").groupBy(*k, "surface")
-          .agg(F.min(city_key).alias("crank"), F.min("start").alias("start"), F.max("adjacent").alias("adjacent"))
-          .persist(StorageLevel.MEMORY_AND_DISK))  # small, used four times
-    has_city = C.select(*k).distinct().withColumn("has_city", F.lit(True))
-    g_city = gaz.where(F.col("kind") == "city").select("country_pos", F.col("state_pos").alias("sp"),
-                                                       F.col("surface").alias("city"))
-    g_state = gaz.where(F.col("kind") == "state").select("country_pos", F.col("state_pos").alias("sp"),
-                                                         F.col("item_pos").alias("ip"), F.col("surface").alias("ss"))
-    # EXT-8 state surfaces: restricted to states holding a found city, ordered by that city
-    states_of_c = (C.join(bc(g_city), (C.country_pos == g_city.country_pos) & (C.surface == g_city.city))
-                    .groupBy(C[id_col], C.country_pos, "sp").agg(F.min("crank").alias("first_city")))
-    sh = h.where(F.col("kind") == "state").select(*k, F.col("state_pos").alias("sp"), F.col("item_pos").alias("ip"),
-                                                  "surface", "start")
-    sh = sh.join(has_city, k, "left").join(states_of_c, [*k, "sp"], "left")
-    sh = sh.where(F.col("has_city").isNull() | F.col("first_city").isNotNull())
-    skey = F.struct(F.coalesce("first_city", F.lit(-1)).cast("long").alias("a"),
-                    (F.col("sp") * 1_000_000 + F.col("ip")).cast("long").alias("b"))
-    S_ = sh.groupBy(*k, "surface").agg(F.min(skey).alias("rank"), F.min("start").alias("start")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    # matched states: any surface of the state is in S
-    ms = (S_.join(bc(g_state), (S_.country_pos == g_state.country_pos) & (S_.surface == g_state.ss))
-            .select(S_[id_col], S_.country_pos, "sp").distinct().persist(StorageLevel.MEMORY_AND_DISK))
-    has_state = ms.select(*k).distinct().withColumn("has_state", F.lit(True))
-    # verified cities: (matched state order, city order), duplicates kept
-    verified = (ms.join(bc(g_city), ["country_pos", "sp"])
-                  .join(C.withColumnRenamed("surface", "city"), [*k, "city"])
-                  .select(*k, F.col("city").alias("surface"), F.struct(F.col("sp").cast("long").alias("a"),
-                          F.col("crank").cast("long").alias("b")).alias("rank"), "start", "adjacent"))
-    unverified = (C.join(has_state, k, "left_anti")
-                   .select(*k, "surface", F.struct(F.lit(-1).cast("long").alias("a"), F.col("crank").cast("long").alias("b"))
-                           .alias("rank"), "start", "adjacent"))
-    cities = verified.unionByName(unverified)
-    # EXT-10 (JON-6): drop cities contained in another found city of the same document/country
-    other = cities.select(*[F.col(c).alias(f"o_{c}") for c in k], F.col("surface").alias("o_s")).distinct()
-    contained = [cities[c] == other[f"o_{c}"] for c in k] + [cities.surface != other.o_s, other.o_s.contains(cities.surface)]
-    cities = cities.join(other, reduce(lambda a, b: a & b, contained), "left_anti")
-    # EXT-10 adjacency rules (evaluated next to the text at hit time)
-    cities = cities.where(~F.col("adjacent")).drop("adjacent")
-    # EXT-9 country names/aliases only when a state matched
-    ch = h.where(F.col("kind") == "country").join(has_state, k, "inner").select(
-        *k, "surface", F.struct(F.lit(-1).cast("long").alias("a"), F.col("item_pos").cast("long").alias("b")).alias("rank"),
-        "start")
-    states = S_.select(*k, "surface", "rank", "start")
-    locs = (cities.withColumn("kind", F.lit("city")).unionByName(states.withColumn("kind", F.lit("state")))
-                  .unionByName(ch.withColumn("kind", F.lit("country"))))
-    # EXT-12 choose the country: first with most non-empty keys, unless all tie
-    nk = locs.groupBy(*k).agg(F.countDistinct("kind").alias("n_keys"))
+    h = hits.repartition(id_col)
+    city, state, country = (F.col("kind") == x for x in ("city", "state", "country"))
+    at = F.struct(F.col("state_pos").alias("s"), F.col("item_pos").alias("i"))
+    none = F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("i"))
+    by_country, by_state = Window.partitionBy(*k), Window.partitionBy(*k, "state_pos")
+    by_surface = Window.partitionBy(*k, "kind", "surface")
+    # EXT-7: cities in gazetteer order, a surface at its first place
+    h = h.withColumn("place", F.min(at).over(by_surface))
+    # EXT-8: with a found city, only states that list one, ordered by it
+    h = h.withColumn("first_city", F.min(F.when(city, F.col("place"))).over(by_state)).withColumn("has_city", F.max(city).over(by_country))
+    valid = state & (~F.col("has_city") | F.col("first_city").isNotNull())
+    key = F.when(valid, F.struct(F.coalesce(F.when(F.col("has_city"), F.col("first_city")), none).alias("a"), at.alias("b")))
+    h = h.withColumn("state_rank", F.min(key).over(by_surface))
+    found = state & F.col("state_rank").isNotNull()
+    h = h.withColumn("matched", F.max(found).over(by_state)).withColumn("has_state", F.max(found).over(by_country))
+    first = F.row_number().over(by_surface.orderBy("state_pos", "item_pos")) == 1
+    h = h.withColumn("first", first)
+    # EXT-9: country names count once a state matched; verified cities lie in a matched state
+    verified = city & F.col("has_state") & F.col("matched")
+    keep = verified | (city & ~F.col("has_state") & F.col("first")) | (found & F.col("first")) | (country & F.col("has_state"))
+    h = h.where(keep)
+    rank = (F.when(city, F.struct(F.when(F.col("has_state"), F.struct(F.col("state_pos").alias("s"), F.lit(-1).alias("i"))).otherwise(none).alias("a"),
+                                  F.col("place").alias("b")))
+            .when(state, F.col("state_rank")).otherwise(F.struct(none.alias("a"), F.struct(F.lit(-1).alias("s"), F.col("item_pos").alias("i")).alias("b"))))
+    # EXT-10 (JON-6): no city inside another found city's name, none next to a number, an ordinal or a letter
+    h = h.withColumn("rank", rank).withColumn("cities", F.collect_set(F.when(city, F.col("surface"))).over(by_country))
+    inside = F.exists("cities", lambda o: (o != F.col("surface")) & F.contains(o, F.col("surface")))
+    h = h.where(~city | (~inside & ~F.col("adjacent")))
+    # EXT-12: the first country with the most kinds, unless all have as many
+    h = h.withColumn("n_keys", F.size(F.collect_set("kind").over(by_country)).cast("long"))
     w = Window.partitionBy(id_col)
-    nk = (nk.withColumn("_mx", F.max("n_keys").over(w)).withColumn("_mn", F.min("n_keys").over(w))
-            .withColumn("_first", F.min(F.when(F.col("n_keys") == F.col("_mx"), F.col("country_pos"))).over(w)))
-    keep = nk.where((F.col("_mn") == F.col("_mx")) | (F.col("country_pos") == F.col("_first"))).select(*k, "n_keys")
-    out = locs.join(keep, k)
-    return out.select(*k, "kind", "surface", F.col("rank.a").cast("long").alias("rank_a"),
-                      F.col("rank.b").cast("long").alias("rank_b"), "start",
-                      (F.col("start") + F.length("surface")).cast("int").alias("end"), "n_keys")
+    h = h.withColumn("most", F.max("n_keys").over(w)).withColumn("least", F.min("n_keys").over(w))
+    h = h.withColumn("chosen", F.min(F.when(F.col("n_keys") == F.col("most"), F.col("country_pos"))).over(w))
+    out = h.where((F.col("least") == F.col("most")) | (F.col("country_pos") == F.col("chosen")))
+    return out.select(*k, "kind", "surface", "rank", "start", (F.col("start") + F.length("surface")).cast("int").alias("end"), "n_keys")
 
 
 def location_entities(locs: DataFrame, id_col: str = "doc_id", exclude: DataFrame | None = None) -> DataFrame:
     """FUS-1 (English branch): per kept country and kind the first location with its own span and
     score 1.0, mapped to the response tag; blacklisted names and names already found as
     person/organisation (``exclude``: ``(id, name)``) are dropped."""
-    w = Window.partitionBy(id_col, "country_pos", "kind").orderBy("rank_a", "rank_b", "surface")
+    w = Window.partitionBy(id_col, "country_pos", "kind").orderBy("rank", "surface")
     first = locs.withColumn("_r", F.row_number().over(w)).where("_r = 1")
     tag = F.create_map(*[F.lit(x) for kv in S.GAZETTEER_TAG.items() for x in kv])[F.col("kind")]
     ents = first.select(id_col, "country_pos", F.col("start"), F.col("end"), tag.alias("entity"),

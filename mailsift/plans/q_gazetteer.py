@@ -9,6 +9,7 @@ a blacklisted name, and a city next to a number).
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from mailsift import settings as S
 from mailsift.operators.gazetteer import explode_gazetteer, gazetteer_hits, location_entities, resolve_locations
@@ -86,7 +87,7 @@ _HITS = hits_sql()
 def locs_sql(src: str = "documents") -> str:
     """CTE chain ending in ``out``: resolved locations for the texts of ``src`` (doc_id, text)."""
     return f"""{hits_sql(src)},
-C AS (SELECT doc_id, country_pos, surface, min(state_pos * 1000000 + item_pos) AS crank, min("start") AS "start",
+C AS (SELECT doc_id, country_pos, surface, min({{'s': state_pos, 'i': item_pos}}) AS crank, min("start") AS "start",
              bool_or(adjacent) AS adjacent FROM hits WHERE kind = 'city' GROUP BY doc_id, country_pos, surface),
 has_city AS (SELECT DISTINCT doc_id, country_pos FROM C),
 g_city AS (SELECT country_pos, state_pos AS sp, surface AS city FROM gaz WHERE kind = 'city'),
@@ -97,20 +98,20 @@ sh AS (SELECT h.doc_id, h.country_pos, h.state_pos AS sp, h.item_pos AS ip, h.su
        FROM hits h LEFT JOIN has_city hc ON h.doc_id = hc.doc_id AND h.country_pos = hc.country_pos
        LEFT JOIN states_of_c s ON h.doc_id = s.doc_id AND h.country_pos = s.country_pos AND h.state_pos = s.sp
        WHERE h.kind = 'state' AND (hc.doc_id IS NULL OR s.first_city IS NOT NULL)),
-S_ AS (SELECT doc_id, country_pos, surface, min({{'a': CAST(coalesce(first_city, -1) AS BIGINT), 'b': CAST(sp * 1000000 + ip AS BIGINT)}}) AS rank,
+S_ AS (SELECT doc_id, country_pos, surface, min({{'a': coalesce(first_city, {{'s': -1, 'i': -1}}), 'b': {{'s': sp, 'i': ip}}}}) AS rank,
               min("start") AS "start" FROM sh GROUP BY doc_id, country_pos, surface),
 ms AS (SELECT DISTINCT S_.doc_id, S_.country_pos, g.sp FROM S_ JOIN g_state g ON S_.country_pos = g.country_pos AND S_.surface = g.ss),
 has_state AS (SELECT DISTINCT doc_id, country_pos FROM ms),
-verified AS (SELECT ms.doc_id, ms.country_pos, C.surface, {{'a': CAST(ms.sp AS BIGINT), 'b': CAST(C.crank AS BIGINT)}} AS rank, C."start", C.adjacent
+verified AS (SELECT ms.doc_id, ms.country_pos, C.surface, {{'a': {{'s': ms.sp, 'i': -1}}, 'b': C.crank}} AS rank, C."start", C.adjacent
              FROM ms JOIN g_city g ON ms.country_pos = g.country_pos AND ms.sp = g.sp
              JOIN C ON C.doc_id = ms.doc_id AND C.country_pos = ms.country_pos AND C.surface = g.city),
-unverified AS (SELECT C.doc_id, C.country_pos, C.surface, {{'a': CAST(-1 AS BIGINT), 'b': CAST(C.crank AS BIGINT)}} AS rank, C."start", C.adjacent
+unverified AS (SELECT C.doc_id, C.country_pos, C.surface, {{'a': {{'s': -1, 'i': -1}}, 'b': C.crank}} AS rank, C."start", C.adjacent
                FROM C WHERE NOT EXISTS (SELECT 1 FROM has_state hs WHERE hs.doc_id = C.doc_id AND hs.country_pos = C.country_pos)),
 cities0 AS (SELECT * FROM verified UNION ALL SELECT * FROM unverified),
 cities AS (SELECT * FROM cities0 c WHERE NOT EXISTS (SELECT 1 FROM cities0 o WHERE o.doc_id = c.doc_id AND o.country_pos = c.country_pos
                                                     AND o.surface <> c.surface AND contains(o.surface, c.surface))
            AND NOT c.adjacent),
-ch AS (SELECT h.doc_id, h.country_pos, h.surface, {{'a': CAST(-1 AS BIGINT), 'b': CAST(h.item_pos AS BIGINT)}} AS rank, h."start"
+ch AS (SELECT h.doc_id, h.country_pos, h.surface, {{'a': {{'s': -1, 'i': -1}}, 'b': {{'s': -1, 'i': h.item_pos}}}} AS rank, h."start"
        FROM hits h JOIN has_state hs ON h.doc_id = hs.doc_id AND h.country_pos = hs.country_pos WHERE h.kind = 'country'),
 locs AS (SELECT doc_id, country_pos, surface, rank, "start", 'city' AS kind FROM cities
          UNION ALL SELECT doc_id, country_pos, surface, rank, "start", 'state' FROM S_
@@ -119,7 +120,7 @@ nk AS (SELECT doc_id, country_pos, count(DISTINCT kind) AS n_keys FROM locs GROU
 nk1 AS (SELECT *, max(n_keys) OVER (PARTITION BY doc_id) AS mx, min(n_keys) OVER (PARTITION BY doc_id) AS mn FROM nk),
 nk2 AS (SELECT *, min(CASE WHEN n_keys = mx THEN country_pos END) OVER (PARTITION BY doc_id) AS fst FROM nk1),
 keep AS (SELECT doc_id, country_pos, n_keys FROM nk2 WHERE mn = mx OR country_pos = fst),
-out AS (SELECT l.doc_id, l.country_pos, l.kind, l.surface, l.rank.a AS rank_a, l.rank.b AS rank_b, l."start",
+out AS (SELECT l.doc_id, l.country_pos, l.kind, l.surface, l.rank, l."start",
                CAST(l."start" + length(l.surface) AS INTEGER) AS "end", k.n_keys
         FROM locs l JOIN keep k ON l.doc_id = k.doc_id AND l.country_pos = k.country_pos)"""
 
@@ -134,16 +135,22 @@ def gaz_hits(spark, sf_dir):
     return gazetteer_hits(docs, gazetteer_df(spark))
 
 
-@register("gaz_locations", _LOCS + "\nSELECT * FROM out")
+_RANK = ", ".join(f"rank.{a}.{b} AS rank_{a}_{b}" for a in "ab" for b in "si")
+
+
+def _ranked(locs):
+    return locs.select(*[c for c in locs.columns if c != "rank"], *[F.col(f"rank.{a}.{b}").alias(f"rank_{a}_{b}") for a in "ab" for b in "si"])
+
+
+@register("gaz_locations", _LOCS + f"\nSELECT doc_id, country_pos, kind, surface, \"start\", \"end\", n_keys, {_RANK} FROM out")
 def gaz_locations(spark, sf_dir):
     """EXT-7..12/JON-6: verified cities, states, countries per document and the country choice."""
     docs = read_text_table(spark, sf_dir, "documents", "doc_id", ["doc_id", "text"])
-    gaz = gazetteer_df(spark)
-    return resolve_locations(gazetteer_hits(docs, gaz), gaz, docs)
+    return _ranked(resolve_locations(gazetteer_hits(docs, gazetteer_df(spark))))
 
 
 @register("fus_location_entities", _LOCS + f"""
-, first AS (SELECT *, row_number() OVER (PARTITION BY doc_id, country_pos, kind ORDER BY rank_a, rank_b, surface) AS r FROM out)
+, first AS (SELECT *, row_number() OVER (PARTITION BY doc_id, country_pos, kind ORDER BY rank, surface) AS r FROM out)
 SELECT doc_id, country_pos, "start", "end",
        CASE kind WHEN 'city' THEN 'ADDRESS_CITY' WHEN 'state' THEN 'ADDRESS_COUNTRY_DIVISION' ELSE 'ADDRESS_COUNTRY' END AS entity,
        surface AS name, CAST(1.0 AS DOUBLE) AS score
@@ -151,5 +158,4 @@ FROM first WHERE r = 1 AND NOT {K.in_list('surface', S.LOCATION_BLACKLIST)}""")
 def fus_location_entities(spark, sf_dir):
     """FUS-1 (English locations): first location per kind with its span, blacklist removed."""
     docs = read_text_table(spark, sf_dir, "documents", "doc_id", ["doc_id", "text"])
-    gaz = gazetteer_df(spark)
-    return location_entities(resolve_locations(gazetteer_hits(docs, gaz), gaz, docs))
+    return location_entities(resolve_locations(gazetteer_hits(docs, gazetteer_df(spark))))

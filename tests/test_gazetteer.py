@@ -79,9 +79,9 @@ def test_resolution_matches_spec(spark):
     cases = _texts()
     docs = spark.createDataFrame(cases, "doc_id long, text string")
     gaz = gazetteer_df(spark)
-    locs = resolve_locations(gazetteer_hits(docs, gaz), gaz, docs).collect()
+    locs = resolve_locations(gazetteer_hits(docs, gaz)).collect()
     got = {}
-    for r in sorted(locs, key=lambda r: (r.doc_id, r.country_pos, r.kind, r.rank_a, r.rank_b)):
+    for r in sorted(locs, key=lambda r: (r.doc_id, r.country_pos, r.kind, r.rank)):
         got.setdefault(r.doc_id, {}).setdefault((r.country_pos, r.kind), []).append(r.surface)
     for i, text in cases:
         mine = {(cp, kind, tuple(v)) for (cp, kind), v in got.get(i, {}).items()}
