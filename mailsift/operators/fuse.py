@@ -1,73 +1,88 @@
-"""Fusion of extractor outputs and the post-filter (FUS-1..3, FLT-9, JON-5).
+"""Fusion of extractor outputs and the post-filter (FUS-1..3, FLT-9, JON-5), inside the row.
 
-Inputs are long entity tables ``(id, start, end, entity, name, score)`` from
-the token model, the pattern extractors and the gazetteer; fusion is a
-``unionByName`` with per-source allow-lists and a language branch, the
-post-filter is row-local Column logic. The result keeps a ``seq`` order:
-model rows, then pattern rows, then locations.
+A text's model, pattern and gazetteer entities are arrays of ``struct<start,end,entity,name,score>`` of its own row, so
+fusion, the language branch and the filter against the text's tokens need neither a join nor a copy of the text for each
+entity. The result is an array of ``struct<seq,start,end,entity,name,score>``; ``seq`` is the place after fusion: model
+entities by start, pattern entities in their order, locations.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsift import settings as S
-from mailsift.operators.extract import allow_list
-
-ENT_COLS = ["start", "end", "entity", "name", "score"]
-
-
-def fuse(ml: DataFrame, regex: DataFrame, locations: DataFrame, langs: DataFrame, id_col: str = "doc_id",
-         lang_col: str = "lang") -> DataFrame:
-    """FUS-1: model rows (allow-list) + pattern rows (allow-list) + locations. For English the
-    locations come from the gazetteer (``locations``: already first-per-kind, blacklist applied)
-    minus names seen as given/middle/surname/organisation; otherwise from the model's location tags."""
-    loc_tags = list(S.GAZETTEER_TAG.values())
-    ml_l = ml.join(langs, id_col)
-    part_ml = allow_list(ml_l, S.FUSION_ML_TAGS).withColumn("_src", F.lit(0))
-    part_rx = allow_list(regex.join(langs, id_col), S.FUSION_REGEX_TAGS).withColumn("_src", F.lit(1))
-    part_ml_loc = (allow_list(ml_l, loc_tags).where(F.col(lang_col) != "en").withColumn("_src", F.lit(2)))
-    names_orgs = allow_list(ml, S.NAME_OR_ORG_TAGS).select(id_col, "name").distinct()
-    gaz = (first_only(locations).join(langs, id_col).where(F.col(lang_col) == "en")
-           .join(names_orgs, [id_col, "name"], "left_anti")                       # JON-5
-           .where(~F.col("name").isin(S.LOCATION_BLACKLIST)).withColumn("_src", F.lit(2)))
-    cols = [id_col, lang_col, "_src", "_o", *ENT_COLS]
-    parts = [p.withColumn("_o", F.col(o)) for p, o in
-             [(part_ml, "start"), (part_rx, "seq"), (part_ml_loc, "start"), (gaz, "_gord")]]
-    out = parts[0].select(*cols)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*cols))
-    w = Window.partitionBy(id_col).orderBy("_src", "_o", "start", "entity")
-    return out.withColumn("seq", (F.row_number().over(w) - 1).cast("int")).drop("_src", "_o")
-
-
-def post_filter(ents: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                lang_col: str = "lang", min_phone_digits_exclusive: int = S.PHONE_MIN_DIGITS_EXCLUSIVE) -> DataFrame:
-    """FUS-2: strip one trailing ``, . ; :`` (end - 1); drop names with an inner newline; drop
-    phone/fax with too few digits; for English every piece of the name must be a token of the text."""
-    extra = [] if lang_col in ents.columns else [lang_col]
-    e = ents.join(texts.select(id_col, text_col, *extra), id_col)
-    name = F.col("name")
-    trailing = name.rlike(r"[,.;:]\z")
-    e = e.withColumn("end", F.when(trailing, F.col("end") - 1).otherwise(F.col("end")))
-    e = e.withColumn("name", F.when(trailing, F.regexp_replace(name, r"[,.;:]\z", "")).otherwise(name))
-    blank_stripped = F.regexp_replace(F.col("name"), r"^ +| +\z", "")
-    inner = F.call_function("substr", blank_stripped, F.lit(2), F.length(blank_stripped) - 2)
-    no_inner_newline = (F.length(blank_stripped) < 2) | (F.instr(inner, "\n") == 0)
-    digits = F.length(F.regexp_replace(F.col("name"), r"\P{Nd}", ""))  # decimal digits of any script
-    phone_ok = ~F.col("entity").isin(S.PHONE_TAGS) | (digits > min_phone_digits_exclusive)
-    pieces = F.split(F.col("name"), "[ \n:]", -1)
-    text_tokens = F.split(F.col(text_col), "[ \n,:;]", -1)
-    whole = F.size(F.array_except(pieces, text_tokens)) == 0
-    keep = no_inner_newline & phone_ok & ((F.col(lang_col) != "en") | whole)
-    return e.where(keep).drop(text_col)
-
-
-def first_only(locs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Order column for gazetteer entities inside the fusion (country, state, city order)."""
-    order = F.array(*[F.lit(t) for t in [S.GAZETTEER_TAG[k] for k in ("country", "state", "city")]])
-    return locs.withColumn("_gord", F.array_position(order, F.col("entity")) * 1000 + F.col("country_pos"))
+
+FIELDS = ["start", "end", "entity", "name", "score"]
+ENTITY_ARRAY = "array<struct<start:int,end:int,entity:string,name:string,score:double>>"
+LOCATION_TAGS = list(S.GAZETTEER_TAG.values())
+
+
+def _plain(e: Column) -> Column:
+    return F.struct(*[e[f].alias(f) for f in FIELDS])
+
+
+def _by_start(ents: Column) -> Column:
+    """Ordered by start, then tag."""
+    keyed = F.transform(ents, lambda e: F.struct(e["start"].alias("start"), e["entity"].alias("entity"), _plain(e).alias("e")))
+    return F.transform(F.array_sort(keyed), lambda x: x["e"])
+
+
+def with_tags(ents: Column, tags: list[str]) -> Column:
+    """FLT-9 on an entity array."""
+    return F.filter(ents, lambda e: e["entity"].isin(tags))
+
+
+def fused(ml: Column, regex: Column, locations: Column, lang: Column) -> Column:
+    """FUS-1: allow-listed model entities, allow-listed pattern entities, then places: for English those of the gazetteer
+    (``locations``, ordered, blacklist applied) whose name no given, middle or surname or organisation has (JON-5), for other
+    languages those of the model."""
+    names = F.transform(with_tags(ml, S.NAME_OR_ORG_TAGS), lambda e: e["name"])
+    own = F.filter(F.coalesce(locations, F.array().cast(ENTITY_ARRAY)), lambda e: ~F.array_contains(names, e["name"]) & ~e["name"].isin(S.LOCATION_BLACKLIST))
+    places = F.when(lang == "en", F.transform(own, _plain)).otherwise(_by_start(with_tags(ml, LOCATION_TAGS)))
+    parts = F.concat(_by_start(with_tags(ml, S.FUSION_ML_TAGS)), F.transform(with_tags(regex, S.FUSION_REGEX_TAGS), _plain), places)
+    return numbered_entities(parts)
+
+
+def numbered_entities(ents: Column) -> Column:
+    return F.transform(ents, lambda e, i: F.struct(i.alias("seq"), *[e[f].alias(f) for f in FIELDS]))
+
+
+def post_filtered(ents: Column, text: Column, lang: Column, min_phone_digits_exclusive: int = S.PHONE_MIN_DIGITS_EXCLUSIVE,
+                  whole_tags: list[str] | None = None) -> Column:
+    """FUS-2: strip one trailing ``, . ; :`` (end - 1); drop names with an inner newline; drop phone/fax with too few digits (of
+    any script); for English every piece of the name must be a token of the text (``whole_tags``: only for these tags)."""
+    def stripped(e):
+        trailing = e["name"].rlike(r"[,.;:]\z")
+        return F.struct(e["seq"].alias("seq"), e["start"].alias("start"), F.when(trailing, e["end"] - 1).otherwise(e["end"]).alias("end"),
+                        e["entity"].alias("entity"), F.when(trailing, F.regexp_replace(e["name"], r"[,.;:]\z", "")).otherwise(e["name"]).alias("name"),
+                        e["score"].alias("score"))
+
+    def fits(tokens):
+        def keep(e):
+            bare = F.regexp_replace(e["name"], r"^ +| +\z", "")
+            inner = F.call_function("substr", bare, F.lit(2), F.length(bare) - 2)
+            one_line = (F.length(bare) < 2) | (F.instr(inner, "\n") == 0)
+            digits = F.length(F.regexp_replace(e["name"], r"\P{Nd}", ""))
+            phone = ~e["entity"].isin(S.PHONE_TAGS) | (digits > min_phone_digits_exclusive)
+            whole = F.size(F.array_except(F.split(e["name"], "[ \n:]", -1), tokens)) == 0
+            free = (lang != "en") if whole_tags is None else (lang != "en") | ~e["entity"].isin(whole_tags)
+            return one_line & phone & (free | whole)
+        return keep
+
+    # bound as a lambda variable, so that the text is split once and only where it is needed
+    tokens = F.array(F.when((lang == "en") & (F.size(ents) > 0), F.array_distinct(F.split(text, "[ \n,:;]", -1))))
+    return F.transform(tokens, lambda tk: F.filter(F.transform(ents, stripped), fits(tk)))[0]
+
+
+def post_filter(ents: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                min_phone_digits_exclusive: int = S.PHONE_MIN_DIGITS_EXCLUSIVE) -> DataFrame:
+    """FUS-2 for an entity table ``(id, seq, start, end, entity, name, score)``: gathered by document and joined once."""
+    given = {"seq": F.lit(0), "score": F.lit(1.0)} | {c: F.col(c) for c in ents.columns}
+    e = ents.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct(*[given[f].alias(f) for f in ["seq", *FIELDS]]))).alias("_ents"))
+    j = e.join(texts.select(id_col, text_col, lang_col), id_col)
+    kept = j.select(id_col, lang_col, F.explode_outer(post_filtered(F.col("_ents"), F.col(text_col), F.col(lang_col), min_phone_digits_exclusive)).alias("e"))
+    return kept.where("e is not null").select(id_col, "e.*", lang_col)
 
 
 def ner_map(ents: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -19,6 +19,7 @@ METADATA_DDL = (f"struct<senderEmailAddress:{ADDR}, fromEmailAddresses:array<{AD
                 f"ccEmailAddresses:array<{ADDR}>, bccEmailAddresses:array<{ADDR}>, subject:string, "
                 f"messageId:string, sentDate:long, receivedByEmailAddress:string, "
                 f"inReplyToMessageIds:array<string>, referenceMessageIds:array<string>>")
+SENDER_DATA = "array<struct<address:string,name:string,confidenceScore:int,sourceTypes:array<string>>>"
 BODY_REQUEST_DDL = (f"emailMetadata {METADATA_DDL}, emailBody struct<htmlBody:string,textBody:string>, "
                     f"responseDataTypes array<string>, preferredBodyType string, maxSignatures int")
 
@@ -94,26 +95,32 @@ def sender_data(meta: Column, ents: Column) -> Column:
     return F.when(meta.isNotNull(), kept)
 
 
-def build_responses(ents: DataFrame, blocks: DataFrame, id_col: str = "doc_id", block_col: str = "block",
-                    meta_col: str | None = None) -> DataFrame:
-    """RSP-1: one response per document: ``(id, parseStatusType, signatureBlock, signatureFields,
-    senderEmailData)``; an empty block gives NO_SIGNATURE_BLOCK and NULL payload."""
-    g = ents.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("seq", "entity", "name"))).alias("_e"))
-    cols = [id_col, block_col] + ([meta_col] if meta_col else [])
-    j = blocks.select(*cols).join(g, id_col, "left")
-    e = F.coalesce(F.col("_e"), F.array().cast("array<struct<seq:int,entity:string,name:string>>"))
+def responses(blocks: DataFrame, id_col: str = "doc_id", block_col: str = "block", entities_col: str = "entities",
+              meta_col: str | None = None) -> DataFrame:
+    """RSP-1: one response for each row: ``(id, parseStatusType, signatureBlock, signatureFields, senderEmailData)``; an empty
+    block gives NO_SIGNATURE_BLOCK and NULL payload. ``entities_col`` is the row's ordered entity array."""
+    e = F.col(entities_col)
     empty = F.coalesce(F.length(block_col), F.lit(0)) == 0
-    meta = F.col(meta_col) if meta_col else None
-    return j.select(
+    sender = F.when(~empty, sender_data(F.col(meta_col), e)) if meta_col else F.lit(None).cast(SENDER_DATA)
+    return blocks.select(
         id_col,
         F.when(empty, F.lit(S.PARSE_NO_SIGNATURE)).otherwise(F.lit(S.PARSE_SUCCESS)).alias("parseStatusType"),
         F.when(~empty, F.struct(F.col(block_col).alias("block"))).alias("signatureBlock"),
-        F.when(~empty, signature_fields(e)).alias("signatureFields"),
-        (F.when(~empty, sender_data(meta, e)) if meta is not None else F.lit(None).cast("string")).alias("senderEmailData"))
+        F.when(~empty, signature_fields(e)).alias("signatureFields"), sender.alias("senderEmailData"))
+
+
+def build_responses(ents: DataFrame, blocks: DataFrame, id_col: str = "doc_id", block_col: str = "block",
+                    meta_col: str | None = None) -> DataFrame:
+    """RSP-1 from an entity table ``(id, seq, entity, name)``: gathered by id, in the order of ``seq``."""
+    g = ents.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("seq", "entity", "name"))).alias("_e"))
+    j = blocks.select(id_col, block_col, *([meta_col] if meta_col else [])).join(g, id_col, "left")
+    none = F.array().cast("array<struct<seq:int,entity:string,name:string>>")
+    return responses(j.withColumn("_e", F.coalesce("_e", none)), id_col, block_col, "_e", meta_col)
 
 
 # ------------------------------------------------------------------------------ flatten back
-RESPONSE_TAGS = [  # (tag, list field, value field, phone type)
+#: (tag, list field, value field, phone type): the sixteen tags of the evaluation, then the fields that it leaves out.
+RESPONSE_TAGS = [
     ("NAME_GIVEN", "names", "given", None), ("NAME_SURNAME", "names", "surname", None),
     ("NAME_PREFIX", "names", "prefix", None), ("NAME_SUFFIX", "names", "suffix", None),
     ("NAME_MIDDLE", "names", "middle", None), ("JOB_TITLE", "jobTitles", "title", None),
@@ -122,7 +129,9 @@ RESPONSE_TAGS = [  # (tag, list field, value field, phone type)
     ("PHONE_OFFICE", "phoneNumbers", "number", "OFFICE"), ("ADDRESS_CITY", "cities", "name", None),
     ("ADDRESS_POSTAL_CODE", "postalCodes", "code", None), ("ADDRESS_STREET", "addresses", "line", None),
     ("ADDRESS_COUNTRY", "countries", "name", None), ("URL", "webSites", "url", None),
+    ("PHONE_HOME", "phoneNumbers", "number", "HOME"), ("ADDRESS_COUNTRY_DIVISION", "countryDivisions", "name", None),
 ]
+EVALUATED_TAGS = RESPONSE_TAGS[:16]
 
 
 def _is_type(ptype):
@@ -152,6 +161,12 @@ def response_to_long(resp: DataFrame, id_col: str = "doc_id", fields_col: str =
     return x.select(id_col, F.col("t").alias("tag_no"), F.col("k").alias("pos"), "entity", "name")
 
 
+def sender_to_long(resp: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """RSP-4 flattened: ``(id, pos, address, name, confidenceScore, source_types)``, types joined by commas."""
+    x = resp.select(id_col, F.posexplode("senderEmailData").alias("pos", "s"))
+    return x.select(id_col, "pos", "s.address", "s.name", "s.confidenceScore", F.array_join("s.sourceTypes", ",").alias("source_types"))
+
+
 # ------------------------------------------------------------------------------ envelopes
 def body_request(text: Column, meta: Column) -> Column:
     """RSP-9: body request envelope as JSON text."""

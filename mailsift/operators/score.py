@@ -1,26 +1,29 @@
 """Token-scorer hook (UDF-1) and language detection (UDF-4).
 
-A scorer maps a batch of texts to token predictions ``[{start, end, entity,
-score}]`` with text-local offsets. It runs Arrow-batched inside
-``mapInPandas``; the scorer object is built once per Python worker and
-reused. The trained models are not part of the snapshot, so the shipped
-default scorers are small deterministic rules; plug a real model by passing
-any object with the same ``__call__``.
+A scorer maps a list of texts to token predictions ``[{start, end, entity,
+score}]`` with text-local offsets. ``Scorers`` holds one scorer for each
+language of a task; ``score_windows`` runs them in one Arrow pass over the
+windows of whole texts. The trained models are not part of the snapshot, so
+the shipped default scorers are small deterministic rules; plug a real model
+by passing factories of any object with the same ``__call__``.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+from collections import OrderedDict, defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailsift import settings as S
+from mailsift.operators.segment import pack_greedy, sentence_units
 
-PRED_SCHEMA_FIELDS = "token_no int, start int, end int, entity string, score double"
 _TOKEN = re.compile(r"[^ \t\n\r\f]+")
 _ORG_WORDS = {"Inc", "Inc.", "Ltd", "Ltd.", "LLC", "GmbH", "Corp", "Corp.", "SA", "AG"}
 
@@ -51,11 +54,13 @@ class RuleNerScorer:
     NAME_GIVEN and the capitalised word after it -> NAME_SURNAME, company suffixes ->
     ORGANIZATION; other tokens are not emitted."""
 
+    places = False
+
     def __call__(self, texts: list[str]) -> list[list[dict]]:
         out = []
         for t in texts:
             t = t or ""
-            preds, prev_line, prev_label, line, pos = [], -1, None, 0, 0
+            preds, prev_line, prev_label, line, pos, listed = [], -1, None, 0, 0, False
             for m in _TOKEN.finditer(t):
                 w = m.group(0)
                 line += t.count("\n", pos, m.start())
@@ -72,43 +77,147 @@ class RuleNerScorer:
                         label = "NAME_GIVEN"
                     elif prev_label == "NAME_GIVEN":
                         label = "NAME_SURNAME"
+                    elif self.places and listed:
+                        label = "ADDRESS_CITY"
                 if label:
                     preds.append({"start": m.start(), "end": m.end(), "entity": label, "score": 1.0})
-                prev_line, prev_label = line, label
+                prev_line, prev_label, listed = line, label, w[-1] in ",."
             out.append(preds)
         return out
 
 
-_WORKER_CACHE: dict[str, Callable] = {}
-
-
-def score_tokens(df: DataFrame, key_cols: list[str], text_col: str, scorer_factory: Callable[[], Callable],
-                 cache_key: str) -> DataFrame:
-    """UDF-1: ``(keys..., token_no, start, end, entity, score)`` per token prediction.
-
-    Rows with empty text never reach Python (filtered first)."""
-    fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([f"{k} {fields[k]}" for k in key_cols] + [PRED_SCHEMA_FIELDS])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = _WORKER_CACHE.get(cache_key)
-        if scorer is None:
-            scorer = _WORKER_CACHE[cache_key] = scorer_factory()
-        for pdf in batches:
-            preds = scorer(pdf[text_col].tolist())
-            counts = np.fromiter((len(p) for p in preds), dtype=np.int64, count=len(preds))
-            flat = [d for p in preds for d in p]
-            n = len(flat)
-            out = {k: np.repeat(pdf[k].to_numpy(), counts) for k in key_cols}
-            out["token_no"] = (np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
-            out["start"] = np.fromiter((d["start"] for d in flat), dtype=np.int32, count=n)
-            out["end"] = np.fromiter((d["end"] for d in flat), dtype=np.int32, count=n)
-            out["entity"] = [d["entity"] for d in flat]
-            out["score"] = np.fromiter((float(d.get("score", 1.0)) for d in flat), dtype=np.float64, count=n)
-            yield pd.DataFrame(out)
-
-    src = df.select(*key_cols, text_col).where(F.length(text_col) > 0)
-    return src.mapInPandas(run, schema)
+class PlaceNerScorer(RuleNerScorer):
+    """NER default of languages whose places come from the model: also, a capitalised word after a word that ends with
+    ``,`` or ``.`` on the same line -> ADDRESS_CITY."""
+
+    places = True
+
+
+# ------------------------------------------------------------------------------ models by language (UDF-1)
+MODELS_KEPT = 6
+SLICE = 64
+_MODELS: OrderedDict[tuple[str, str], Callable] = OrderedDict()
+
+
+class Scorers:
+    """One task's scorers: a factory for each language and one for all others.
+
+    A Python worker builds a language's scorer when it first meets that language and keeps the ``MODELS_KEPT`` used last,
+    of all tasks together. ``name`` identifies the task."""
+
+    def __init__(self, name: str, default: Callable[[], Callable], by_language: dict[str, Callable[[], Callable]] | None = None):
+        self.name, self.default, self.by_language = name, default, dict(by_language or {})
+
+    def of(self, language: str | None) -> Callable:
+        known = language if language in self.by_language else ""
+        key = (self.name, known)
+        if key not in _MODELS:
+            while len(_MODELS) >= MODELS_KEPT:
+                _MODELS.popitem(last=False)
+            _MODELS[key] = self.by_language.get(known, self.default)()
+        _MODELS.move_to_end(key)
+        return _MODELS[key]
+
+    def __call__(self, languages: list[str | None], texts: list[str]) -> Iterator[list[dict]]:
+        """Predictions of each text by its language's scorer, ``SLICE`` texts of one language at a time."""
+        out: list[list[dict] | None] = [None] * len(texts)
+        places = defaultdict(list)
+        for i, language in enumerate(languages):
+            places[language if language in self.by_language else ""].append(i)
+        for language, at in places.items():
+            scorer = self.of(language)
+            for low in range(0, len(at), SLICE):
+                part = at[low:low + SLICE]
+                for i, preds in zip(part, scorer([texts[i] for i in part])):
+                    out[i] = preds
+        return iter(out)
+
+
+SEGMENTATION = Scorers("segmentation", functools.partial(LastLinesScorer, 2), {"en": LastLinesScorer})
+NER = Scorers("ner", PlaceNerScorer, {"en": RuleNerScorer})
+
+_ARROW = {"int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+
+
+def score_windows(df: DataFrame, scorers: Scorers, fields: str, decide: Callable[[str, int, list[dict]], list[tuple]], text_col: str = "text",
+                  lang_col: str | None = "lang", limit: int = S.INFERENCE_TOKEN_LIMIT, name: str = "scored") -> DataFrame:
+    """``df`` with the array column ``name`` of structs ``(window, *fields)``: what ``decide(text, start, predictions)`` gives
+    for each window of at most ``limit`` tokens of the text, in order (UDF-1, SPN-4).
+
+    Windows are cut in the JVM and travel as offsets beside the text; one Arrow pass slices them, calls the scorer of each
+    row's language and drops a window's predictions once it is decided, so memory follows ``SLICE`` windows and not the
+    rows of a batch. Null and empty texts have no windows. ``fields`` is a DDL list of int, string and double."""
+    names = [f.split() for f in fields.split(",")]
+    element = T.StructType.fromDDL("window int, " + fields)
+    cut = df.withColumn("_windows", F.when(F.length(text_col) > 0, F.transform(
+        pack_greedy(sentence_units(F.col(text_col), limit), limit), lambda w: F.struct(w["start"].alias("s"), w["end"].alias("e")))))
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(element))])
+    at, lang_at = df.columns.index(text_col), df.columns.index(lang_col) if lang_col else None
+    columns_of = list(df.columns)
+    kinds = [pa.field("window", pa.int32())] + [pa.field(n, _ARROW[t]) for n, t in names]
+
+    def found(texts, languages, windows):
+        """Decided rows of each text, in chunks of few windows."""
+        out = [[] for _ in texts]
+        chunk: list[tuple[int, int, int, str]] = []
+
+        def close():
+            scored = scorers([languages[i] for i, *_ in chunk], [t for *_, t in chunk])
+            for (i, no, start, text), preds in zip(chunk, scored):
+                out[i].extend((no, *row) for row in decide(text, start, preds))
+            chunk.clear()
+
+        for i, (text, cut) in enumerate(zip(texts, windows)):
+            for no, w in enumerate(cut or ()):
+                if w["e"] > w["s"]:
+                    chunk.append((i, no, w["s"], text[w["s"]:w["e"]]))
+                if len(chunk) >= SLICE:
+                    close()
+        close()
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 4 * SLICE):
+                b = whole.slice(low, 4 * SLICE)
+                languages = b.column(lang_at).to_pylist() if lang_col else [None] * b.num_rows
+                rows = found(b.column(at).to_pylist(), languages, b.column(b.num_columns - 1).to_pylist())
+                flat = [x for r in rows for x in r]
+                ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+                columns = [pa.array([x[k] for x in flat], f.type) for k, f in enumerate(kinds)]
+                arrays = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, fields=kinds))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], arrays], names=[*columns_of, name])
+
+    return cut.mapInArrow(run, schema)
+
+
+def predicted_tokens(text: str, start: int, preds: list[dict]) -> list[tuple]:
+    """``token_no int, start int, end int, entity string, score double``: every prediction, offsets in the whole text."""
+    return [(i, p["start"] + start, p["end"] + start, p["entity"], float(p.get("score", 1.0))) for i, p in enumerate(preds)]
+
+
+def predicted_signature(text: str, start: int, preds: list[dict], label: str = S.SIGNATURE_LABEL) -> list[tuple]:
+    """``n int, start int, end int``: one row for the window, the number of signature tokens and their span (SPN-3)."""
+    hits = [p for p in preds if p["entity"] == label]
+    return [(len(hits), hits[0]["start"] + start if hits else None, hits[-1]["end"] + start if hits else None)]
+
+
+def predicted_entities(text: str, start: int, preds: list[dict], gap: int = 4) -> list[tuple]:
+    """``start int, end int, entity string, name string, score double``: predictions of one tag joined while the next one
+    starts less than ``gap`` after the last one's end (SPN-1), offsets in the whole text."""
+    spans: dict[str, list[list[int]]] = {}
+    for p in preds:
+        own = spans.setdefault(p["entity"], [])
+        if own and p["start"] - own[-1][1] < gap:
+            own[-1][1] = p["end"]
+        else:
+            own.append([p["start"], p["end"]])
+    return [(s + start, e + start, tag, text[s:e], 1.0) for tag, own in spans.items() for s, e in own]
+
+
+TOKENS = "token_no int, start int, end int, entity string, score double"
+SIGNATURES = "n int, start int, end int"
+ENTITIES = "start int, end int, entity string, name string, score double"
 
 
 # ------------------------------------------------------------------------------ UDF-4

@@ -19,16 +19,17 @@ TOK = K.q(S.TOKEN_PATTERN)
 TRAIN_LIMITS = list(range(25, 175, 25))
 
 
-def _inference_sql(limit: int) -> str:
-    sents = K.spans("documents", "doc_id", "text", S.SENTENCE_PATTERN)
+def _inference_sql(limit: int, src: str = "documents") -> str:
+    """Windows of the texts of ``src`` (doc_id of any type, text)."""
+    sents = K.spans(src, "doc_id", "text", S.SENTENCE_PATTERN)
     su = f"""su AS (SELECT doc_id, i, "start", name, len(regexp_extract_all(name, {TOK})) AS n,
         "start" + length(regexp_replace(name, '[ \\t\\f]+\\z', '')) AS e FROM s)"""
-    lt = K.spans(f"(SELECT doc_id * 100000 + i AS sid, name FROM su WHERE n > {limit})", "sid", "name", S.TOKEN_PATTERN)
+    lt = K.spans(f"(SELECT {{'d': doc_id, 'i': i}} AS sid, name FROM su WHERE n > {limit})", "sid", "name", S.TOKEN_PATTERN)
     return f"""
 WITH s AS {sents},
 {su},
 lt AS {lt},
-ch AS (SELECT sid // 100000 AS doc_id, sid % 100000 AS i, (i - 1) // {limit} AS k, count(*) AS n,
+ch AS (SELECT sid.d AS doc_id, sid.i AS i, (i - 1) // {limit} AS k, count(*) AS n,
               min("start") AS ts, max("end") AS te FROM lt GROUP BY sid, (i - 1) // {limit}),
 units AS (SELECT doc_id, i, 0 AS k, n, "start" AS s, e FROM su WHERE n <= {limit}
           UNION ALL SELECT ch.doc_id, ch.i, ch.k, ch.n, su."start" + ch.ts, su."start" + ch.te
@@ -40,7 +41,7 @@ packed AS (SELECT d.doc_id, d.text, list_reduce(coalesce(ul.u, []), lambda acc,
          THEN {{'cn': x.n, 'cs': x.s, 'ce': x.e, 'out': list_append(acc.out, {{'n': acc.cn, 's': acc.cs, 'e': acc.ce}})}}
          ELSE {{'cn': acc.cn + x.n, 'cs': acc.cs, 'ce': x.e, 'out': acc.out}} END,
     {{'cn': 0, 'cs': 0, 'ce': 0, 'out': []::STRUCT(n INTEGER, s INTEGER, e INTEGER)[]}}) AS st
-  FROM documents d LEFT JOIN ul ON d.doc_id = ul.doc_id),
+  FROM {src} d LEFT JOIN ul ON d.doc_id = ul.doc_id),
 segs AS (SELECT doc_id, text, list_append(st.out, {{'n': st.cn, 's': st.cs, 'e': st.ce}}) AS out FROM packed)
 SELECT doc_id, CAST(generate_subscripts(out, 1) - 1 AS INTEGER) AS segment_no, unnest(out).n AS n_tokens,
        unnest(out).s AS "start", unnest(out).e AS "end",
