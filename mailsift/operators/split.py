@@ -4,15 +4,19 @@ A split is a pure function of the group key: ``md5(seed:group)`` mapped to
 [0, 1). Whole groups land on one side, the assignment is stable under
 repartitioning and retries, and no shuffle is needed to assign it. (The
 shuffle-based group sampler of the reference is not reproducible across
-engines; the hash split keeps the expected ratio of *groups*.)
+engines; the hash split keeps the expected ratio of *groups*, and
+``two_way_split_exact`` the exact number.)
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsift import settings as S
+from mailsift.operators.ranks import numbered
 
 _TWO_32 = 4294967296.0
 
@@ -31,6 +35,28 @@ def two_way_split(df: DataFrame, group_col: str, ratio: float, seed: int = 42) -
     return df.where(f >= ratio), df.where(f < ratio)
 
 
+def exact_threshold(df: DataFrame, group_col: str, ratio: float, seed: int = 42):
+    """The last group of the test side in the order of (hash, group), or None: ``ceil(ratio * groups)`` groups lie up to it.
+    Groups are numbered over ranges of that order; the driver gets this one row."""
+    g = F.col(group_col)
+    groups = df.select(hash_fraction(F.coalesce(g.cast("string"), F.lit("")), seed).alias("h"), g.isNull().alias("none"), g.cast("string").alias("g")).distinct()
+    ranked = numbered(groups, [F.col("h"), F.col("none"), F.col("g")], "no")
+    last = math.ceil(round(ratio * ranked.count(), 9))
+    return ranked.where(F.col("no") == last).first()
+
+
+def two_way_split_exact(df: DataFrame, group_col: str, ratio: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """SPL-1 with exact counts: (train, test); the test side has ``ceil(ratio * groups)`` whole groups, drawn by hash. Null is a
+    group of its own; with a unique ``group_col`` this is the split by rows. Rows are only filtered, never joined or moved."""
+    last = exact_threshold(df, group_col, ratio, seed) if ratio else None
+    if last is None:
+        return df, df.limit(0)
+    g = F.col(group_col)
+    own = F.struct(hash_fraction(F.coalesce(g.cast("string"), F.lit("")), seed).alias("h"), g.isNull().alias("none"), g.cast("string").alias("g"))
+    test = own <= F.struct(F.lit(last.h).alias("h"), F.lit(last.none).alias("none"), F.lit(last.g).cast("string").alias("g"))
+    return df.where(~test), df.where(test)
+
+
 def assign_split(df: DataFrame, group_col: str, validation_test_ratio: float = 0.2,
                  validation_ratio_from_validation_test: float = 0.5, seed: int = 42) -> DataFrame:
     """SPL-2: ``split`` column train/validation/test with the two thresholds on one hash."""

@@ -211,6 +211,25 @@ def eval_substring_sieve(spark, sf_dir):
     return E.substring_sieve(ev, ["user_id"])
 
 
+_NAMES = """SELECT user_id, event_id, CAST(CAST(floor(value * 10) AS BIGINT) AS VARCHAR) AS name, event_id % 50 AS "start", event_id % 50 + 5 AS "end",
+  CASE WHEN event_type IN ('error', 'view') THEN 'UNKNOWN' ELSE upper(event_type) END AS entity FROM events"""
+
+
+@register("eval_regroup_names", f"""
+WITH n AS ({_NAMES}),
+g AS (SELECT user_id, name, CAST(sum("start") AS BIGINT) AS "start", CAST(sum("end") AS BIGINT) AS "end",
+             CASE WHEN count(*) = 1 THEN min(entity) ELSE arg_min(entity, event_id) FILTER (WHERE entity <> 'UNKNOWN') END AS entity
+      FROM n GROUP BY user_id, name)
+SELECT a.* FROM g a WHERE a.entity IS NOT NULL AND NOT EXISTS (
+  SELECT 1 FROM g b WHERE b.user_id = a.user_id AND b.entity = a.entity AND length(b.name) > length(a.name) AND contains(b.name, a.name))""")
+def eval_regroup_names(spark, sf_dir):
+    """AGG-9: names regrouped with summed offsets and their first known tag, then sieved per tag."""
+    return E.regroup_names(read_table(spark, sf_dir, "events").select(
+        "user_id", "event_id", F.floor(F.col("value") * 10).cast("bigint").cast("string").alias("name"), (F.col("event_id") % 50).alias("start"),
+        (F.col("event_id") % 50 + 5).alias("end"),
+        F.when(F.col("event_type").isin("error", "view"), "UNKNOWN").otherwise(F.upper("event_type")).alias("entity")), ["user_id"], "event_id")
+
+
 @register("eval_run_summary", """
 SELECT strftime(ts, '%Y-%m') AS api_url, count(*) FILTER (WHERE event_type <> 'error') AS n_predictions,
        count(*) FILTER (WHERE event_type = 'error') AS n_errors
@@ -224,12 +243,10 @@ def eval_run_summary(spark, sf_dir):
 
 @register("rsh_label_mappings", """
 SELECT CAST(row_number() OVER (ORDER BY o, role) - 1 AS INTEGER) AS id, role AS label
-FROM (SELECT role, min(conv_id * 100000 + turn) AS o FROM conversations GROUP BY role)""")
+FROM (SELECT role, min({'c': conv_id, 't': turn}) AS o FROM conversations GROUP BY role)""")
 def rsh_label_mappings(spark, sf_dir):
     """RSH-6: id <-> label by first appearance."""
-    conv = read_table(spark, sf_dir, "conversations").select(
-        "role", (F.col("conv_id") * 100000 + F.col("turn")).alias("o"))
-    return E.label_mappings(spark, conv, "role", "o")
+    return E.label_mappings(read_table(spark, sf_dir, "conversations"), "role", [F.col("conv_id"), F.col("turn")])
 
 
 # ------------------------------------------------------------------------------- data quality

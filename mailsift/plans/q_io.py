@@ -58,11 +58,17 @@ def src_multiformat_roundtrip(spark, sf_dir):
     return out
 
 
-@register("src_per_file_cap")
+CAP = 500
+
+
+@register("src_per_file_cap", f"""
+SELECT {', '.join(ORDER_COLS)} FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS no FROM orders) WHERE no <= {CAP}""")
 def src_per_file_cap(spark, sf_dir):
-    """SRC-1/LIM-1: at most 500 rows from every csv file of the round trip (rows-only)."""
-    base, _ = _orders_roundtrip(spark, sf_dir)
-    return _typed(read_dataframe(spark, os.path.join(base, "o.csv", "*.csv"), max_records_per_file=500))
+    """SRC-1/LIM-1/FLT-7: the first 500 rows of every csv file; each priority has a file of its own, sorted by key."""
+    path = scratch_path(spark, "src-cap")
+    orders = read_table(spark, sf_dir, "orders").select(*ORDER_COLS, F.col("o_orderpriority").alias("f"))
+    orders.repartition("f").sortWithinPartitions("f", "o_orderkey").write.partitionBy("f").option("header", "true").csv(path)
+    return _typed(read_dataframe(spark, os.path.join(path, "*", "*.csv"), max_records_per_file=CAP))
 
 
 @register("src_json_flatten", """

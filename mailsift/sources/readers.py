@@ -65,7 +65,8 @@ def read_dataframe(spark: SparkSession, input_path: str, header_names: list[str]
         groups = _files_by(spark, input_path, lambda line: F.try_parse_json(line).isNull())
         parts = [flatten_struct(load(files, multiLine=str(whole).lower())) for whole, files in groups]
     else:
-        options = {"header": str(header).lower(), "mode": "DROPMALFORMED", **({"sep": "\t"} if ext == "tsv" else {})}
+        # without column pruning, so that a row is malformed or not whatever columns are asked for
+        options = {"header": str(header).lower(), "mode": "DROPMALFORMED", "columnPruning": "false", **({"sep": "\t"} if ext == "tsv" else {})}
         if header_names:
             reader = spark.read.format("csv").options(**options).schema(", ".join(f"`{h}` STRING" for h in header_names))
             df = reader.load(input_path)
@@ -79,13 +80,19 @@ def read_dataframe(spark: SparkSession, input_path: str, header_names: list[str]
 
 
 def cap_per_file(df: DataFrame, n: int) -> DataFrame:
-    """Keep the first ``n`` rows of every input file (file order = block start, then row id)."""
-    w = Window.partitionBy("_f").orderBy("_b", "_r")
-    out = (df.withColumn("_f", F.col("_metadata.file_path"))
-             .withColumn("_b", F.col("_metadata.file_block_start"))
-             .withColumn("_r", F.monotonically_increasing_id())
-             .withColumn("_n", F.row_number().over(w)))
-    return out.where(F.col("_n") <= n).drop("_f", "_b", "_r", "_n")
+    """Keep the first ``n`` rows of every input file, by quotas of its splits.
+
+    The rows of a split have consecutive row ids. A count by split and prefix sums over a file's splits (a row for each
+    split, at most the file size over the split size) say which splits lie within the first ``n`` rows and up to which id;
+    rows are then only compared with their split's last id, so no task holds a file. ``df`` must be a plain scan."""
+    rows = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
+                     F.monotonically_increasing_id().alias("_r"))
+    splits = rows.groupBy(F.col("_f").alias("_sf"), F.col("_b").alias("_sb")).agg(F.count(F.lit(1)).alias("_k"), F.min("_r").alias("_first"))
+    before = F.coalesce(F.sum("_k").over(Window.partitionBy("_sf").orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    quotas = splits.withColumn("_before", before).where(F.col("_before") < n)
+    quotas = quotas.select("_sf", "_sb", (F.col("_first") + n - F.col("_before")).alias("_stop"))
+    kept = rows.join(quotas, (F.col("_f") == F.col("_sf")) & (F.col("_b") == F.col("_sb"))).where("_r < _stop")
+    return kept.select(*df.columns)
 
 
 def read_parquet_dataset(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
