@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,21 +10,41 @@ from mailsift import settings as S
 from mailsift.operators.response import response_to_long
 from mailsift.plans import sqlkit as K
 from mailsift.plans.q_extract import _entities_sql
+from mailsift.plans.q_gazetteer import gazetteer_df
+from mailsift.plans.q_signature import _BODIES, _page_mails, _resp_long_sql
 from mailsift.plans.registry import register
-from mailsift.session import ensure_checkpoint_dir, read_table
-from mailsift.streaming.jobs import capture_errors, parse_rows, run_windowed_counts
+from mailsift.session import read_table
+from mailsift.sources.writers import scratch_path
+from mailsift.streaming.jobs import capture_errors, parse_rows, read_parsed, start_parse_stream, start_windowed_counts
 
 
 @register("str_window_counts", """
 SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n
 FROM events GROUP BY 1, 2""")
 def str_window_counts(spark, sf_dir):
-    """STR-2: events read as a stream (availableNow), hourly counts per type with a watermark."""
-    schema = read_table(spark, sf_dir, "events").schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
-    ck = os.path.join(ensure_checkpoint_dir(spark), f"str2-{uuid.uuid4().hex}")
-    name = f"str2_{uuid.uuid4().hex[:8]}"
-    return run_windowed_counts(spark, stream, name, ck)
+    """STR-2: events read as a stream (availableNow), hourly counts per type in append mode. A last event far ahead moves the
+    watermark past every window; its own window stays open."""
+    events = read_table(spark, sf_dir, "events")
+    base = scratch_path(spark, "str2")
+    path = {k: os.path.join(base, k) for k in ("in", "out", "checkpoint")}
+    last = events.limit(1).withColumn("ts", F.expr("make_timestamp_ntz(9999, 1, 1, 0, 0, 0)")).withColumn("event_type", F.lit("end"))
+    for df in (events, last):
+        df.write.mode("append").parquet(path["in"])
+        stream = spark.readStream.schema(events.schema).parquet(path["in"])
+        start_windowed_counts(stream, path["out"], path["checkpoint"]).awaitTermination()
+    return spark.read.parquet(path["out"]).where("event_type <> 'end'")
+
+
+@register("str_parse_bodies", _resp_long_sql(_BODIES, ents="fin", docs="sigs"))
+def str_parse_bodies(spark, sf_dir):
+    """STR-1: mails arriving as files in several micro-batches, parsed by the whole body pipeline; the output equals the batch
+    query's (``rsp_parse_bodies_long``)."""
+    base = scratch_path(spark, "str1")
+    mails = _page_mails(spark, sf_dir)
+    mails.repartition(3, "doc_id").write.parquet(os.path.join(base, "in"))
+    stream = spark.readStream.schema(mails.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(base, "in"))
+    start_parse_stream(stream, gazetteer_df(spark), os.path.join(base, "out"), os.path.join(base, "checkpoint"), meta_col="meta").awaitTermination()
+    return response_to_long(read_parsed(spark, os.path.join(base, "out")))
 
 
 @register("str_parse_rows", f"""

@@ -1,21 +1,25 @@
 """Structured Streaming forms (STR-1..3).
 
-* ``parse_rows`` is the per-row (stateless) body plan: clean, extract pattern
-  entities and build the nested response inside each row, so it runs
-  unchanged under ``readStream`` in append mode.
+* ``start_parse_stream`` runs the body pipeline for every micro-batch of mails,
+  with an output folder for each batch, so a repeated batch replaces itself.
+* ``parse_rows`` is a per-row (stateless) plan without models: clean, extract
+  pattern entities and build the nested response inside each row.
 * ``windowed_counts`` are the service counters per tumbling window with a
-  watermark for late data.
+  watermark for late data, written in append mode.
 * ``capture_errors`` replaces per-request HTTP errors with an ``error``
   column; failing rows are routed to an errors table.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailsift.functions.text import clean_mail_text, map_language
 from mailsift.operators.extract import regex_entity_array
+from mailsift.operators.parse import parse_bodies
 from mailsift.operators.response import signature_fields
 
 
@@ -34,15 +38,22 @@ def parse_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                     F.when(~empty, signature_fields(F.col("_ents"))).alias("signatureFields"))
 
 
-def start_parse_stream(spark: SparkSession, input_path: str, schema, output_path: str, checkpoint_path: str,
-                       available_now: bool = True, **kw):
-    """STR-1: mail rows arriving as parquet files -> parsed rows appended to parquet."""
-    src = spark.readStream.schema(schema).parquet(input_path)
-    out = parse_rows(src, **kw)
-    w = out.writeStream.format("parquet").option("path", output_path).option("checkpointLocation", checkpoint_path) \
-        .outputMode("append")
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+def start_parse_stream(mails: DataFrame, gazetteer: DataFrame, output_path: str, checkpoint_path: str, available_now: bool = True,
+                       id_col: str = "doc_id", **options):
+    """STR-1: the whole body pipeline (``parse.parse_bodies``) on a stream of mails, the gazetteer as its static side.
+
+    Every micro-batch overwrites its own folder ``batch=<id>``: a batch that is run again after a failure replaces what it
+    had written, so the output holds each mail once. ``read_parsed`` reads it. ``options`` go to ``parse_bodies``."""
+    def write(batch: DataFrame, number: int) -> None:
+        parse_bodies(batch, gazetteer, id_col, **options).write.mode("overwrite").parquet(os.path.join(output_path, f"batch={number}"))
+
+    w = mails.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_path).outputMode("append")
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")).start()
+
+
+def read_parsed(spark: SparkSession, output_path: str) -> DataFrame:
+    """The responses that a parse stream has written so far."""
+    return spark.read.option("basePath", output_path).parquet(os.path.join(output_path, "batch=*")).drop("batch")
 
 
 def windowed_counts(events: DataFrame, ts_col: str, key_col: str, window: str = "1 hour",
@@ -60,13 +71,13 @@ def windowed_counts(events: DataFrame, ts_col: str, key_col: str, window: str =
     return g.select(F.date_format(start, "yyyy-MM-dd HH:mm:ss").alias("window_start"), key_col, "n")
 
 
-def run_windowed_counts(spark: SparkSession, events_stream: DataFrame, query_name: str, checkpoint_path: str,
-                        ts_col: str = "ts", key_col: str = "event_type", output_mode: str = "complete") -> DataFrame:
-    """Drive STR-2 to completion with an ``availableNow`` trigger into a memory table."""
-    q = (windowed_counts(events_stream, ts_col, key_col).writeStream.format("memory").queryName(query_name)
-         .outputMode(output_mode).option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(query_name)
+def start_windowed_counts(events_stream: DataFrame, output_path: str, checkpoint_path: str, ts_col: str = "ts",
+                          key_col: str = "event_type", available_now: bool = True, **options):
+    """STR-2 to files in append mode: a window is written once, when the watermark has passed its end; its state is then
+    dropped, and rows that come later than that are left out."""
+    w = (windowed_counts(events_stream, ts_col, key_col, **options).writeStream.format("parquet").option("path", output_path)
+         .outputMode("append").option("checkpointLocation", checkpoint_path))
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")).start()
 
 
 def capture_errors(df: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
