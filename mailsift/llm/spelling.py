@@ -25,30 +25,63 @@ ties go to the smallest word in code-point order; an empty table gives an empty
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailsift.llm.common import written
+from mailsift.llm.common import prepare, written
 
-RUN = "[A-Za-z\\u00C0-\\u00FF]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_RUNS = re.compile(rb"(?:[a-z]+|\xc3[\x80-\xbf])+").findall
 MISSPELT, LEAST_LENGTH, LEAST_COUNT, FACTOR = 97, 5, 3, 2
 LEVELS = 48
 CROWDED, SHARE = 1000, 1000
+#: Different words that a task counts before it gives partial counts.
+KEPT = 200_000
+
+
+def misspelt(run: bytes, h: int) -> bytes:
+    """The run without the code point that its hash names."""
+    text = run.decode()
+    k = h % len(text)
+    return (text[:k] + text[k + 1:]).encode()
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of words. Runs are found in UTF-8, where ``bytes.lower`` changes A-Z only and U+00C0 to U+00FF are
+    the byte C3 and one more; each different run of a text is hashed once, going on from the hash of ``<id>:``."""
+    counts: dict[bytes, int] = defaultdict(int)
+
+    def batch() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+        counts.clear()
+        return out
+
+    for rows in batches:
+        for low in range(0, rows.num_rows, 100):
+            part = rows.slice(low, 100)
+            for d, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                start = zlib.crc32(f"{d}:".encode())
+                for run, n in Counter(_RUNS(text.encode().lower())).items():
+                    if len(run) >= LEAST_LENGTH:
+                        h = zlib.crc32(run, start)
+                        word = run if h % MISSPELT else misspelt(run, h)
+                        if len(word) - word.count(b"\xc3") >= LEAST_LENGTH:
+                            counts[word] += n
+                if len(counts) >= KEPT:
+                    yield batch()
+    yield batch()
 
 
 def words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(word, n): the words that occur often enough, with their counts."""
-    runs = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("d"),
-                       F.explode(F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(RUN), F.lit(0))).alias("r"))
-    runs = runs.select("d", F.translate("r", UPPER, LOWER).alias("r"))
-    h = F.crc32(F.concat("d", F.lit(":"), "r"))
-    runs = runs.select("r", h.alias("h"))
-    at = (F.col("h") % F.char_length("r")).cast("int")
-    misspelt = F.concat(F.substring("r", F.lit(1), at), F.substring("r", at + 2, F.char_length("r")))
-    word = F.when(F.col("h") % MISSPELT == 0, misspelt).otherwise(F.col("r"))
-    counts = runs.select(word.alias("word")).where(F.char_length("word") >= LEAST_LENGTH).groupBy("word").agg(F.count("*").alias("n"))
-    return counts.where(F.col("n") >= LEAST_COUNT)
+    rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("d"), F.col(f"`{text_col}`").alias("t"))
+    counts = rows.where(F.length("t") > 0).mapInArrow(_counted, "word string, n long")
+    return counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
 
 
 def _char(word: Column, at: Column) -> Column:
@@ -169,6 +202,7 @@ def rooted(forms: DataFrame) -> DataFrame:
 
 def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(word, form, root, n, n_near, form_n) of every word of the texts."""
+    prepare(docs.sparkSession)
     found = written(words(docs, id_col, text_col), "words")
     best = near_words(found).groupBy("word", "n").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), "near")).alias("b"))
     fits = -F.col("b.minus") >= FACTOR * F.col("n")

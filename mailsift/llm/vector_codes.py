@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailsift.llm.common import written
+from mailsift.llm.common import prepare, written
 
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 LARGEST = 1 << 27
@@ -145,6 +145,7 @@ def compress(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     """The coded rows (vec_id, label, code, error, label_error) and the codebooks, one integer array for each part.
 
     ``entries`` is at most 256: a code has two hex digits for each part."""
+    prepare(vectors.sparkSession)
     rows = kept(vectors, id_col, vector_col, label_col)
     books = first_books(rows, parts, entries)
     if books is None:
