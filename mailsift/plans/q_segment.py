@@ -64,7 +64,7 @@ def seg_inference_segments_small(spark, sf_dir):
 
 
 _TRAIN_SQL = f"""
-WITH b AS (SELECT conv_id * 100000 + turn AS bid, conv_id, turn, role, text FROM conversations
+WITH b AS (SELECT {{'c': conv_id, 't': turn}} AS bid, conv_id, turn, role, text, CASE WHEN turn % 3 = 2 THEN 'fr' ELSE 'en' END AS lang FROM conversations
            WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL AND text IS NOT NULL),
 s AS {K.spans('b', 'bid', 'text', S.SENTENCE_PATTERN)},
 st AS (SELECT s.bid, s.i, regexp_extract_all(s.name, {TOK}) AS toks FROM s),
@@ -72,10 +72,10 @@ lims AS (SELECT unnest({TRAIN_LIMITS}) AS L),
 ch AS (SELECT bid, i, L, k, list_slice(toks, k * L + 1, (k + 1) * L) AS tok FROM (
          SELECT st.bid, st.i, lims.L, st.toks, unnest(generate_series(0, greatest(len(st.toks) - 1, 0) // lims.L)) AS k
          FROM st CROSS JOIN lims) z),
-sl AS (SELECT b.conv_id, ch.L, list({{'tok': ch.tok, 'lab': list_transform(ch.tok, lambda t: b.role)}}
+sl AS (SELECT b.conv_id, b.lang, ch.L, list({{'tok': ch.tok, 'lab': list_transform(ch.tok, lambda t: b.role)}}
                                     ORDER BY b.turn, ch.i, ch.k) AS sents
-       FROM ch JOIN b ON b.bid = ch.bid GROUP BY b.conv_id, ch.L),
-rg AS (SELECT conv_id, L, sents, list_reduce(list_transform(sents, lambda x, j: {{'n': CAST(len(x.tok) AS INTEGER), 'j': CAST(j - 1 AS INTEGER)}}),
+       FROM ch JOIN b ON b.bid = ch.bid GROUP BY b.conv_id, b.lang, ch.L),
+rg AS (SELECT conv_id, lang, L, sents, list_reduce(list_transform(sents, lambda x, j: {{'n': CAST(len(x.tok) AS INTEGER), 'j': CAST(j - 1 AS INTEGER)}}),
     lambda acc, x: CASE WHEN acc.cn + x.n > L THEN
         {{'cn': CASE WHEN x.j = 0 OR acc.pn + x.n > CAST(floor(L * 1.5) AS INTEGER) THEN x.n ELSE acc.pn + x.n END,
          'a': CASE WHEN x.j = 0 OR acc.pn + x.n > CAST(floor(L * 1.5) AS INTEGER) THEN x.j ELSE x.j - 1 END,
@@ -83,31 +83,34 @@ rg AS (SELECT conv_id, L, sents, list_reduce(list_transform(sents, lambda x, j:
          'out': CASE WHEN x.j > 0 THEN list_append(acc.out, {{'a': acc.a, 'b': acc.b}}) ELSE acc.out END}}
       ELSE {{'cn': acc.cn + x.n, 'a': acc.a, 'b': x.j, 'pn': x.n, 'out': acc.out}} END,
     {{'cn': 0, 'a': 0, 'b': -1, 'pn': 0, 'out': []::STRUCT(a INTEGER, b INTEGER)[]}}) AS st FROM sl),
-r2 AS (SELECT conv_id, L, sents, list_append(st.out, {{'a': st.a, 'b': st.b}}) AS rr FROM rg),
-r3 AS (SELECT conv_id, L, sents, unnest(rr) AS r, generate_subscripts(rr, 1) - 1 AS segment_no FROM r2),
-r4 AS (SELECT conv_id, L, segment_no, list_slice(sents, r.a + 1, r.b + 1) AS piece FROM r3)
-SELECT conv_id, CAST(L AS INTEGER) AS "limit", CAST(segment_no AS INTEGER) AS segment_no,
+r2 AS (SELECT conv_id, lang, L, sents, list_append(st.out, {{'a': st.a, 'b': st.b}}) AS rr FROM rg),
+r3 AS (SELECT conv_id, lang, L, sents, unnest(rr) AS r, generate_subscripts(rr, 1) - 1 AS segment_no FROM r2),
+r4 AS (SELECT conv_id, lang, L, segment_no, list_slice(sents, r.a + 1, r.b + 1) AS piece FROM r3)
+SELECT conv_id, lang, CAST(L AS INTEGER) AS "limit", CAST(segment_no AS INTEGER) AS segment_no,
        CAST(len(flatten(list_transform(piece, lambda x: x.tok))) AS INTEGER) AS n_tokens,
        array_to_string(flatten(list_transform(piece, lambda x: x.tok)), ' ') AS tokens,
        array_to_string(flatten(list_transform(piece, lambda x: x.lab)), ' ') AS labels
 FROM r4"""
 
 
+def _blocks(spark, sf_dir):
+    """Conversation turns as labelled blocks of two languages (every third turn is French)."""
+    return read_table(spark, sf_dir, "conversations").withColumn("lang", F.when(F.col("turn") % 3 == 2, "fr").otherwise("en"))
+
+
 @register("seg_training_segments", _TRAIN_SQL)
 def seg_training_segments(spark, sf_dir):
     """SEG-4..7: conversations as labelled blocks (role = label) -> multi-scale overlapping segments."""
-    conv = read_table(spark, sf_dir, "conversations")
-    seg = training_segments(conv, ["conv_id"], "turn", "text", "role", limits=TRAIN_LIMITS)
-    return seg.select("conv_id", "limit", "segment_no", F.size("tokens").cast("int").alias("n_tokens"),
+    seg = training_segments(_blocks(spark, sf_dir), ["conv_id", "lang"], "turn", "text", "role", limits=TRAIN_LIMITS)
+    return seg.select("conv_id", "lang", "limit", "segment_no", F.size("tokens").cast("int").alias("n_tokens"),
                       F.array_join("tokens", " ").alias("tokens"), F.array_join("labels", " ").alias("labels"))
 
 
 @register("seg_training_segments_skewsafe", _TRAIN_SQL)
 def seg_training_segments_skewsafe(spark, sf_dir):
     """SEG-4..7 in the skew-safe physical form (no per-mail group; range-partitioned packer)."""
-    conv = read_table(spark, sf_dir, "conversations")
-    seg = training_segments_skewsafe(conv, ["conv_id"], "turn", "text", "role", limits=TRAIN_LIMITS)
-    return seg.select("conv_id", "limit", "segment_no", F.size("tokens").cast("int").alias("n_tokens"),
+    seg = training_segments_skewsafe(_blocks(spark, sf_dir), ["conv_id", "lang"], "turn", "text", "role", limits=TRAIN_LIMITS)
+    return seg.select("conv_id", "lang", "limit", "segment_no", F.size("tokens").cast("int").alias("n_tokens"),
                       F.array_join("tokens", " ").alias("tokens"), F.array_join("labels", " ").alias("labels"))
 
 
@@ -152,7 +155,7 @@ def seg_token_chunks(spark, sf_dir):
 
 @register("rsh_token_sequences", r"""
 WITH t AS (SELECT conv_id, turn, role, string_split(replace(text, chr(10), ' [\n] '), ' ') AS ws FROM conversations),
-u AS (SELECT conv_id, turn * 1000000 + generate_subscripts(ws, 1) AS pos, unnest(ws) AS token, role AS label FROM t)
+u AS (SELECT conv_id, {'t': turn, 'p': generate_subscripts(ws, 1)} AS pos, unnest(ws) AS token, role AS label FROM t)
 SELECT conv_id, array_to_string(list(token ORDER BY pos), ' ') AS tokens, array_to_string(list(label ORDER BY pos), ' ') AS ner_tags,
        CAST(count(*) AS INTEGER) AS n
 FROM u WHERE token <> '' AND token <> '[\n]' AND label IN ('user', 'assistant') GROUP BY conv_id""")
@@ -162,7 +165,7 @@ def rsh_token_sequences(spark, sf_dir):
     ws = F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" [\\n] ")), " ", -1)
     rows = conv.select("conv_id", "turn", "role", F.posexplode(ws).alias("p", "token"))
     rows = rows.where(F.col("token") != "").select(
-        "conv_id", (F.col("turn") * 1000000 + F.col("p") + 1).alias("pos"), "token", F.col("role").alias("label"))
+        "conv_id", F.struct("turn", "p").alias("pos"), "token", F.col("role").alias("label"))
     seq = token_rows_to_sequences(rows, ["conv_id"], "pos", tags=["user", "assistant"])
     return seq.select("conv_id", F.array_join("tokens", " ").alias("tokens"), F.array_join("ner_tags", " ").alias("ner_tags"),
                       F.size("tokens").cast("int").alias("n"))

@@ -11,7 +11,8 @@ from mailsift.operators.extract import phone_entity_array, regex_entity_array
 from mailsift.operators.fuse import ner_map, numbered_entities, post_filtered
 from mailsift.operators.response import (EVALUATED_TAGS, RESPONSE_TAGS, body_request, parse_body_requests, response_to_long, responses,
                                          sender_data, sender_to_long, signature_of_request, signature_request)
-from mailsift.operators.score import SEGMENTATION, TOKENS, detect_language, predicted_tokens, score_windows
+from mailsift.operators.score import SEGMENTATION, TOKENS, detect_language, fit_language_profile, predicted_tokens, score_windows
+from mailsift.operators.split import hash_fraction
 from mailsift.plans import sqlkit as K
 from mailsift.plans.q_clean import sql_clean
 from mailsift.plans.q_extract import _entities_sql, _phone_sql
@@ -474,20 +475,32 @@ def rsp_parse_signatures_long(spark, sf_dir):
 
 
 # ------------------------------------------------------------------------------ language detection
-@register("udf_detect_language", """
-WITH w AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM documents),
-df AS (SELECT lang, word, count(DISTINCT doc_id) AS weight FROM w GROUP BY lang, word),
-n AS (SELECT lang, count(DISTINCT doc_id) AS n_docs FROM w GROUP BY lang),
-prof AS (SELECT df.lang, word, weight FROM df JOIN n ON df.lang = n.lang WHERE weight * 1000 >= n_docs),
-sc AS (SELECT w.doc_id, p.lang, sum(p.weight) AS score FROM w JOIN prof p ON w.word = p.word GROUP BY w.doc_id, p.lang),
-best AS (SELECT doc_id, arg_max(lang, (score, lang)) AS best FROM sc GROUP BY doc_id)
-SELECT d.doc_id, coalesce(best, 'en') AS detected_lang FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id""")
+_HANS, _HANT = "我们的学校在这个国家，我们说中文。", "我們的學校在這個國家，我們說中文。"
+_SHARE = "(CAST(('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0)"
+
+
+@register("udf_detect_language", f"""
+WITH d AS (SELECT doc_id, lang, CASE WHEN doc_id % 40 = 0 THEN {K.q(_HANS)} WHEN doc_id % 40 = 1 THEN {K.q(_HANT)} ELSE text END AS text,
+                  {_SHARE} >= 0.5 AS fit FROM documents),
+g AS (SELECT DISTINCT doc_id, lang, fit, gram FROM (
+  SELECT doc_id, lang, fit, unnest(list_transform(range(1, length(t) - 1), lambda i: t[i:i + 2])) AS gram FROM (SELECT *, lower(text) AS t FROM d))
+  WHERE regexp_full_match(gram, '\\p{{L}}{{3}}')),
+n AS (SELECT lang, count(*) AS n FROM d WHERE fit AND doc_id % 40 > 1 GROUP BY 1),
+prof AS (SELECT c.lang, gram, length(bin(c * 1000 // n + 1)) AS weight FROM (
+           SELECT lang, gram, count(*) AS c FROM g WHERE fit AND doc_id % 40 > 1 GROUP BY 1, 2) c JOIN n ON n.lang = c.lang WHERE c * 1000 >= n),
+zh AS (SELECT doc_id, CASE WHEN han > 0 AND 2 * han > letters THEN CASE WHEN f > s THEN 'zh-hant' ELSE 'zh-hans' END END AS zh FROM (
+  SELECT doc_id, length(regexp_replace(text, '[^\\x{{4E00}}-\\x{{9FFF}}]', '', 'g')) AS han, length(regexp_replace(text, '\\P{{L}}', '', 'g')) AS letters,
+         length(regexp_replace(text, '[^{S.SIMPLIFIED_ONLY}]', '', 'g')) AS s, length(regexp_replace(text, '[^{S.TRADITIONAL_ONLY}]', '', 'g')) AS f FROM d)),
+sc AS (SELECT g.doc_id, p.lang, sum(weight) AS score FROM g JOIN prof p ON p.gram = g.gram WHERE NOT fit GROUP BY 1, 2),
+best AS (SELECT doc_id, max({{'s': score, 'l': lang}}).l AS best FROM sc GROUP BY 1)
+SELECT d.doc_id, d.lang, coalesce(zh, best, 'en') AS detected_lang FROM d JOIN zh USING (doc_id) LEFT JOIN best USING (doc_id) WHERE NOT fit""")
 def udf_detect_language(spark, sf_dir):
-    """UDF-4: word-profile language detection. The profile has the words of at least one in a thousand documents of a
-    language: a share, so it does not depend on the size of the corpus and has a bounded number of words."""
+    """UDF-4: letter-trigram profiles fitted on one half of the documents (by hash), languages of the other half; every
+    fortieth document is a Chinese text in either script."""
     docs = read_text_table(spark, sf_dir, "documents", "doc_id", ["doc_id", "text", "lang"])
-    w = docs.select("doc_id", "lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(S.WORD_PATTERN), 0)).alias("word"))
-    prof = w.groupBy("lang", "word").agg(F.countDistinct("doc_id").alias("weight"))
-    n = w.groupBy("lang").agg(F.countDistinct("doc_id").alias("n_docs"))
-    prof = prof.join(n, "lang").where("weight * 1000 >= n_docs").drop("n_docs")
-    return detect_language(docs, prof)
+    no = F.col("doc_id") % 40
+    docs = docs.withColumn("text", F.when(no == 0, _HANS).when(no == 1, _HANT).otherwise(F.col("text")))
+    fit = hash_fraction("doc_id") >= 0.5
+    profile = fit_language_profile(docs.where(fit & (no > 1)))
+    held_out = docs.where(~fit)
+    return detect_language(held_out, profile).join(held_out.select("doc_id", "lang"), "doc_id")

@@ -102,6 +102,9 @@ PROMPT_KEYS = {
     "en": {"TEXT": "TEXT", "TASK": "TASK", "EXAMPLES": "EXAMPLES"},
     "zhs": {"TEXT": "文本", "TASK": "任务", "EXAMPLES": "例子"},
 }
+# Characters of one Chinese script that the other writes differently, in matching order.
+SIMPLIFIED_ONLY = "们这国学说时会对来个为过还没开长门问间车东马鸟鱼语话请谢电机气书买卖见听写实现发应该"
+TRADITIONAL_ONLY = "們這國學說時會對來個為過還沒開長門問間車東馬鳥魚語話請謝電機氣書買賣見聽寫實現發應該"
 # Literal token that marks a line break in token tables.
 NEWLINE_TOKEN = "[\\n]"
 
