@@ -53,10 +53,14 @@ def _placed(pairs: Column) -> Column:
         )
         return F.when(x["n"].isNull(), s).otherwise(grown)
 
+    def folded(part, pos):
+        init = F.struct(pos.alias("pos"), F.expr(f"cast(array() as {SPAN_TYPE})").alias("acc"))
+        return F.aggregate(part, init, step, lambda s: s["acc"])
+
     def spans(b):
-        init = F.struct(b["pos"].alias("pos"), F.expr(f"cast(array() as {SPAN_TYPE})").alias("acc"))
-        return F.aggregate(block(b["no"]), init, step, lambda s: s["acc"])
+        return folded(block(b["no"]), b["pos"])
 
     numbers = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int"))
     none = F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<struct<no:int,pos:int>>)").alias("blocks"))
-    return F.flatten(F.transform(F.aggregate(numbers, none, sum_up, lambda s: s["blocks"]), spans))
+    many = F.flatten(F.transform(F.aggregate(numbers, none, sum_up, lambda s: s["blocks"]), spans))
+    return F.when(F.size(pairs) <= BLOCK, folded(pairs, F.lit(0))).otherwise(many)  # few pairs need no first fold

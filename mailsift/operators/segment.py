@@ -11,15 +11,20 @@ per-document segmentation; one shuffle on the mail id for labelled blocks.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsift import settings as S
 from mailsift.functions.spans import match_spans
+from mailsift.operators.quality import drop_then_dropna
 
 SEG_STATE = "array<struct<n:int,start:int,end:int>>"
 RANGE_STATE = "array<struct<a:int,b:int>>"
+_TOKENS = regex.compile(S.TOKEN_PATTERN).findall
 
 
 def tokens(text: Column, pattern: str = S.TOKEN_PATTERN) -> Column:
@@ -131,6 +136,20 @@ def sentence_tokens(text: Column, limit) -> Column:
     return F.flatten(F.transform(sents, lambda s: chunk_list(tokens(s), limit)))
 
 
+def hooked_tokens(splitter=None, tokenizer=None):
+    """UDF-2/UDF-3: a column function ``text -> array<array<string>>`` of the sentences' tokens. ``splitter`` and ``tokenizer`` map
+    a list of texts to a list of lists of strings (the patterns by default); one Arrow pass calls them on batches, the
+    tokenizer on all sentences of a batch at once. Null texts have no sentences."""
+    def run(texts: pd.Series) -> pd.Series:
+        given = texts.fillna("").tolist()
+        sents = splitter(given) if splitter else [re.findall(S.SENTENCE_PATTERN, t) for t in given]
+        flat = [s for ss in sents for s in ss]
+        toks = iter(tokenizer(flat) if tokenizer else [_TOKENS(s) for s in flat])
+        return pd.Series([[list(next(toks)) for _ in ss] for ss in sents])
+    udf = F.pandas_udf(run, "array<array<string>>")
+    return lambda text: udf(text)
+
+
 def pack_overlapping(lengths: Column, limit: int, overlapped_limit: int | None = None) -> Column:
     """SEG-5 fold over sentence lengths -> ``array<struct<a,b>>`` inclusive sentence ranges.
 
@@ -165,25 +184,29 @@ def pack_overlapping(lengths: Column, limit: int, overlapped_limit: int | None =
 
 def training_segments(blocks: DataFrame, group_cols: list[str], order_col: str, text_col: str, label_col: str,
                       max_tokens: int = S.TRAINING_TOKEN_LIMIT, limits: list[int] | None = None,
-                      remove_columns: list[str] | None = None) -> DataFrame:
+                      remove_columns: list[str] | None = None, sentences=None) -> DataFrame:
     """SEG-4..7: labelled blocks of one mail (and language) -> multi-scale overlapping
     token/label segments ``(group..., limit, segment_no, tokens, labels)``.
 
-    One shuffle on the group keys collects the (bounded) blocks of each mail in
+    Blocks with a null in any column (after ``remove_columns``, FLT-6) are left out. ``sentences`` is a hook of
+    :func:`hooked_tokens`. One shuffle on the group keys collects the (bounded) blocks of each mail in
     order; limits are exploded after the shuffle, so text is moved once."""
     if limits is None:
         lo, hi, st = (int(f * max_tokens / 10) for f in S.TRAINING_LIMIT_FRACTIONS)
         limits = list(range(lo, hi, st))
-    if remove_columns and set(remove_columns).issubset(blocks.columns):   # FLT-6
-        blocks = blocks.drop(*remove_columns)
-    clean = blocks.dropna(subset=[*group_cols, order_col, text_col, label_col])
+    clean = drop_then_dropna(blocks, remove_columns)
+    if sentences:
+        clean = clean.withColumn("_sents", sentences(F.col(text_col)))
     g = clean.groupBy(*group_cols).agg(F.array_sort(F.collect_list(
         F.struct(F.col(order_col).alias("o"), F.col(label_col).alias("l"), F.xxhash64(text_col).alias("h"),
-                 F.col(text_col).alias("t")))).alias("_b"))   # ties in the order: by label, then by text
+                 F.col("_sents" if sentences else text_col).alias("t")))).alias("_b"))   # ties in the order: by label, then by text
     g = g.select(*group_cols, "_b", F.explode(F.array(*[F.lit(x) for x in limits])).alias("limit"))
     lim = F.col("limit")
+    def cut(t):
+        return F.flatten(F.transform(t, lambda s: chunk_list(s, lim))) if sentences else sentence_tokens(t, lim)
+
     sents = F.flatten(F.transform("_b", lambda b: F.transform(
-        sentence_tokens(b["t"], lim), lambda s: F.struct(s.alias("tok"), F.array_repeat(b["l"], F.size(s)).alias("lab")))))
+        cut(b["t"]), lambda s: F.struct(s.alias("tok"), F.array_repeat(b["l"], F.size(s)).alias("lab")))))
     one = g.select(*group_cols, "limit", sents.alias("_s"))
     ranges = pack_overlapping(F.transform("_s", lambda x: F.size(x["tok"]).cast("int")), lim)
     one = one.select(*group_cols, "limit", "_s", F.posexplode_outer(ranges).alias("segment_no", "r"))  # never empty
@@ -203,9 +226,7 @@ def training_segments_skewsafe(blocks: DataFrame, group_cols: list[str], order_c
     if limits is None:
         lo, hi, st = (int(f * max_tokens / 10) for f in S.TRAINING_LIMIT_FRACTIONS)
         limits = list(range(lo, hi, st))
-    if remove_columns and set(remove_columns).issubset(blocks.columns):   # FLT-6
-        blocks = blocks.drop(*remove_columns)
-    clean = blocks.dropna(subset=[*group_cols, order_col, text_col, label_col])
+    clean = drop_then_dropna(blocks, remove_columns)
     x = clean.select(*group_cols, order_col, label_col, text_col,
                      F.explode(F.array(*[F.lit(v) for v in limits])).alias("limit"))
     x = x.select(*group_cols, "limit", order_col, label_col, F.xxhash64(text_col).alias("_h"),

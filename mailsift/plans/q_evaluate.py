@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mailsift import settings as S
 from mailsift.operators import evaluate as E
-from mailsift.operators.quality import normalise_gold, validate_gold
+from mailsift.operators.quality import drop_then_dropna, normalise_gold, validate_gold
 from mailsift.plans import sqlkit as K
 from mailsift.plans.registry import register
 from mailsift.session import read_table
@@ -162,6 +162,42 @@ def eval_weighted_leaderboard(spark, sf_dir):
                                   F.lit(FIXED_DATE))
 
 
+@register("eval_results", _PERF.replace(f"gcell AS {_cells('gl')}, pcell AS {_cells('pl')}",
+    f"pcell AS {_cells('pl')}, gcell AS (SELECT * FROM {_cells('gl')} c WHERE email_id IN (SELECT email_id FROM pcell))") + f"""
+, m AS (SELECT p.*, w.WEIGHT FROM perf p JOIN weights w ON p.Entity = w.Entity),
+b AS (SELECT Entity, {_board()} AS v FROM perf)
+SELECT {K.q(MODEL + '-ner')} AS MODEL, CAST(count(*) AS VARCHAR) || '/{len(S.STANDARD_TAGS)}' AS ENTITIES_NUMBER, {_r2('sum(PRECISION * WEIGHT)')} AS PRECISION,
+       {_r2('sum(RECALL * WEIGHT)')} AS RECALL, {_r2('sum(F1_MEASURE * WEIGHT)')} AS F1_MEASURE,
+       coalesce((SELECT v FROM b WHERE Entity = 'EMAIL'), '0.0/0.0/0.0') AS EMAIL, coalesce((SELECT v FROM b WHERE Entity = 'URL'), '0.0/0.0/0.0') AS URL
+FROM m""")
+def eval_results(spark, sf_dir):
+    """RSH-5: gold restricted to the predicted ids, the weighted board and two cells of the full one, named after the endpoint."""
+    full, weighted, _ = E.evaluate_results(gold_wide(spark, sf_dir), pred_wide(spark, sf_dir), "email_id", MODEL, DATASET, VERSION,
+                                           "http://host/models/ner/predict", F.lit(FIXED_DATE))
+    return weighted.select("MODEL", "ENTITIES_NUMBER", "PRECISION", "RECALL", "F1_MEASURE").join(full.select("MODEL", "EMAIL", "URL"), "MODEL")
+
+
+@register("eval_sort_by_length", """
+SELECT conv_id, turn, array_to_string(list(w ORDER BY length(w) DESC, w), ' ') AS words FROM (
+  SELECT DISTINCT conv_id, turn, unnest(string_split(text, ' ')) AS w FROM conversations) GROUP BY 1, 2""")
+def eval_sort_by_length(spark, sf_dir):
+    """SRT-2: the different words of a turn, longest first, ties in code-point order."""
+    conv = read_table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    return conv.select("conv_id", "turn", F.array_join(E.sort_by_length_desc(F.array_distinct(F.split("text", " ", -1))), " ").alias("words"))
+
+
+@register("flt_drop_then_dropna", """
+SELECT event_id, event_type, CASE WHEN value >= 5 THEN value END AS value, 'dropped' AS form FROM events WHERE value >= 5
+UNION ALL SELECT event_id, event_type, value, 'kept' FROM events WHERE value >= 5 AND event_id % 3 > 0""")
+def flt_drop_then_dropna(spark, sf_dir):
+    """FLT-6: listed columns go only if all exist; then rows with a null in any column go."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("value") >= 5, F.col("value")).alias("value"),
+                                                    F.when(F.col("event_id") % 3 > 0, "x").alias("extra"))
+    parts = [drop_then_dropna(ev, columns).drop("extra").withColumn("form", F.lit(form))
+             for form, columns in (("dropped", ["extra"]), ("kept", ["extra", "missing"]))]
+    return parts[0].unionByName(parts[1])
+
+
 @register("eval_leaderboard_format", _PERF + f"""
 SELECT CAST(list_position({K.str_list(S.LEADERBOARD_ROWS)}, Entity) AS INTEGER) AS position, Entity,
        {_board()} AS LEADER_BOARD_VALUE

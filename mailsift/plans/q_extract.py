@@ -104,17 +104,29 @@ def ext_phone_us_ca(spark, sf_dir):
 # The uk pattern is anchored at both ends and '.' stops at line breaks, so its look-ahead only
 # asks for at least ten digits on the (single) matched line; RE2 form for the oracle. Java's '$'
 # may also stop before one final line terminator.
-_UK_SQL = r"""
+def _uk_sql(src: str) -> str:
+    return rf"""
 SELECT doc_id, 'uk' AS region, 0 AS seq, 0 AS "start", CAST(length(body) AS INTEGER) AS "end", body AS name
-FROM (SELECT doc_id, regexp_replace(text, '(\r\n|[\n\r\x{85}\x{2028}\x{2029}])$', '') AS body FROM documents) d
+FROM (SELECT doc_id, regexp_replace(text, '(\r\n|[\n\r\x{{85}}\x{{2028}}\x{{2029}}])$', '') AS body FROM {src}) d
 WHERE regexp_full_match(body, '(\+?44)?( ?\(\d+\))?[ \d]+(#\d+)?')
   AND length(regexp_replace(body, '[^0-9]', '', 'g')) >= 10"""
 
 
-@register("ext_phone_uk", _UK_SQL)
+_UK_SQL = _uk_sql("documents")
+# Phone lines made of order keys: with and without prefix, brackets and extension, too few digits, and other text around.
+_UK_LINES = """(SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 0 THEN '+44 (20) 7946' || lpad(o_orderkey::VARCHAR, 8, '0')
+  WHEN 1 THEN '44 1632 ' || lpad(o_orderkey::VARCHAR, 8, '0') || '#12' WHEN 2 THEN '020 ' || o_orderkey WHEN 3 THEN 'call +44 20 7946 0' || o_orderkey
+  ELSE lpad(o_orderkey::VARCHAR, 12, '1') || chr(10) END AS text FROM orders)"""
+
+
+@register("ext_phone_uk", _uk_sql(_UK_LINES))
 def ext_phone_uk(spark, sf_dir):
-    """EXT-5: the uk pattern (anchored, with a look-ahead) over documents."""
-    return phone_spans(read_table(spark, sf_dir, "documents"), ["uk"])
+    """EXT-5: the uk pattern (anchored, with a look-ahead) over phone lines made of order keys."""
+    key, no = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 5
+    line = (F.when(no == 0, F.concat(F.lit("+44 (20) 7946"), F.lpad(key, 8, "0"))).when(no == 1, F.concat(F.lit("44 1632 "), F.lpad(key, 8, "0"), F.lit("#12")))
+            .when(no == 2, F.concat(F.lit("020 "), key)).when(no == 3, F.concat(F.lit("call +44 20 7946 0"), key))
+            .otherwise(F.concat(F.lpad(key, 12, "1"), F.lit("\n"))))
+    return phone_spans(read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), line.alias("text")), ["uk"])
 
 
 @register("ext_phone_chn_fax", _phone_sql("documents", "doc_id", "text", ["chn"]) + f"""

@@ -9,13 +9,18 @@ a blacklisted name, and a city next to a number).
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import functions as F
 
 from mailsift import settings as S
-from mailsift.operators.gazetteer import explode_gazetteer, gazetteer_hits, location_entities, resolve_locations
+from mailsift.operators.gazetteer import explode_gazetteer, gazetteer_hits, load_gazetteer, location_entities, parsed_gazetteer, resolve_locations
 from mailsift.plans import sqlkit as K
 from mailsift.plans.registry import register
+from mailsift.session import read_table
 from mailsift.sources.readers import read_text_table
+from mailsift.sources.writers import scratch_path
 
 # Fixture gazetteer: (country, aliases, [(state, aliases, cities)]).
 GAZETTEER = [
@@ -34,11 +39,9 @@ GAZETTEER = [
 
 
 def gazetteer_df(spark):
-    rows = [({"name": c, "aliases": a, "states": [{"name": s, "aliases": sa, "cities": cs} for s, sa, cs in st]}, i)
-            for i, (c, a, st) in enumerate(GAZETTEER)]
-    nested = spark.createDataFrame(rows, f"country struct<name:string, aliases:array<string>, "
-                                         f"states:array<struct<name:string, aliases:array<string>, cities:array<string>>>>, _pos long")
-    return explode_gazetteer(nested)
+    # from a literal, so that Spark knows that it is small (rows of a Python list have no known size)
+    countries = [{"country": {"name": c, "aliases": a, "states": [{"name": s, "aliases": sa, "cities": cs} for s, sa, cs in st]}} for c, a, st in GAZETTEER]
+    return explode_gazetteer(parsed_gazetteer(spark.range(1).select(F.lit(json.dumps(countries)).alias("value"))))
 
 
 def _gaz_values() -> str:
@@ -159,3 +162,27 @@ def fus_location_entities(spark, sf_dir):
     """FUS-1 (English locations): first location per kind with its span, blacklist removed."""
     docs = read_text_table(spark, sf_dir, "documents", "doc_id", ["doc_id", "text"])
     return location_entities(resolve_locations(gazetteer_hits(docs, gazetteer_df(spark))))
+
+
+@register("src_gazetteer_file", """
+WITH c AS (SELECT r_regionkey AS country_pos, r_name FROM region),
+st AS (SELECT n.n_regionkey AS country_pos, n.n_nationkey, n.n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS sp FROM nation n),
+ci AS (SELECT st.country_pos, st.sp, row_number() OVER (PARTITION BY st.n_nationkey ORDER BY s_suppkey) - 1 AS ip, s_name FROM st JOIN supplier ON s_nationkey = n_nationkey)
+SELECT CAST(country_pos AS INTEGER) AS country_pos, 'country' AS kind, CAST(NULL AS INTEGER) AS state_pos, 0 AS item_pos, r_name AS surface FROM c
+UNION ALL SELECT country_pos, 'country', NULL, 1, 'The ' || r_name FROM c
+UNION ALL SELECT country_pos, 'state', sp, 0, n_name FROM st UNION ALL SELECT country_pos, 'state', sp, 1, lower(n_name) FROM st
+UNION ALL SELECT country_pos, 'city', sp, ip, s_name FROM ci""")
+def src_gazetteer_file(spark, sf_dir):
+    """SRC-8: a gazetteer file (one JSON list: regions, their nations, their suppliers as cities) written and loaded."""
+    t = {n: read_table(spark, sf_dir, n) for n in ("region", "nation", "supplier")}
+    cities = t["supplier"].groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("c"))
+    states = t["nation"].join(cities, F.col("n_nationkey") == F.col("s_nationkey"), "left").select("n_regionkey", "n_nationkey", F.struct(
+        F.col("n_name").alias("name"), F.array(F.lower("n_name")).alias("aliases"), F.transform("c", lambda x: x["s_name"]).alias("cities")).alias("s"))
+    states = states.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "s"))).alias("st"))
+    country = F.struct(F.struct(F.col("r_name").alias("name"), F.array(F.concat(F.lit("The "), F.col("r_name"))).alias("aliases"),
+                                F.transform("st", lambda x: x["s"]).alias("states")).alias("country"))
+    whole = t["region"].join(states, F.col("r_regionkey") == F.col("n_regionkey"), "left").agg(
+        F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("r_regionkey", country.alias("c")))), lambda x: x["c"])).alias("value"))
+    path = os.path.join(scratch_path(spark, "gazetteer"), "countries.json")
+    whole.coalesce(1).write.text(path)
+    return load_gazetteer(spark, path)

@@ -14,7 +14,8 @@ from mailsift.operators.split import assign_split, write_splits
 from mailsift.plans.registry import register
 from mailsift.session import read_table
 from mailsift.sources.readers import flatten_struct, parse_articles, read_dataframe, read_parquet_dataset
-from mailsift.sources.writers import dataset_to_table, message_bodies, save_results, scratch_path, write_dataframe
+from mailsift.sources.writers import (dataset_to_table, message_bodies, read_prompt_library, reconstruct, save_results, scratch_path,
+                                      write_dataframe)
 
 ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 ORDER_TYPES = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string",
@@ -165,20 +166,54 @@ def snk_split_folders(spark, sf_dir):
     return back.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@register("snk_results_files")
+@register("src_prompt_library", """
+SELECT r_name AS name, 'Find ' || r_name AS task, count(n_name) AS n_fields, string_agg(n_name, ',' ORDER BY n_name) AS fields
+FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name""")
+def src_prompt_library(spark, sf_dir):
+    """SRC-11: one prompt file for each region (its nations are the fields), written and read as a library."""
+    t = read_table(spark, sf_dir, "region").join(read_table(spark, sf_dir, "nation"), F.col("n_regionkey") == F.col("r_regionkey"))
+    prompts = t.groupBy("r_name").agg(F.array_sort(F.collect_list("n_name")).alias("FIELDS"))
+    folder = scratch_path(spark, "prompts")
+    for name in [r.r_name for r in read_table(spark, sf_dir, "region").select("r_name").collect()]:  # the regions
+        one = prompts.where(F.col("r_name") == name).select(F.concat(F.lit("Find "), "r_name").alias("TASK"), "FIELDS")
+        one.coalesce(1).write.json(os.path.join(folder, f"{name}_prompt.json"))
+    lib = read_prompt_library(spark, folder)
+    return lib.select("name", F.col("prompt.TASK").alias("task"), F.size("prompt.FIELDS").cast("long").alias("n_fields"), F.array_join("prompt.FIELDS", ",").alias("fields"))
+
+
+@register("udf_reconstruct_lines", """
+SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS line_no, lines[i] AS line FROM (
+  SELECT conv_id, turn, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS lines FROM conversations))""")
+def udf_reconstruct_lines(spark, sf_dir):
+    """UDF-5: a per-row callback that takes each turn apart into lines."""
+    conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return reconstruct(conv, _lines, "conv_id long, turn long, line_no int, line string")
+
+
+def _lines(row: dict):
+    return [(row["conv_id"], row["turn"], k, x) for k, x in enumerate((row["text"] or "").split("\n"))] if row["text"] is not None else []
+
+
+STAMP = "2024_01_01_00_00"
+
+
+@register("snk_results_files", f"""
+SELECT 'predictions_signature_en_{STAMP}.csv' AS file, count(*) AS n_rows, CAST(sum(event_id) AS BIGINT) AS total FROM events WHERE event_type <> 'error'
+UNION ALL SELECT 'errors_predictions_signature_en_{STAMP}.csv', count(*), CAST(sum(event_id) AS BIGINT) FROM events WHERE event_type = 'error'
+UNION ALL SELECT 'performances_signature_en_{STAMP}.csv', count(*), CAST(sum(n) AS BIGINT) FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)""")
 def snk_results_files(spark, sf_dir):
-    """SNK-3: predictions / errors / performances csv files stamped with endpoint, language and
-    minute; read back and counted (rows-only: the stamp is the wall clock)."""
+    """SNK-3: predictions / errors / performances csv files stamped with endpoint, language and minute (a fixed one here),
+    read back and summed up."""
     ev = read_table(spark, sf_dir, "events")
     preds = ev.where(F.col("event_type") != "error").select("event_id", "event_type")
     errs = ev.where(F.col("event_type") == "error").select("event_id", "props")
     perf = ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     folder = scratch_path(spark, "snk3")
-    stamp = spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy_MM_dd_HH_mm")).first()[0]
-    paths = save_results(preds, errs, perf, "signature", folder, "en", stamp)
+    paths = save_results(preds, errs, perf, "signature", folder, "en", STAMP)
     out = None
     for kind, p in paths.items():
-        part = spark.read.option("header", "true").csv(p).agg(F.count(F.lit(1)).alias("n_rows")) \
+        value = F.col("n" if kind == "performances" else "event_id").cast("long")
+        part = spark.read.option("header", "true").csv(p).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(value).alias("total")) \
             .withColumn("file", F.lit(os.path.basename(p)))
         out = part if out is None else out.unionByName(part)
     return out

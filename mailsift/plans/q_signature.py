@@ -371,6 +371,14 @@ def rsp_signature_ner(spark, sf_dir):
     return _exploded(P.clean_and_extract(_page_mails(spark, sf_dir), gazetteer_df(spark)))
 
 
+@register("agg_texts_without_signature", f"""WITH {_locate_ctes('documents')}
+SELECT d.lang, count(*) AS n_texts, count(*) FILTER (WHERE loc.signature = '') AS n_without_signature FROM loc JOIN documents d ON d.doc_id = loc.doc_id GROUP BY 1""")
+def agg_texts_without_signature(spark, sf_dir):
+    """AGG-10: texts per language, and those without a signature."""
+    x = P.locate_signatures(_docs(spark, sf_dir))
+    return x.groupBy("lang").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if(F.col("located.signature") == "").alias("n_without_signature"))
+
+
 @register("fus_extract_entities", f"""WITH {_locate_ctes('documents')},
 sigs AS (SELECT loc.doc_id, loc.signature AS text, d.lang FROM loc JOIN documents d ON d.doc_id = loc.doc_id WHERE length(loc.signature) > 0),
 {_extract_ctes()}

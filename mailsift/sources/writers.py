@@ -6,8 +6,11 @@ import os
 import uuid
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from mailsift.session import ensure_checkpoint_dir
 
@@ -73,18 +76,22 @@ def dataset_to_table(df: DataFrame) -> DataFrame:
 
 
 def read_prompt_library(spark: SparkSession, folder: str) -> DataFrame:
-    """SRC-11: ``*_prompt.json`` files -> ``(name, prompt)`` with name = file name before ``_prompt``."""
+    """SRC-11: ``*_prompt.json`` files (or folders of part files) -> ``(name, prompt)`` with name = what stands before ``_prompt``."""
     df = spark.read.option("multiLine", "true").json(os.path.join(folder, "*_prompt.json"))
-    name = F.regexp_extract(F.url_decode(F.col("_metadata.file_name")), r"^(.*?)_prompt", 1)
+    name = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"([^/]*?)_prompt[^/]*\.json(?:/[^/]*)?$", 1)
     return df.select(name.alias("name"), F.struct(*[F.col(c) for c in df.columns]).alias("prompt"))
 
 
 def reconstruct(df: DataFrame, fn, schema: str) -> DataFrame:
-    """UDF-5: per-row reconstruction callback ``fn(pandas.Series row) -> pandas.DataFrame`` fanned
-    out over Arrow batches and concatenated (``mapInPandas``)."""
+    """UDF-5: a per-row reconstruction callback ``fn(row as dict) -> iterable of tuples``; the tuples of all rows are the
+    result's rows, in one Arrow pass of small batches."""
+    fields = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(fields)
+
     def run(batches):
-        for pdf in batches:
-            parts = [fn(row) for _, row in pdf.iterrows()]
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
-    return df.mapInPandas(run, schema)
+        for whole in batches:
+            for low in range(0, whole.num_rows, 200):
+                rows = [tuple(x) for row in whole.slice(low, 200).to_pylist() for x in fn(row)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+    return df.mapInArrow(run, fields)

@@ -1,5 +1,4 @@
 """Small operators: length sort, evaluate composition, FLT-6, reconstruction and tokenizer hooks, readers."""
-import pandas as pd
 from pyspark.sql import functions as F
 
 from mailsift.operators import evaluate as E
@@ -31,13 +30,23 @@ def test_drop_then_dropna(spark):
 
 def test_reconstruct_and_tokenizer(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "c")], "id long, t string")
-    out = reconstruct(df, lambda r: pd.DataFrame({"id": [r["id"]] * len(r["t"].split()), "w": r["t"].split()}),
-                      "id long, w string")
+    out = reconstruct(df, lambda r: [(r["id"], w) for w in r["t"].split()], "id long, w string")
     assert sorted(tuple(r) for r in out.collect()) == [(1, "a"), (1, "b"), (2, "c")]
     tok = tokenizer_hook(lambda texts: [t.upper().split() for t in texts])
     assert df.select(tok(F.col("t")).alias("x")).orderBy("x").first().x == ["A", "B"]
 
 
+def test_hooks_of_the_training_segmenter(spark):
+    from mailsift.operators.segment import hooked_tokens, training_segments
+    df = spark.createDataFrame([(1, 0, "a", "One two; three."), (1, 1, "b", "x"), (2, 0, "a", None)], "id int, n int, label string, text string")
+    plain = training_segments(df, ["id"], "n", "text", "label", limits=[9])
+    same = training_segments(df, ["id"], "n", "text", "label", limits=[9], sentences=hooked_tokens())
+    assert sorted(plain.collect()) == sorted(same.collect())
+    hooks = hooked_tokens(lambda ts: [t.split(";") for t in ts], lambda ss: [list(s.strip().upper().split()) for s in ss])
+    got = training_segments(df, ["id"], "n", "text", "label", limits=[3], sentences=hooks).collect()
+    assert [(r.tokens, r.labels) for r in got] == [(["ONE", "TWO", "THREE."], ["a"] * 3), (["THREE.", "X"], ["a", "b"])]
+
+
 def test_file_readers(spark, tmp_path):
     (tmp_path / "12_Great news.txt").write_text("Headline\n\nBy Jo Doe (May 1) -- Body text here ")
     (tmp_path / "plain.txt").write_text("no separators at all")
