@@ -65,13 +65,23 @@ def map_language(lang: Column | str, mapping: dict = S.LANGUAGE_MAP) -> Column:
     return F.coalesce(F.element_at(kv, lang), lang)
 
 
+# ---- FLT-3: endpoints of a service ---------------------------------------------------
+def serves(url: Column | str, language: str) -> Column:
+    """Whether an endpoint URL serves a language: it names it as a path part or has its place-holder (literally, no pattern)."""
+    return _c(url).contains("{" + language + "}") | _c(url).contains(f"/{language}/")
+
+
 # ---- CLN-1..8: mail text cleaning ---------------------------------------------------
 def remove_head(c: Column | str) -> Column:
     # dot-all lazy form: an alternation in a repeated group overflows the JVM regex stack
     return F.regexp_replace(_c(c), r"(?s)<head>.+?</head>", "")
 
 
-def clean_html(c: Column | str) -> Column:
+def clean_html(c: Column | str, strip_script: bool = False) -> Column:
+    """Paragraphs and line breaks become line breaks; tags and entities go. ``strip_script`` also removes what stands inside
+    script and style elements, which otherwise stays."""
+    if strip_script:
+        c = F.regexp_replace(_c(c), r"(?is)<(script|style)\b.*?</\1\s*>", "")
     c = F.regexp_replace(_c(c), "</p>", "</p>\n")
     c = F.regexp_replace(c, r"<br\s?/>|<br>", "\n")
     # (?d): '.' stops only at '\n', as in Python
@@ -94,10 +104,10 @@ def remove_html_comments(c: Column | str) -> Column:
     return F.regexp_replace(_c(c), r"(?s)<!--.*?-->", "")
 
 
-def clean_mail_text(c: Column | str) -> Column:
+def clean_mail_text(c: Column | str, strip_script: bool = False) -> Column:
     """Full chain: head -> html -> links -> blanks -> line breaks -> right strip."""
     c = remove_head(c)
-    c = clean_html(c)
+    c = clean_html(c, strip_script)
     c = remove_links(c)
     c = collapse_blanks(c)
     c = collapse_line_breaks(c)

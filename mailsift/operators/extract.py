@@ -17,7 +17,7 @@ from mailsift.functions.text import replace_all
 
 def _has_marker(name: Column) -> Column:
     cond = F.lit(False)
-    for m in S.URL_REJECT_MARKERS:
+    for m in [*S.URL_REJECT_MARKERS, *S.URL_REJECT_ALSO]:
         cond = cond | name.contains(m)
     return cond
 

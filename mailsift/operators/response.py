@@ -52,7 +52,13 @@ def _phones(ents: Column) -> Column:
     return F.when(F.size(allp) > 0, allp)
 
 
-def signature_fields(ents: Column) -> Column:
+def signature_fields(ents: Column, linkedin: bool = False) -> Column:
+    """The fields of a signature. ``linkedin`` adds LinkedIn addresses to the web sites, tagged so; else they are left out."""
+    sites = _entity_list(ents, "URL", "url", tag=None, wholeUrl=None)
+    if linkedin:
+        none = F.array().cast("array<struct<url:string,tag:string,wholeUrl:string>>")
+        both = F.concat(F.coalesce(sites, none), F.coalesce(_entity_list(ents, "LINKEDIN", "url", tag="LINKEDIN", wholeUrl=None), none))
+        sites = F.when(F.size(both) > 0, both)
     names = F.array(F.struct(
         F.lit("").alias("wholeName"), _first_name(ents, "NAME_PREFIX").alias("prefix"),
         _first_name(ents, "NAME_GIVEN").alias("given"), _first_name(ents, "NAME_MIDDLE").alias("middle"),
@@ -68,7 +74,7 @@ def signature_fields(ents: Column) -> Column:
         _entity_list(ents, "ADDRESS_COUNTRY", "name").alias("countries"),
         _entity_list(ents, "EMAIL", "address", tag=None, wholeEmail=None).alias("emails"),
         _phones(ents).alias("phoneNumbers"),
-        _entity_list(ents, "URL", "url", tag=None, wholeUrl=None).alias("webSites"))
+        sites.alias("webSites"))
 
 
 def sender_data(meta: Column, ents: Column) -> Column:
@@ -96,7 +102,7 @@ def sender_data(meta: Column, ents: Column) -> Column:
 
 
 def responses(blocks: DataFrame, id_col: str = "doc_id", block_col: str = "block", entities_col: str = "entities",
-              meta_col: str | None = None) -> DataFrame:
+              meta_col: str | None = None, linkedin: bool = False) -> DataFrame:
     """RSP-1: one response for each row: ``(id, parseStatusType, signatureBlock, signatureFields, senderEmailData)``; an empty
     block gives NO_SIGNATURE_BLOCK and NULL payload. ``entities_col`` is the row's ordered entity array."""
     e = F.col(entities_col)
@@ -106,7 +112,7 @@ def responses(blocks: DataFrame, id_col: str = "doc_id", block_col: str = "block
         id_col,
         F.when(empty, F.lit(S.PARSE_NO_SIGNATURE)).otherwise(F.lit(S.PARSE_SUCCESS)).alias("parseStatusType"),
         F.when(~empty, F.struct(F.col(block_col).alias("block"))).alias("signatureBlock"),
-        F.when(~empty, signature_fields(e)).alias("signatureFields"), sender.alias("senderEmailData"))
+        F.when(~empty, signature_fields(e, linkedin)).alias("signatureFields"), sender.alias("senderEmailData"))
 
 
 def build_responses(ents: DataFrame, blocks: DataFrame, id_col: str = "doc_id", block_col: str = "block",

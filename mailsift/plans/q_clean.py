@@ -144,4 +144,4 @@ SELECT page_id, url FROM pages WHERE contains(url, '{' || 'en' || '}') OR contai
 def flt_service_lookup(spark, sf_dir):
     """FLT-3: literal (not regex) substring service lookup on endpoint URLs."""
     p = read_table(spark, sf_dir, "pages").select("page_id", "url")
-    return p.where(F.col("url").contains("{en}") | F.col("url").contains("/en/"))
+    return p.where(T.serves("url", "en"))

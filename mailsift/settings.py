@@ -52,6 +52,8 @@ LINKEDIN_PATTERN = r"((http(s?)://)*([a-zA-Z0-9\-])*\.|[linkedin])[linkedin/~\-]
 URL_PREFIX_REPLACEMENTS = ["w:", "W:", "blog:", "Blog:"]
 # Literal markers that disqualify a URL or LinkedIn match.
 URL_REJECT_MARKERS = ["@", "malito"]
+# The second one is a slip for this word, which never stands without "@" in a match of its own; both are rejected.
+URL_REJECT_ALSO = ["mailto"]
 
 # Evaluation tag vocabulary and report layouts.
 STANDARD_TAGS = [

@@ -36,6 +36,20 @@ def test_reconstruct_and_tokenizer(spark):
     assert df.select(tok(F.col("t")).alias("x")).orderBy("x").first().x == ["A", "B"]
 
 
+def test_options(spark):
+    from mailsift.functions.text import clean_mail_text
+    from mailsift.operators.extract import regex_entities
+    from mailsift.operators.response import responses
+    html = "<p>a</p><script>var x = 1;\n</script>b<STYLE>p{}</style> c"
+    row = spark.createDataFrame([(html,)], "h string").select(clean_mail_text("h").alias("a"), clean_mail_text("h", strip_script=True).alias("b")).first()
+    assert row.a == "a\nvar x = 1;\nbp{} c" and row.b == "a\nb c"
+    text = spark.createDataFrame([(1, "mailto:a.example.org and b.example.org")], "doc_id int, text string")
+    assert [r.name for r in regex_entities(text).collect()] == ["b.example.org"]
+    ents = spark.createDataFrame([("x", [("LINKEDIN", "www.linkedin.com/in/x"), ("URL", "x.org")])], "block string, entities array<struct<entity:string,name:string>>")
+    sites = lambda **o: [(w.url, w.tag) for w in responses(ents, "block", **o).first().signatureFields.webSites]
+    assert sites() == [("x.org", None)] and sites(linkedin=True) == [("x.org", None), ("www.linkedin.com/in/x", "LINKEDIN")]
+
+
 def test_hooks_of_the_training_segmenter(spark):
     from mailsift.operators.segment import hooked_tokens, training_segments
     df = spark.createDataFrame([(1, 0, "a", "One two; three."), (1, 1, "b", "x"), (2, 0, "a", None)], "id int, n int, label string, text string")
