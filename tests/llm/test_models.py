@@ -43,11 +43,26 @@ def holds(text, notice, least=0.8):
     cut = lambda w: [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
     want, have = set(cut(re.findall("[a-z0-9]+", notice.lower()))), cut(words)
     room = int(len(want) * 1.2 + 2)
-    best = (0, 0)
+    must = {g for g in want if any(w.isdigit() for w in g)}  # a version is there or it is another license
+    best = None
     for i, g in enumerate(have):
-        if g in want:
-            best = max(best, (len(want & set(have[i:i + room])), -i))
-    return (best[0], len(want), -best[1]) if want and best[0] >= least * len(want) else None
+        found = want & set(have[i:i + room])
+        if g in want and len(found) >= least * len(want) and must <= found:
+            best = max(best or (0, 0), (len(found), -i))
+    return (best[0], len(want), -best[1]) if best else None
+
+
+def test_license_versions(spark):
+    texts = {"gpl2": "This work is licensed under the GNU General Public License, version 2.", "gpl3": "The work is licensed under the GNU General Public License, version 3.",
+             "mpl11": "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License",
+             "mpl2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "sa3": "It is Licensed under CC BY-SA 3.0.",
+             "spdx": "// SPDX-License-Identifier: Apache-2.0\nint x;", "isc": licenses.NOTICES["isc-grant"], "none": "general public version license"}
+    df = spark.createDataFrame([(k, t, "c") for k, t in texts.items()] + [(None, texts["gpl2"], "c")] * 2, "doc_id string, text string, template string")
+    got = {}
+    for r in licenses.scan(df, licenses.notices(spark)).collect():
+        got.setdefault(r.doc_id, []).append(r.template)
+    assert got == {"gpl2": ["gpl-2.0-notice"], "gpl3": ["gpl-3.0-notice"], "mpl11": ["mpl-1.1-header"], "mpl2": ["mpl-2.0-header"],
+                   "sa3": ["cc-by-sa-3.0-notice"], "spdx": ["spdx-apache-2.0"], "isc": ["isc-grant"], None: ["gpl-2.0-notice"]}
 
 
 def test_licenses(spark, docs, odd):
