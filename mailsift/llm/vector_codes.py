@@ -79,15 +79,17 @@ def kept(vectors: DataFrame, id_col: str, vector_col: str, label_col: str | None
 
 
 def first_books(rows: DataFrame, parts: int, entries: int) -> list[np.ndarray] | None:
-    """The parts of the vectors of the smallest ids: a list with an (entries, part length) array for each part."""
-    least = rows.orderBy(F.col("vec_id").asc_nulls_last(), "v").limit(entries).select("v").collect()  # entries rows
-    if not least:
+    """The parts of the vectors of the smallest ids: a list with an (entries, part length) array for each part. The first of
+    these vectors sets the length."""
+    order = [F.col("vec_id").asc_nulls_last(), F.col("v")]
+    first = rows.orderBy(*order).select("v").first()
+    if first is None:
         return None
-    length = len(least[0].v)
+    length = len(first.v)
     if length % parts or not length:
         raise ValueError(f"vectors of {length} components can't be cut into {parts} equal parts")
-    whole = scaled(pa.array([r.v for r in least if len(r.v) == length], pa.list_(pa.float64())), length)
-    return np.split(whole, parts, axis=1)
+    least = rows.where(F.size("v") == length).orderBy(*order).limit(entries).select("v").collect()  # entries rows
+    return np.split(scaled(pa.array([r.v for r in least], pa.list_(pa.float64())), length), parts, axis=1)
 
 
 def learnt(rows: DataFrame, books: list[np.ndarray]) -> list[np.ndarray]:

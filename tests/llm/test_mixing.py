@@ -93,6 +93,10 @@ def test_codes_odd(spark):
     got = vector_codes.digest(df)
     assert result(got, *got.columns) == sorted(((None if i == 10**9 else i, *x) for i, *x in want), key=repr)
     assert vector_codes.digest(df.limit(0)).count() == 0
+    short = spark.createDataFrame([(k, [1.0] * 16 if k == 3 else [float(k)] * 32, 0, "c") for k in range(70)], df.schema)
+    same = [(k, [float(k)] * 32, 0) for k in range(70) if k != 3]
+    got = vector_codes.digest(short)  # a vector of another length takes no place in the first codebook
+    assert result(got, *got.columns) == sorted(brute.op12(same), key=repr)
     few = vector_codes.digest(df.where("vec_id < 5"))
     assert result(few, *few.columns) == sorted(brute.op12([x for x in plain if x[0] is not None and x[0] < 5]), key=repr)
 
