@@ -39,7 +39,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids, the number of tokens and whether these decode to the text."""
     p = fresh(docs, "pieces")
-    out = sentencepiece_fst.encode(docs, name=p)
+    out = sentencepiece_fst.encode(docs, name=p, remember=100_000)  # the workers also hold what earlier stages left
     return out.select("doc_id", "text", "lang", "source", f"`{p}`.n_tokens", f"`{p}`.ids", F.col(f"`{p}`.same").alias("decodes_to_text"))
 
 

@@ -30,7 +30,8 @@ from mailsift.llm.common import append_struct, prepare
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-REMEMBER = 800_000
+#: Segments, and pairs of pieces, that a worker remembers in each of two generations (some 400 and 200 bytes for one).
+REMEMBER = 400_000
 NORMAL, UNKNOWN, USER, UNUSED, BYTE = 1, 2, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 INFINITY = float("inf")
@@ -102,6 +103,9 @@ class Transducer:
         if any(BLANK in p.lstrip(BLANK) or len(p) > 1 and p.startswith(BLANK * 2) and p.strip(BLANK) for p in self.ids):
             raise ValueError("a piece goes on after a blank; segments would not be independent")
         self.memo: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
+        self.remember = REMEMBER
+        self.older_apart: dict[tuple, bool] = {}
         self.runs: dict[int, tuple] = {}
 
     def _merges(self) -> None:
@@ -151,9 +155,12 @@ class Transducer:
         pair = (before, piece)
         apart = self.apart.get(pair)
         if apart is None:
-            if len(self.apart) > REMEMBER:
-                self.apart.clear()
-            apart = self.apart[pair] = self._keep_apart(before, piece)
+            if len(self.apart) >= self.remember:
+                self.older_apart, self.apart = self.apart, {}
+            apart = self.older_apart.get(pair)
+            if apart is None:
+                apart = self._keep_apart(before, piece)
+            self.apart[pair] = apart
         return 0.0 if apart else INFINITY
 
     def path(self, segment: str) -> list[str]:
@@ -231,19 +238,22 @@ class Transducer:
         """(starts with a blank that stays alone, ids of the rest)."""
         known = self.memo.get(text)
         if known is None:
-            if len(self.memo) > REMEMBER:
-                self.memo.clear()
-            parts = self.path(text)
-            alone = parts[0] == BLANK
-            known = self.memo[text] = (alone, tuple(self.outputs(parts[alone:])))
+            if len(self.memo) >= self.remember:
+                self.older, self.memo = self.memo, {}
+            known = self.older.get(text)
+            if known is None:
+                parts = self.path(text)
+                alone = parts[0] == BLANK
+                known = (alone, tuple(self.outputs(parts[alone:])))
+            self.memo[text] = known
         return known
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        known, out, waiting = self.memo.get, [], 0
+        out, waiting = [], 0
         for token in self.tokens((BLANK if self.prefix else "") + text.replace(" ", BLANK)):
-            found = known(token)
+            found = self.memo.get(token)
             if found is None:
                 if not token.strip(BLANK):
                     waiting += len(token)
@@ -281,8 +291,11 @@ FIELDS = [("ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), ("n_token
           ("same", T.BooleanType(), pa.bool_())]
 
 
-def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, name: str = "pieces") -> DataFrame:
-    """All columns of ``docs`` and last the struct ``name``: ids, their number, and whether they decode to the text."""
+def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, name: str = "pieces", remember: int = REMEMBER) -> DataFrame:
+    """All columns of ``docs`` and last the struct ``name``: ids, their number, and whether they decode to the text.
+
+    ``remember`` bounds what a worker keeps of segments that it has encoded: fewer take less memory and more time, the
+    result is the same."""
     spark = docs.sparkSession
     prepare(spark)
     with open(model, "rb") as f:  # a model file of at most a few MB beside the driver; tasks get its bytes
@@ -290,6 +303,7 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, name: st
 
     def make():
         fst = compiled(shared.value)
+        fst.remember = remember
 
         def one(text):
             ids = fst.encode(text)
