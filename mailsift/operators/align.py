@@ -1,105 +1,130 @@
 """Re-alignment of an extracted signature onto the original text (SPN-5, SPN-6).
 
-Array higher-order functions only, no UDF. The extracted signature is
-stripped, its first and last character dropped, and split on blanks into
-chunks. For every chunk found in the text we keep its number of
-non-overlapping occurrences and its first and last offset. The anchor is the
-first chunk with the fewest occurrences (chunks tied at a minimum above one
-count only their last occurrence). Two folds walk left and right from the
-anchor choosing the nearest occurrence below/above the current bound; the
-span is then widened to whole lines.
-
-Nearest occurrences are found without listing them all: the non-overlapping
-occurrences of a prefix are a prefix of the text's occurrences, so the last
-occurrence before a bound comes from splitting the prefix, and the first one
-after it is a plain search from the end of that occurrence. Each step is
-linear in the text.
+The extracted signature is stripped, its first and last character dropped,
+and split on blanks into chunks. For every chunk found in the text we need its
+number of non-overlapping occurrences and its first and last offset. The
+anchor is the first chunk with the fewest occurrences (chunks tied at a
+minimum above one count only their last occurrence). Two walks go left and
+right from the anchor choosing the nearest occurrence below/above the current
+bound; the span is then widened to whole lines.
+
+A row's bounds are found in one Arrow pass that returns offsets only; the
+strings are cut in the JVM. A chunk is counted once however often the signature
+repeats it, and a walk searches from its bound to the nearest occurrence.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from functools import cached_property
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mailsift.functions.text import strip_all
-
-
-def _java_quote(c: Column) -> Column:
-    return F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+# White space of the strip: every Unicode blank (``functions.text.strip_all``).
+_BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+MIN_RESPONSE = 10
+SLICE = 256
+BOUNDS = pa.struct([("ok", pa.bool_()), ("lo", pa.int32()), ("hi", pa.int32())])
 
 
 def _substr(s: Column, pos: Column, length: Column | None = None) -> Column:
     return F.call_function("substr", s, pos) if length is None else F.call_function("substr", s, pos, length)
 
 
-def _last_before(text: Column, part: Column, bound: Column) -> Column:
-    """Largest occurrence offset < bound (NULL if none)."""
-    prefix = _substr(text, F.lit(1), F.greatest(bound - 1 + F.length(part), F.lit(0)))
-    pieces = F.split(prefix, _java_quote(part), -1)
-    return F.when(F.size(pieces) > 1,
-                  F.length(prefix) - F.length(F.element_at(pieces, -1)) - F.length(part))
-
-
-def _first_after(text: Column, part: Column, bound: Column) -> Column:
-    """Smallest occurrence offset > bound (NULL if none)."""
-    prefix = _substr(text, F.lit(1), bound + F.length(part))
-    pieces = F.split(prefix, _java_quote(part), -1)
-    end_last = F.when(F.size(pieces) > 1, F.length(prefix) - F.length(F.element_at(pieces, -1))).otherwise(F.lit(0))
-    hit = F.instr(_substr(text, end_last + 1), part)
-    return F.when(hit > 0, end_last + hit - 1)
-
-
-def align_signature(text: Column, response: Column) -> Column:
-    """Stage one: ``struct<v: array<struct<p, k, first, last>>, resp>`` (materialise it once)."""
-    resp = strip_all(F.coalesce(response, F.lit("")))
-    core = strip_all(_substr(resp, F.lit(2), F.greatest(F.length(resp) - 2, F.lit(0))))
-    parts = F.filter(F.split(core, " ", -1), lambda x: x != "")
-
-    def measure(p):
-        # bind the split once per chunk through a one-element transform
-        return F.transform(F.array(F.split(text, _java_quote(p), -1)), lambda sp: F.struct(
-            p.alias("p"), (F.size(sp) - 1).alias("k"), F.length(F.get(sp, 0)).alias("first"),
-            (F.length(text) - F.length(F.element_at(sp, -1)) - F.length(p)).alias("last")))[0]
-
-    valid = F.filter(F.transform(parts, measure), lambda x: x["k"] > 0)
-    return F.struct(valid.alias("v"), resp.alias("resp"))
-
-
-def finish_alignment(text: Column, packed: Column) -> Column:
-    """Stage two: ``struct<ok, lo, hi>``; ``ok`` is false for a response shorter than 10
-    characters (after strip) or without any matching chunk (-> ``(text, '', '', -1, -1)``)."""
-    valid, resp = packed["v"], packed["resp"]
-    n = F.size(valid)
-    min_n = F.array_min(F.transform(valid, lambda x: x["k"]))
-    marked = F.transform(valid, lambda x: F.struct(
-        x["p"].alias("p"), x["k"].alias("k"),
-        ((x["k"] == 1) | ((min_n > 1) & (x["k"] == min_n))).alias("single"),
-        F.when(x["k"] == 1, x["first"]).otherwise(x["last"]).alias("val")))
-    start_idx = F.array_position(F.transform(marked, lambda x: x["single"]), True)  # 1-based
-    anchor = F.get(marked, start_idx - 1)["val"]
-    left = F.reverse(F.slice(marked, 1, F.greatest(start_idx - 1, F.lit(0)).cast("int")))
-    right = F.slice(marked, (start_idx + 1).cast("int"), F.greatest(n - start_idx, F.lit(0)).cast("int"))
-    tlen = F.length(text)
-
-    def step_left(m, x):
-        bound = F.greatest(F.lit(0), m - 1)
-        cand = F.when(x["single"], F.when(x["val"] < bound, x["val"])).otherwise(_last_before(text, x["p"], bound))
-        return F.coalesce(cand, m)
-
-    def step_right(m, x):
-        bound = F.least(tlen, m + 1)
-        cand = F.when(x["single"], F.when(x["val"] > bound, x["val"])).otherwise(_first_after(text, x["p"], bound))
-        return F.coalesce(cand, m)
-
-    lo = F.aggregate(left, anchor, step_left)
-    hi0 = F.aggregate(right, anchor, step_right)
-    hi = F.least(hi0 + F.length(F.element_at(valid, -1)["p"]), tlen)
-    ok = (F.length(resp) >= 10) & (n > 0)
-    return F.struct(ok.alias("ok"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+class _Places:
+    """Non-overlapping occurrences, from the left, of one chunk in a text."""
+
+    def __init__(self, text: str, part: str):
+        self.text, self.part, self.k = text, part, text.count(part)
+        self._listed: list[int] | None = None
+
+    @cached_property
+    def overlaps(self) -> bool:
+        """Only a chunk that begins as it ends can overlap itself; long ones are rare in a text and simply listed."""
+        return len(self.part) > 64 or any(self.part.startswith(self.part[i:]) for i in range(1, len(self.part)))
+
+    def listed(self) -> list[int]:
+        if self._listed is None:
+            self._listed, at = [], self.text.find(self.part)
+            while at >= 0:
+                self._listed.append(at)
+                at = self.text.find(self.part, at + len(self.part))
+        return self._listed
+
+    def first(self) -> int:
+        return self.text.find(self.part)
+
+    def last(self) -> int:
+        return self.listed()[-1] if self.overlaps else self.text.rfind(self.part)
+
+    def before(self, bound: int) -> int | None:
+        """Largest occurrence offset < bound."""
+        if self.overlaps:
+            i = bisect_left(self.listed(), bound)
+            return self.listed()[i - 1] if i else None
+        at = self.text.rfind(self.part, 0, max(bound - 1 + len(self.part), 0))
+        return at if at >= 0 else None
+
+    def after(self, bound: int) -> int | None:
+        """Smallest occurrence offset > bound."""
+        if self.overlaps:
+            i = bisect_right(self.listed(), bound)
+            return self.listed()[i] if i < len(self.listed()) else None
+        at = self.text.find(self.part, bound + 1)
+        return at if at >= 0 else None
+
+
+def signature_bounds(text: str | None, response: str | None) -> tuple[int, int] | None:
+    """``(lo, hi)`` of the response in the text; None for a response shorter than 10 characters (after strip) or without any
+    matching chunk (-> ``(text, '', '', -1, -1)``)."""
+    resp = (response or "").strip(_BLANKS)
+    if text is None or len(resp) < MIN_RESPONSE:
+        return None
+    known: dict[str, _Places] = {}
+    valid = []
+    for part in resp[1:-1].strip(_BLANKS).split(" "):
+        if part and part not in known:
+            known[part] = _Places(text, part)
+        if part and known[part].k:
+            valid.append(known[part])
+    if not valid:
+        return None
+    least = min(x.k for x in valid)
+    single = [x.k == 1 or (least > 1 and x.k == least) for x in valid]
+    at = {x.part: x.first() if x.k == 1 else x.last() for x, one in zip(valid, single) if one}
+    anchor = single.index(True)
+    lo = hi = at[valid[anchor].part]
+    for x, one in zip(reversed(valid[:anchor]), reversed(single[:anchor])):
+        bound = max(0, lo - 1)
+        found = (at[x.part] if at[x.part] < bound else None) if one else x.before(bound)
+        lo = lo if found is None else found
+    for x, one in zip(valid[anchor + 1:], single[anchor + 1:]):
+        bound = min(len(text), hi + 1)
+        found = (at[x.part] if at[x.part] > bound else None) if one else x.after(bound)
+        hi = hi if found is None else found
+    return lo, min(hi + len(valid[-1].part), len(text))
+
+
+def _bounds(texts: pa.Array, found: pa.Array) -> pa.Array:
+    lo, hi = [], []
+    for low in range(0, len(texts), SLICE):
+        for text, response in zip(texts.slice(low, SLICE).to_pylist(), found.slice(low, SLICE).to_pylist()):
+            here = signature_bounds(text, response) or (None, None)
+            lo.append(here[0])
+            hi.append(here[1])
+    lo = pa.array(lo, pa.int32())
+    return pa.StructArray.from_arrays([lo.is_valid(), lo, pa.array(hi, pa.int32())], fields=list(BOUNDS))
+
+
+def alignment_bounds(text: Column, response: Column) -> Column:
+    """``struct<ok, lo, hi>`` of :func:`signature_bounds`, one Arrow pass."""
+    return F.arrow_udf(_bounds, "struct<ok:boolean,lo:int,hi:int>")(text, response)
 
 
 def cut_alignment(text: Column, bounds: Column) -> Column:
-    """Stage three (``bounds`` = stage two, materialised): whole-line signature, body, tail."""
+    """Whole-line signature, body and tail (``bounds`` materialised)."""
     lo, hi = bounds["lo"], bounds["hi"]
     before = _substr(text, F.lit(1), lo)
     prefix = F.substring_index(before, "\n", -1)
@@ -116,7 +141,6 @@ def cut_alignment(text: Column, bounds: Column) -> Column:
 
 
 def align(df, text_col: str, response_col: str, out_col: str = "aligned"):
-    """Three projections so every fold runs once per row: chunks -> bounds -> strings."""
-    x = df.withColumn("_align_p", align_signature(F.col(text_col), F.col(response_col)))
-    x = x.withColumn("_align_b", finish_alignment(F.col(text_col), F.col("_align_p")))
-    return x.withColumn(out_col, cut_alignment(F.col(text_col), F.col("_align_b"))).drop("_align_p", "_align_b")
+    """Two projections: bounds -> strings."""
+    x = df.withColumn("_align_b", alignment_bounds(F.col(text_col), F.col(response_col)))
+    return x.withColumn(out_col, cut_alignment(F.col(text_col), F.col("_align_b"))).drop("_align_b")
