@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailsift import settings as S
-from mailsift.operators.segment import pack_greedy, sentence_units
+from mailsift.operators.segment import packed, text_units
 
 _TOKEN = re.compile(r"[^ \t\n\r\f]+")
 _ORG_WORDS = {"Inc", "Inc.", "Ltd", "Ltd.", "LLC", "GmbH", "Corp", "Corp.", "SA", "AG"}
@@ -144,19 +144,16 @@ def score_windows(df: DataFrame, scorers: Scorers, fields: str, decide: Callable
     """``df`` with the array column ``name`` of structs ``(window, *fields)``: what ``decide(text, start, predictions)`` gives
     for each window of at most ``limit`` tokens of the text, in order (UDF-1, SPN-4).
 
-    Windows are cut in the JVM and travel as offsets beside the text; one Arrow pass slices them, calls the scorer of each
-    row's language and drops a window's predictions once it is decided, so memory follows ``SLICE`` windows and not the
-    rows of a batch. Null and empty texts have no windows. ``fields`` is a DDL list of int, string and double."""
+    One Arrow pass cuts the windows, calls the scorer of each row's language and drops a window's predictions once it is
+    decided, so memory follows ``SLICE`` windows and not the rows of a batch. Null and empty texts have no windows. ``fields`` is a DDL list of int, string and double."""
     names = [f.split() for f in fields.split(",")]
     element = T.StructType.fromDDL("window int, " + fields)
-    cut = df.withColumn("_windows", F.when(F.length(text_col) > 0, F.transform(
-        pack_greedy(sentence_units(F.col(text_col), limit), limit), lambda w: F.struct(w["start"].alias("s"), w["end"].alias("e")))))
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(element))])
     at, lang_at = df.columns.index(text_col), df.columns.index(lang_col) if lang_col else None
     columns_of = list(df.columns)
     kinds = [pa.field("window", pa.int32())] + [pa.field(n, _ARROW[t]) for n, t in names]
 
-    def found(texts, languages, windows):
+    def found(texts, languages):
         """Decided rows of each text, in chunks of few windows."""
         out = [[] for _ in texts]
         chunk: list[tuple[int, int, int, str]] = []
@@ -167,10 +164,10 @@ def score_windows(df: DataFrame, scorers: Scorers, fields: str, decide: Callable
                 out[i].extend((no, *row) for row in decide(text, start, preds))
             chunk.clear()
 
-        for i, (text, cut) in enumerate(zip(texts, windows)):
-            for no, w in enumerate(cut or ()):
-                if w["e"] > w["s"]:
-                    chunk.append((i, no, w["s"], text[w["s"]:w["e"]]))
+        for i, text in enumerate(texts):
+            for no, (_, start, end) in enumerate(packed(text_units(text, limit), limit) if text else ()):
+                if end > start:
+                    chunk.append((i, no, start, text[start:end]))
                 if len(chunk) >= SLICE:
                     close()
         close()
@@ -181,14 +178,14 @@ def score_windows(df: DataFrame, scorers: Scorers, fields: str, decide: Callable
             for low in range(0, whole.num_rows, 4 * SLICE):
                 b = whole.slice(low, 4 * SLICE)
                 languages = b.column(lang_at).to_pylist() if lang_col else [None] * b.num_rows
-                rows = found(b.column(at).to_pylist(), languages, b.column(b.num_columns - 1).to_pylist())
+                rows = found(b.column(at).to_pylist(), languages)
                 flat = [x for r in rows for x in r]
                 ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
                 columns = [pa.array([x[k] for x in flat], f.type) for k, f in enumerate(kinds)]
                 arrays = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, fields=kinds))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], arrays], names=[*columns_of, name])
+                yield pa.RecordBatch.from_arrays([*b.columns, arrays], names=[*columns_of, name])
 
-    return cut.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def predicted_tokens(text: str, start: int, preds: list[dict]) -> list[tuple]:
