@@ -15,6 +15,16 @@ from mailsift import settings as S
 from mailsift.functions.spans import match_spans
 from mailsift.functions.text import replace_all
 
+# The fixed patterns in forms that try each run of their characters once, with the same matches. LinkedIn: a host not led by
+# "http" matches from its run's first character or not at all; nothing that a possessive part takes could stand for the part
+# after it. Web: the optional "http://" consists of characters of the class after it, letters after the second one of those
+# that follow the dot, too; a match never begins inside a run, because the one before it took its whole run.
+LINKEDIN_RUNS = (r"(?:(?:https?://)++[a-zA-Z0-9\-]*+\.|(?<![a-zA-Z0-9\-])[a-zA-Z0-9\-]*+\.|[linkedin])[linkedin/~\-]++"
+                 r"\.[a-zA-Z0-9/~\-_,&=\?\.;]+[^\.,\s<]")
+_WEB = r"a-zA-Z0-9\.\/\?\:@\-_=#"
+WEB_RUNS = rf"(?<![{_WEB}])[{_WEB}]+\.[a-zA-Z]{{2}}[{_WEB}\&]*+"
+
+
 def _has_marker(name: Column) -> Column:
     cond = F.lit(False)
     for m in [*S.URL_REJECT_MARKERS, *S.URL_REJECT_ALSO]:
@@ -31,7 +41,7 @@ def _tag(spans: Column, entity: str) -> Column:
 def linkedin_spans(text: Column) -> Column:
     """EXT-3: LinkedIn matches kept only when they look like a LinkedIn URL; one trailing '>' stripped."""
     # every kept match contains 'linkedin', so texts without it skip the (slow) pattern
-    raw = match_spans(text, S.LINKEDIN_PATTERN, guard=F.instr(text, "linkedin") > 0)
+    raw = match_spans(text, LINKEDIN_RUNS, guard=F.instr(text, "linkedin") > 0)
     kept = F.filter(raw, lambda x: x["name"].contains("linkedin") & (x["name"] != "linkedin.com")
                     & ~_has_marker(x["name"]))
     return F.transform(kept, lambda x: F.struct(
@@ -44,7 +54,7 @@ def url_spans(text: Column, emails: Column, linkedin: Column) -> Column:
     """EXT-2: web matches that are not a LinkedIn/e-mail match, carry no '@'/'malito';
     one trailing dot stripped (end adjusted) and the listed prefixes removed."""
     # a web match always contains a dot followed by two letters
-    raw = match_spans(text, S.WEB_PATTERN, guard=text.rlike(r"\.[a-zA-Z]{2}"))
+    raw = match_spans(text, WEB_RUNS, guard=text.rlike(r"\.[a-zA-Z]{2}"))
     lk_names = F.transform(linkedin, lambda x: x["name"])
     em_names = F.transform(emails, lambda x: x["name"])
     kept = F.filter(raw, lambda x: ~F.array_contains(lk_names, x["name"])
@@ -64,9 +74,10 @@ def regex_entity_array(text: Column | str) -> Column:
     """EXT-4: all pattern entities of one text, in the order EMAIL, LINKEDIN, URL."""
     text = F.col(text) if isinstance(text, str) else text
     emails = match_spans(text, S.EMAIL_PATTERN, guard=F.instr(text, "@") > 0)
-    lk = linkedin_spans(text)
-    urls = url_spans(text, emails, lk)
-    return F.concat(_tag(emails, "EMAIL"), _tag(lk, "LINKEDIN"), _tag(urls, "URL"))
+    # bound as lambda variables, so that the patterns run once and not once for each web match
+    found = F.transform(F.array(F.struct(emails.alias("em"), linkedin_spans(text).alias("lk"))), lambda b: F.concat(
+        _tag(b["em"], "EMAIL"), _tag(b["lk"], "LINKEDIN"), _tag(url_spans(text, b["em"], b["lk"]), "URL")))
+    return found[0]
 
 
 def phone_entity_array(text: Column | str, region: str = "us", entity: str = "PHONE") -> Column:
