@@ -21,6 +21,7 @@ from mailsift.functions.text import clean_mail_text, map_language
 from mailsift.operators.extract import regex_entity_array
 from mailsift.operators.parse import parse_bodies
 from mailsift.operators.response import signature_fields
+from mailsift.sources.readers import spread
 
 
 def parse_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
@@ -43,9 +44,10 @@ def start_parse_stream(mails: DataFrame, gazetteer: DataFrame, output_path: str,
     """STR-1: the whole body pipeline (``parse.parse_bodies``) on a stream of mails, the gazetteer as its static side.
 
     Every micro-batch overwrites its own folder ``batch=<id>``: a batch that is run again after a failure replaces what it
-    had written, so the output holds each mail once. ``read_parsed`` reads it. ``options`` go to ``parse_bodies``."""
+    had written, so the output holds each mail once. ``read_parsed`` reads it. ``options`` go to ``parse_bodies``. A batch of
+    few files is spread over the cores."""
     def write(batch: DataFrame, number: int) -> None:
-        parse_bodies(batch, gazetteer, id_col, **options).write.mode("overwrite").parquet(os.path.join(output_path, f"batch={number}"))
+        parse_bodies(spread(batch, id_col), gazetteer, id_col, **options).write.mode("overwrite").parquet(os.path.join(output_path, f"batch={number}"))
 
     w = mails.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_path).outputMode("append")
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")).start()
