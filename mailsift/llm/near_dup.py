@@ -1,17 +1,18 @@
 """MinHash near-duplicates with an LSH forest.
 
 1. Texts with equal shingle sets form a class; from here on a class is a node, so copies cost one row.
-2. A node has ``TREES`` signatures of ``DEPTH`` minimal hashes. Each tree is one sorted order of the nodes; neighbours in
-   the order that share at least ``MIN_DEPTH`` leading values are candidates, so a dense region is compared at the depth
-   where its neighbours differ and a thin one at the least depth. The orders are dealt by range over (tree, signature,
-   node): a region of any size is spread over tasks, the rows at the borders are joined up in a second step.
-3. For every node its best candidate (sum of common depths over the trees) is confirmed on the full sets of both texts and
-   links are contracted to components. The next rounds look, in regions that hold several components, at many more nodes
-   of *other* components around each node and keep pairs whose whole signatures agree enough: first the best of every
-   component is confirmed, then all that still lie between two components. All pairs of a group are never made.
-4. A region of more than ``LOOK`` nodes that still holds several components may have pairs beyond the look. Its nodes are
-   joined exactly, without signatures: two sets of similarity 0.8 share one of the rarest shingles of each (prefix
-   filter). Only pairs between components are made, first the best of every component is confirmed, then the rest.
+2. A node has ``TREES`` signatures of ``DEPTH`` minimal hashes, and a sketch: two bits of each hash. Each tree is one sorted
+   order of the nodes; neighbours in the order that share at least ``MIN_DEPTH`` leading values are candidates, so a dense
+   region is compared at the depth where its neighbours differ and a thin one at the least depth. The orders are dealt by
+   range over (tree, signature, node): a region of any size is spread over tasks, the rows at the borders are joined up
+   in a second step.
+3. For every node its best candidate (by the sketches) is confirmed on the full sets of both texts and links are contracted
+   to components. The next round looks at many more nodes of *other* components around each node for pairs whose sketches
+   agree enough; the best of every component is confirmed, then of every node. All pairs of a group are never made.
+4. The nodes that had such a pair, and those of a region of more than ``LOOK`` nodes that still holds several components, may
+   have links that are not confirmed yet. They are joined exactly, without signatures: two sets of similarity 0.8 share one
+   of the rarest shingles of each, so early in both that enough others are left (prefix and position filter). Only pairs
+   between components are made, first the best of every component is confirmed, then all that still lie between two.
 
 At a similarity of 0.8 one tree shows a pair of neighbours with probability 0.51, all 24 miss it with 3e-8.
 
@@ -36,9 +37,11 @@ from mailsift.llm.common import MASK, Windows, WordHash, mix, prepare, written
 SHINGLE = 4
 PERCENT = 80
 TREES, DEPTH, MIN_DEPTH, NEIGHBOURS = 24, 6, 3, 3
-#: Second pass: nodes looked back at in a region, and signature values (of 144) in which a pair agrees at least; a pair
-#: of similarity 0.8 agrees in 115 +- 4.8 of them, so 92 misses one in a million.
-LOOK, AGREE = 64, 92
+#: Second pass: nodes looked back at in a region. Sketch values (of 144) in which a pair agrees at least: a pair of
+#: similarity 0.8 agrees in 122 +- 4.3 of them, so 98 misses one in a hundred million.
+LOOK, AGREE = 64, 98
+#: Exact join: step of the classes of set sizes, and nodes of a shingle for which its pairs are dealt out once more.
+SIZE_STEP, DEALT = 1.06, 500
 #: Keys of texts that are broadcast at most (16 bytes each); beyond, the texts are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -69,6 +72,23 @@ def signature(shingles: np.ndarray) -> bytes:
     return (least >> np.uint64(16)).astype(">u2").tobytes()
 
 
+def sketches(signatures: list[bytes]) -> np.ndarray:
+    """The two last bits of every value of each signature, 36 bytes a row."""
+    low = (np.frombuffer(b"".join(signatures), ">u2").reshape(len(signatures), len(_FACTORS)) & 3).astype(np.uint8)
+    return low[:, 0::4] | low[:, 1::4] << 2 | low[:, 2::4] << 4 | low[:, 3::4] << 6
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many values the rows of two tables of sketches agree."""
+    x = np.ascontiguousarray(a ^ b).view(np.uint32)
+    return len(_FACTORS) - np.bitwise_count((x | x >> np.uint32(1)) & np.uint32(0x55555555)).sum(axis=1, dtype=np.int32)
+
+
+def _table(column: pa.Array, width: int) -> np.ndarray:
+    """A column of byte strings of one length as a table of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -90,115 +110,173 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
 
 
 def _orders(nodes: DataFrame) -> DataFrame:
-    """Every node (node, sig, comp) once for each tree: tree, prefix, node, comp."""
+    """Every node (node, sig, comp) once for each tree: tree, prefix, node, comp, sketch."""
     step = 2 * DEPTH
 
     def explode(batches):
         for b in batches:
             sig = b.column(1).to_pylist()
+            sketch = pa.array([x.tobytes() for x in sketches(sig)], pa.binary())
             for t in range(TREES):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([t] * len(sig), pa.int32()), pa.array([s[t * step: (t + 1) * step] for s in sig], pa.binary()),
-                     b.column(0), b.column(2)], names=["tree", "prefix", "node", "comp"])
+                     b.column(0), b.column(2), sketch], names=["tree", "prefix", "node", "comp", "sketch"])
 
-    return nodes.select("node", "sig", "comp").mapInArrow(explode, "tree int, prefix binary, node binary, comp binary")
+    return nodes.select("node", "sig", "comp").mapInArrow(explode, "tree int, prefix binary, node binary, comp binary, sketch binary")
 
 
 _FOUND = pa.schema([("u", pa.binary()), ("v", pa.binary()), ("cu", pa.binary()), ("cv", pa.binary()), ("score", pa.int32()),
                     ("edge", pa.bool_()), ("tree", pa.int32()), ("prefix", pa.binary()), ("node", pa.binary()),
-                    ("comp", pa.binary()), ("sig", pa.binary())])
+                    ("comp", pa.binary()), ("sketch", pa.binary())])
 _FOUND_SQL = ("u binary, v binary, cu binary, cv binary, score int, edge boolean, tree int, prefix binary, node binary, comp binary, "
-              "sig binary")
+              "sketch binary")
+
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _FOUND)], schema=_FOUND)
+
+
+def _nearest(look: int):
+    """One pass over rows in order: each node (u) with the one (v) of the ``look`` nodes before and after it in its region
+    whose sketch agrees most, if it agrees enough. Rows marked ``edge`` are the first and last ``look`` of the pass."""
+    deep, prefix_bytes, sketch_bytes = 2 * MIN_DEPTH, 2 * DEPTH, len(_FACTORS) // 4
+
+    def run(batches):
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            edges = [] if last is not None else [(None,) * 5 + (True, *r) for r in zip(*(c.to_pylist() for c in b.slice(0, look).columns))]
+            b = b if last is None else pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
+            tree = b.column(0).to_numpy(zero_copy_only=False)
+            region, sketch = _table(b.column(1), prefix_bytes)[:, :deep], _table(b.column(4), sketch_bytes)
+            score, other = np.full(len(b), -1, np.int32), np.zeros(len(b), np.int64)
+            for d in range(1, min(look, len(b) - 1) + 1):
+                low = np.flatnonzero((tree[d:] == tree[:-d]) & (region[d:] == region[:-d]).all(axis=1))
+                agreed = agreement(sketch[low], sketch[low + d])
+                for here, there in ((low, low + d), (low + d, low)):
+                    better = agreed > score[here]
+                    score[here[better]], other[here[better]] = agreed[better], there[better]
+            at = np.flatnonzero(score >= AGREE)
+            node = b.column(2)
+            out = [(u, v, None, None, s, False, None, None, None, None, None) for u, v, s in zip(
+                node.take(pa.array(at)).to_pylist(), node.take(pa.array(other[at])).to_pylist(), score[at].tolist())]
+            last = b.slice(max(0, len(b) - look))
+            if out or edges:
+                yield _found(edges + out)
+        if last is not None:
+            yield _found([(None,) * 5 + (True, *r) for r in zip(*(c.to_pylist() for c in last.columns))])
+    return run
 
 
 def _neighbours(look: int):
     """One pass over rows in order: each node with the ``look`` nearest nodes of other components before it in its region.
 
-    Where signatures are given, pairs that agree in too few of their values are left out. Rows marked ``edge`` are the
-    first and last nodes of the pass, for joining up passes over adjoining ranges: a region of at most ``look`` nodes is
-    carried whole, of a larger one the first ``look`` nodes and components and the last ``look`` nodes.
+    Pairs whose sketches agree in too few values are left out. Of the others those are given that are the best of the later
+    node, or better than all that the earlier one had so far: every node with such a pair is in one, its best is given,
+    and the rows grow with the nodes. Rows marked ``edge`` are the first and last nodes of the
+    pass, for joining up passes over adjoining ranges: a region of at most ``look`` nodes is carried whole, of a larger
+    one the first ``look`` nodes and components and the last ``look`` nodes. Rows without nodes count the nodes (score) and
+    give the least and largest component (cu, cv) of a region: of the first and last one of the pass, and of those between
+    with more than ``look`` nodes and several components.
     """
+    deep, sketch_bytes = 2 * MIN_DEPTH, len(_FACTORS) // 4
+
     def run(batches):
         recent: OrderedDict[bytes, deque] = OrderedDict()
         here, first, out = None, set(), []
         opening, ahead = True, 0
+        held, low, high = 0, None, None
+
+        def counted():
+            return (None, None, low, high, held, False, here[0], here[1], None, None, None)
+
         for b in batches:
-            for tree, prefix, node, comp, sig in zip(*(c.to_pylist() for c in b.columns)):
-                region = (tree, prefix[: 2 * MIN_DEPTH])
+            table = _table(b.column(4), sketch_bytes)
+            for at, (tree, prefix, node, comp) in enumerate(zip(*(c.to_pylist() for c in b.columns[:4]))):
+                region = (tree, prefix[:deep])
                 if region != here:
+                    if here is not None and (opening or held > look and low != high):
+                        out.append(counted())
                     opening = here is None
                     recent.clear()
                     here = region
-                values = None if sig is None else np.frombuffer(sig, ">u2")
+                    held, low, high = 0, comp, comp
+                held, low, high = held + 1, min(low, comp), max(high, comp)
+                sketch = table[at]
                 others = []
                 for other in reversed(recent):
                     if other != comp:
-                        others += [(other, *x) for x in reversed(recent[other])]
+                        others += [(other, x) for x in reversed(recent[other])]
                     if len(others) >= look:
                         break
-                if others and values is None:
-                    scores = [next((d for d in range(MIN_DEPTH, DEPTH) if prefix[2 * d: 2 * d + 2] != p[2 * d: 2 * d + 2]), DEPTH)
-                              for _, p, _, _ in others]
-                elif others:
-                    scores = (np.array([x[3] for x in others]) == values).sum(axis=1).tolist()
-                for (other, _, there, _), score in zip(others, scores if others else ()):
-                    if values is None or score >= AGREE:
-                        u, v = ((node, comp), (there, other)) if node < there else ((there, other), (node, comp))
-                        out.append((u[0], v[0], u[1], v[1], score, False, None, None, None, None, None))
+                if others:
+                    scores = agreement(np.array([x[1][2] for x in others]), sketch[None, :])
+                    top = int(scores.argmax())
+                    for k in np.flatnonzero(scores >= AGREE).tolist():
+                        other, entry = others[k]
+                        score = int(scores[k])
+                        if k == top or score > entry[3]:
+                            there, entry[3] = entry[1], max(score, entry[3])
+                            u, v = ((node, comp), (there, other)) if node < there else ((there, other), (node, comp))
+                            out.append((u[0], v[0], u[1], v[1], score, False, None, None, None, None, None))
                 if opening and (ahead < look or (len(first) <= look and comp not in first)):
                     first.add(comp)
                     ahead += 1
-                    out.append((None,) * 5 + (True, tree, prefix, node, comp, sig))
+                    out.append((None,) * 5 + (True, tree, prefix, node, comp, sketch.tobytes()))
                 if comp not in recent:
-                    recent[comp] = deque(maxlen=look if sig is not None else 1)
+                    recent[comp] = deque(maxlen=look)
                 recent.move_to_end(comp)
-                recent[comp].append((prefix, node, values))
+                recent[comp].append([prefix, node, sketch, -1])
                 if len(recent) > look:
                     recent.popitem(last=False)
                 if len(out) >= 20000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _FOUND)], schema=_FOUND)
+                    yield _found(out)
                     out = []
+        if here is not None:
+            out.append(counted())
         left = [(c, *x) for c in reversed(recent) for x in reversed(recent[c])][:look]
-        out += [(None,) * 5 + (True, here[0], p, node, c, None if v is None else v.tobytes()) for c, p, node, v in left]
+        out += [(None,) * 5 + (True, here[0], p, n, c, x.tobytes()) for c, p, n, x, _ in left]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _FOUND)], schema=_FOUND)
+            yield _found(out)
     return run
 
 
-def _mixed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of all orders with their region, and the regions of several components with their numbers of nodes."""
-    rows = _orders(nodes).withColumn("region", F.substring("prefix", 1, 2 * MIN_DEPTH))
-    found = rows.groupBy("tree", "region").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("held"))
-    return rows, found.where("low <> high").select("tree", "region", "held")
+def _passed(nodes: DataFrame, pass_, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that a pass over the sorted orders finds, and those of joining up its borders. ``nodes``: node, sig, comp."""
+    order = ["tree", "prefix", "node"]
+    rows = _orders(nodes)
+    found = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pass_, _FOUND_SQL), name)
+    # A bounded number of rows for each task of the pass above; those of a short range are its first and its last ones.
+    edges = found.where("edge").select(*rows.columns).dropDuplicates(["tree", "node"]).repartition(1).sortWithinPartitions(*order)
+    return found.where("not edge"), edges.mapInArrow(pass_, _FOUND_SQL).where("not edge")
 
 
-def _crowded(nodes: DataFrame) -> DataFrame:
-    """Nodes (node, comp) of the regions of several components and more than ``LOOK`` nodes: all the look may have cut."""
-    rows, mixed = _mixed(nodes)
-    return rows.join(mixed.where(F.col("held") > LOOK), ["tree", "region"], "left_semi").select("node", "comp").distinct()
+def _best_near(nodes: DataFrame) -> DataFrame:
+    """The best candidate (u, v) of every node among its neighbours in the orders."""
+    inside, border = _passed(nodes, _nearest(NEIGHBOURS), "near")
+    top = F.max(F.struct("score", "v")).alias("top")
+    both = inside.unionByName(border).groupBy("u").agg(top)
+    return both.select(F.least("u", "top.v").alias("u"), F.greatest("u", "top.v").alias("v")).distinct()
 
 
-def _pairs(nodes: DataFrame, near: bool, name: str) -> DataFrame:
-    """Candidates (u, v, cu, cv, score) between components: neighbours in the sorted orders. ``nodes``: node, sig, comp.
+def _pairs(nodes: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates (u, v, cu, cv, score) between components among many neighbours in the orders; and the regions (tree,
+    region) of several components that the look may have cut."""
+    inside, border = _passed(nodes, _neighbours(LOOK), name)
+    pairs = inside.unionByName(border).where("u is not null").groupBy("u", "v").agg(
+        F.min("cu").alias("cu"), F.min("cv").alias("cv"), F.max("score").alias("score"))
+    held = inside.where("u is null").groupBy("tree", F.col("prefix").alias("region")).agg(
+        F.sum("score").alias("held"), F.min("cu").alias("low"), F.max("cv").alias("high"))
+    return pairs, held.where((F.col("held") > LOOK) & (F.col("low") != F.col("high"))).select("tree", "region")
 
-    ``near`` looks at a few neighbours of every node; otherwise at many of them, in the regions of several components,
-    and compares the whole signatures.
-    """
-    order = ["tree", "prefix", "node"]
-    if near:
-        rows = _orders(nodes).withColumn("sig", F.lit(None).cast("binary"))
-    else:
-        rows, mixed = _mixed(nodes)
-        rows = rows.join(mixed, ["tree", "region"], "left_semi")
-        rows = rows.join(nodes.select("node", "sig"), "node")
-    pass_ = _neighbours(NEIGHBOURS if near else LOOK)
-    rows = rows.select("tree", "prefix", "node", "comp", "sig")
-    found = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pass_, _FOUND_SQL), name)
-    # A bounded number of rows for each task of the pass above; those of a short range are its first and its last ones.
-    edges = found.where("edge").select(*rows.columns).dropDuplicates(["tree", "node"]).repartition(1).sortWithinPartitions(*order)
-    columns = ["u", "v", "cu", "cv", "score"]
-    both = found.where("not edge").select(*columns).unionByName(edges.mapInArrow(pass_, _FOUND_SQL).where("not edge").select(*columns))
-    return both.groupBy("u", "v").agg(F.min("cu").alias("cu"), F.min("cv").alias("cv"), F.sum("score").alias("score"))
+
+def _crowded(nodes: DataFrame, regions: DataFrame) -> DataFrame:
+    """Nodes (node, comp) of those ``regions`` that still hold several components."""
+    rows = _orders(nodes).withColumn("region", F.substring("prefix", 1, 2 * MIN_DEPTH))
+    rows = rows.join(F.broadcast(regions), ["tree", "region"], "left_semi").select("tree", "region", "node", "comp")
+    mixed = rows.groupBy("tree", "region").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    return rows.join(mixed, ["tree", "region"], "left_semi").select("node", "comp").distinct()
 
 
 def _sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, name: str) -> DataFrame:
@@ -240,10 +318,12 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
 
 
 def _exact(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs (u, v, cu, cv, score) between components of ``crowd`` (node, comp) that share a rare shingle.
+    """All pairs (u, v, cu, cv, score) between components of ``crowd`` (node, comp) that share a rare shingle early enough.
 
-    A set of n shingles shares at least ``percent`` of n with any set similar enough, so of its n - percent + 1 rarest
-    shingles at least one lies among those of the other set, in whatever order both are taken.
+    Shingles are taken in one order for all sets: those of one component only, then the rarest. Sets of n and m shingles
+    that are similar enough share percent * (n + m) / (100 + percent) of them. So they have a first shared one, and from
+    its place on either set holds at least as many. The larger set (n) has it among its n - percent of n + 1 first, the
+    smaller one among fewer. Sizes are joined by classes, and the larger set meets those classes only that its place allows.
     """
     def explode(batches):
         for b in batches:
@@ -254,19 +334,27 @@ def _exact(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     grams = crowd.join(sets, "node").select("node", "comp", "z").mapInArrow(explode, "node binary, comp binary, n long, g long")
     known = grams.groupBy("g").agg(F.count("*").alias("texts"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    ranked = grams.join(known.select("g", "texts", (F.col("low") != F.col("high")).alias("mixed")), "g")
-    rare = ranked.groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "g", "mixed"))).alias("all"))
-    prefix = rare.select("node", "comp", "n", F.inline(F.expr(f"slice(all, 1, cast(n - ceil({percent} * n / 100) + 1 as int))")))
-    # Salted by node, so that a common shingle is dealt out; components are paired first, so no pair inside one is made.
-    prefix = written(prefix.where("mixed").select("node", "comp", "n", "g", F.expr("pmod(xxhash64(node), 16)").alias("salt")), "prefix")
-    side = lambda k: prefix.select("g", *[F.col(c).alias(c + k) for c in ("node", "comp", "n", "salt")])
-    parts = lambda k: side(k).select("g", "comp" + k, "salt" + k).distinct()
-    met = parts("1").join(parts("2"), "g").where("comp1 < comp2")
-    both = met.join(side("1"), ["g", "comp1", "salt1"]).join(side("2"), ["g", "comp2", "salt2"])
-    both = both.where(f"100 * n1 >= {percent} * n2 and 100 * n2 >= {percent} * n1")
-    swap = lambda a, b: F.when(F.col("node1") < F.col("node2"), F.col(a)).otherwise(F.col(b))
-    pairs = both.select(swap("node1", "node2").alias("u"), swap("node2", "node1").alias("v"), swap("comp1", "comp2").alias("cu"),
-                        swap("comp2", "comp1").alias("cv"))
+    ranked = grams.join(known.where("low <> high").select("g", "texts"), "g")
+    rare = ranked.groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "g"))).alias("all"))
+    first = rare.select("node", "comp", "n", (F.col("n") - F.size("all")).alias("own"), F.posexplode(
+        F.expr(f"slice(all, 1, cast(greatest(0, size(all) - ceil({percent} * n / 100) + 1) as int))")).alias("k", "x"))
+    spread = (F.col("x.texts") / DEALT).cast("int") + 1
+    prefix = written(first.select("node", "comp", "n", "x.g", (F.col("n") - F.col("own") - F.col("k")).alias("left"), spread.alias("spread")), "prefix")
+    size_class = lambda c: F.floor(F.log(c.cast("double")) / float(np.log(SIZE_STEP)))
+    n, left = F.col("n"), F.col("left")
+    small = prefix.where((100 + percent) * left >= 2 * percent * n).select(
+        "g", size_class(n).alias("size"), F.expr("pmod(xxhash64(node), spread)").alias("salt"), F.struct("node", "comp", "n", "left").alias("a"))
+    least, most = F.ceil(percent * n / 100), F.least(n, F.floor(((100 + percent) * left - percent * n) / percent))
+    large = prefix.where(least <= most).select("g", F.explode(F.sequence(size_class(least), size_class(most))).alias("size"), "spread",
+                                               F.struct("node", "comp", "n", "left").alias("b"))
+    large = large.select("g", "size", F.explode(F.expr("sequence(0L, spread - 1L)")).alias("salt"), "b")
+    shared = f"{percent} * (a.n + b.n)"
+    both = small.join(large, ["g", "size", "salt"]).where(
+        f"a.comp <> b.comp and (a.n < b.n or a.n = b.n and a.node < b.node) and 100 * a.n >= {percent} * b.n "
+        f"and {100 + percent} * a.left >= {shared} and {100 + percent} * b.left >= {shared}")
+    swap = lambda x, y: F.when(F.col("a.node") < F.col("b.node"), F.col(x)).otherwise(F.col(y))
+    pairs = both.select(swap("a.node", "b.node").alias("u"), swap("b.node", "a.node").alias("v"), swap("a.comp", "b.comp").alias("cu"),
+                        swap("b.comp", "a.comp").alias("cv"))
     return pairs.groupBy("u", "v", "cu", "cv").agg(F.count("*").cast("int").alias("score"))
 
 
@@ -313,10 +401,16 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         """Current component of the nodes of a column, as a table."""
         return labels.select(F.col("node").alias(column), F.col("comp").alias(f"now_{column}"))
 
-    def best(pairs):
-        """The best candidate of every component."""
-        ends = pairs.select(F.explode(F.array("cu", "cv")).alias("comp"), F.struct("score", "u", "v").alias("pair"))
-        return ends.groupBy("comp").agg(F.max("pair").alias("pair")).select("pair.u", "pair.v").distinct()
+    def best(pairs, by=("cu", "cv")):
+        """The best candidate of every component (or node), as either end of its pairs."""
+        top = F.max(F.struct("score", "u", "v")).alias("pair")
+        ends = [pairs.groupBy(F.col(c).alias("end")).agg(top) for c in by]
+        return ends[0].unionByName(ends[1]).groupBy("end").agg(F.max("pair").alias("pair")).select("pair.u", "pair.v").distinct()
+
+    def open_(pairs, tried):
+        """The other pairs that still lie between two components."""
+        return (pairs.join(tried, ["u", "v"], "left_anti").join(now("u"), "u", "left").join(now("v"), "v", "left")
+                .where(F.coalesce("now_u", "u") != F.coalesce("now_v", "v")).select(*pairs.columns))
 
     def confirm(pairs, name):
         done = _confirmed(pairs, nodes, docs, id_col, text_col, size, percent, name)
@@ -325,21 +419,23 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def current():
         return nodes.join(labels, "node", "left").select("node", "sig", F.coalesce("comp", "node").alias("comp"))
 
-    labels = confirm(written(best(_pairs(current(), True, "near")), "best-near"), "near-links")
-    def joined(pairs, name):
-        """Labels after the best pair of every component, then all that still lie between two components."""
-        nonlocal labels
-        tried = written(best(pairs), f"best-{name}")
-        labels = confirm(tried, f"{name}-links")
-        rest = (pairs.join(tried, ["u", "v"], "left_anti").join(now("u"), "u", "left").join(now("v"), "v", "left")
-                .where(F.coalesce("now_u", "u") != F.coalesce("now_v", "v")).select("u", "v"))
-        labels = confirm(written(rest, f"{name}-rest"), f"{name}-rest-links")
-
-    joined(written(_pairs(current(), False, "far"), "far-pairs"), "far")
-    crowd = written(_crowded(current()), "crowd")
+    labels = confirm(written(_best_near(current()), "best-near"), "near-links")
+
+    far, cut = _pairs(current(), "far")
+    far, cut = written(far, "far-pairs"), written(cut, "cut")
+    tried = written(best(far), "best-far")
+    labels = confirm(tried, "far-links")
+    labels = confirm(written(best(open_(far, tried), ("u", "v")), "best-far-nodes"), "far-node-links")
+    # What may still be linked: nodes with a pair of the second pass, and those of regions that the look may have cut.
+    likely = far.select(F.col("u").alias("node")).union(far.select(F.col("v").alias("node"))).distinct()
+    likely = likely.join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    crowd = written(_crowded(current(), cut).union(likely).distinct(), "crowd")
     if not crowd.isEmpty():
         sets = _sets(crowd, nodes, docs, id_col, text_col, size, "crowd")
-        joined(written(_exact(crowd, sets, percent), "crowd-pairs"), "crowd")
+        pairs = written(_exact(crowd, sets, percent), "crowd-pairs")
+        tried = written(best(pairs), "best-crowd")
+        labels = confirm(tried, "crowd-links")
+        labels = confirm(written(open_(pairs, tried).select("u", "v"), "crowd-rest"), "crowd-rest-links")
     named = nodes.join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc", "text_key")
     top = named.groupBy("comp").agg(least.alias("top"))
     classes = named.select("node", "comp").join(top, "comp").select("node", "top")

@@ -82,3 +82,23 @@ def test_crowded_region(spark, monkeypatch):
     want = sorted(brute.op8(rows), key=repr)
     assert sum(not x[3] for x in want) > 40
     assert result(near_dup.near_duplicates(df), *COLUMNS) == want
+
+
+def test_exact_join_of_templated_texts(spark):
+    """Many texts of similarity 0.7 to each other and a few similar ones: the latter are found, the former not paired."""
+    r = random.Random(6)
+    base, rows = [f"w{i}" for i in range(100)], []
+
+    def changed(places):
+        return " ".join(f"v{r.randrange(10 ** 9)}" if i in places else w for i, w in enumerate(base))
+
+    for k in range(60):
+        rows.append((k, changed([10, 30, 50, 70])))
+    rows += [(100, changed([40])), (101, changed([80])), (102, " ".join(base[:95]))]
+    sets = {k.to_bytes(2, "big"): near_dup.Shingler()(t.encode()) for k, t in rows}
+    crowd = spark.createDataFrame([(bytearray(k), bytearray(k)) for k in sets], "node binary, comp binary").repartition(3)
+    held = spark.createDataFrame([(bytearray(k), bytearray(z.tobytes())) for k, z in sets.items()], "node binary, z binary")
+    got = {(bytes(x.u), bytes(x.v)) for x in near_dup._exact(crowd, held, 80).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and near_dup.similar(sets[a], sets[b], 80)}
+    assert len(want) >= 3 and want <= got
+    assert len(got) <= 4 * len(sets)  # not the square of the group
