@@ -9,14 +9,14 @@ right from the anchor choosing the nearest occurrence below/above the current
 bound; the span is then widened to whole lines.
 
 A row's bounds are found in one Arrow pass that returns offsets only; the
-strings are cut in the JVM. A chunk is counted once however often the signature
-repeats it, and a walk searches from its bound to the nearest occurrence.
+strings are cut in the JVM. A chunk is searched until it is found twice, however
+often the signature repeats it, and counted only where none is found once; a
+walk searches from its bound to the nearest occurrence.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -34,45 +34,47 @@ def _substr(s: Column, pos: Column, length: Column | None = None) -> Column:
 
 
 class _Places:
-    """Non-overlapping occurrences, from the left, of one chunk in a text."""
+    """Non-overlapping occurrences, from the left, of one chunk in a text.
 
-    def __init__(self, text: str, part: str):
-        self.text, self.part, self.k = text, part, text.count(part)
-        self._listed: list[int] | None = None
-
-    @cached_property
-    def overlaps(self) -> bool:
-        """Only a chunk that begins as it ends can overlap itself; long ones are rare in a text and simply listed."""
-        return len(self.part) > 64 or any(self.part.startswith(self.part[i:]) for i in range(1, len(self.part)))
+    A chunk holds no blank, so an occurrence lies within one piece of the text between blanks, and of occurrences that
+    overlap those count that a walk through their piece from its left meets: a search looks at one piece only."""
 
-    def listed(self) -> list[int]:
-        if self._listed is None:
-            self._listed, at = [], self.text.find(self.part)
+    def __init__(self, text: str, part: str):
+        self.text, self.part, self.begin = text, part, -1
+        # only a chunk that begins as it ends can overlap itself
+        self.overlaps = any(part.startswith(part[i:]) for i in range(1, len(part))) if part.find(part[0], 1) > 0 else False
+
+    def _listed(self, at: int) -> list[int]:
+        """The occurrences in the piece around an offset; those of the piece seen last are kept."""
+        begin, end = self.text.rfind(" ", 0, at) + 1, self.text.find(" ", at)
+        if begin != self.begin:
+            self.begin, self.end, self.listed = begin, len(self.text) if end < 0 else end, []
+            at = self.text.find(self.part, begin, self.end)
             while at >= 0:
-                self._listed.append(at)
-                at = self.text.find(self.part, at + len(self.part))
-        return self._listed
-
-    def first(self) -> int:
-        return self.text.find(self.part)
+                self.listed.append(at)
+                at = self.text.find(self.part, at + len(self.part), self.end)
+        return self.listed
 
     def last(self) -> int:
-        return self.listed()[-1] if self.overlaps else self.text.rfind(self.part)
+        return self.before(len(self.text) + 1)
 
     def before(self, bound: int) -> int | None:
         """Largest occurrence offset < bound."""
-        if self.overlaps:
-            i = bisect_left(self.listed(), bound)
-            return self.listed()[i - 1] if i else None
         at = self.text.rfind(self.part, 0, max(bound - 1 + len(self.part), 0))
-        return at if at >= 0 else None
+        if at < 0 or not self.overlaps:
+            return at if at >= 0 else None
+        listed = self._listed(at)
+        return listed[bisect_left(listed, bound) - 1]
 
     def after(self, bound: int) -> int | None:
         """Smallest occurrence offset > bound."""
-        if self.overlaps:
-            i = bisect_right(self.listed(), bound)
-            return self.listed()[i] if i < len(self.listed()) else None
         at = self.text.find(self.part, bound + 1)
+        while at >= 0 and self.overlaps:
+            listed = self._listed(at)
+            i = bisect_right(listed, bound)
+            if i < len(listed):
+                return listed[i]
+            at = self.text.find(self.part, self.end)
         return at if at >= 0 else None
 
 
@@ -82,29 +84,40 @@ def signature_bounds(text: str | None, response: str | None) -> tuple[int, int]
     resp = (response or "").strip(_BLANKS)
     if text is None or len(resp) < MIN_RESPONSE:
         return None
-    known: dict[str, _Places] = {}
-    valid = []
-    for part in resp[1:-1].strip(_BLANKS).split(" "):
-        if part and part not in known:
-            known[part] = _Places(text, part)
-        if part and known[part].k:
-            valid.append(known[part])
+    parts = [x for x in resp[1:-1].strip(_BLANKS).split(" ") if x]
+    at: dict[str, int] = {}
+    missing = set()
+    for x in set(parts):   # a chunk is searched until it is found twice
+        first = text.find(x)
+        if first < 0:
+            missing.add(x)
+        elif text.find(x, first + len(x)) < 0:
+            at[x] = first
+    valid = [x for x in parts if x not in missing]
     if not valid:
         return None
-    least = min(x.k for x in valid)
-    single = [x.k == 1 or (least > 1 and x.k == least) for x in valid]
-    at = {x.part: x.first() if x.k == 1 else x.last() for x, one in zip(valid, single) if one}
-    anchor = single.index(True)
-    lo = hi = at[valid[anchor].part]
-    for x, one in zip(reversed(valid[:anchor]), reversed(single[:anchor])):
+    known: dict[str, _Places] = {}
+
+    def places(part):
+        if part not in known:
+            known[part] = _Places(text, part)
+        return known[part]
+
+    if not at:
+        counts = {x: text.count(x) for x in set(valid)}
+        least = min(counts.values())
+        at = {x: places(x).last() for x, k in counts.items() if k == least}
+    anchor = next(i for i, x in enumerate(valid) if x in at)
+    lo = hi = at[valid[anchor]]
+    for x in reversed(valid[:anchor]):
         bound = max(0, lo - 1)
-        found = (at[x.part] if at[x.part] < bound else None) if one else x.before(bound)
+        found = (at[x] if at[x] < bound else None) if x in at else places(x).before(bound)
         lo = lo if found is None else found
-    for x, one in zip(valid[anchor + 1:], single[anchor + 1:]):
+    for x in valid[anchor + 1:]:
         bound = min(len(text), hi + 1)
-        found = (at[x.part] if at[x.part] > bound else None) if one else x.after(bound)
+        found = (at[x] if at[x] > bound else None) if x in at else places(x).after(bound)
         hi = hi if found is None else found
-    return lo, min(hi + len(valid[-1].part), len(text))
+    return lo, min(hi + len(valid[-1]), len(text))
 
 
 def _bounds(texts: pa.Array, found: pa.Array) -> pa.Array:

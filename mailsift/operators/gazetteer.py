@@ -20,12 +20,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailsift import settings as S
+from mailsift.operators.segment import word_runs
 
 COUNTRY = "struct<name:string,aliases:array<string>,states:array<struct<name:string,aliases:array<string>,cities:array<string>>>>"
 
@@ -71,25 +71,32 @@ def surface_shape(surface: Column) -> Column:
                     F.length(F.element_at(pieces, -1)).alias("tail"))
 
 
-_WORD = regex.compile(S.WORD_PATTERN)
 _NEAR = re.compile("(?:[0-9]+|[0-9]+(?:st|nd|rd|th)|[a-zA-Z])").fullmatch  # EXT-10: a number, an ordinal or a single letter
 _BLANK = re.compile("[\t\n\x0b\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+").fullmatch
 GRAMS_KEPT = 100_000
 
 
-def surface_grams(text: str, shapes: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, bool]]:
-    """(surface, start, adjacent): the whole-word pieces of a text that have one of the shapes (words, lead, tail)."""
-    places = [m.span() for m in _WORD.finditer(text)]
-    last = len(places) - 1
-    near = {i for i, (s, e) in enumerate(places) if (e - s == 1 or text[s] in "0123456789") and _NEAR(text, s, e)}
+def surface_grams(text: str, shapes: list[tuple[int, int, int]]) -> Iterator[tuple[dict[str, int], set[str]]]:
+    """The whole-word pieces of a text, for each of the shapes (words, lead, tail): the different ones with their first start,
+    and those that are adjacent somewhere."""
+    starts, ends = word_runs(text)
+    places, last = list(zip(starts, ends)), len(starts) - 1
+    near = [i for i, (s, e) in enumerate(places) if (e - s == 1 or text[s] in "0123456789") and _NEAR(text, s, e)]
     for n, lead, tail in shapes:
-        for i in range(last - n + 2):
-            start, end = places[i][0] - lead, places[i + n - 1][1] + tail
-            # the characters taken on both sides lie in the gaps and leave a non-word character or the text's edge
-            if lead and start < (places[i - 1][1] + 1 if i else 0) or tail and end > (places[i + n][0] - 1 if i + n <= last else len(text)):
-                continue
-            beside = (i - 1 in near and _BLANK(text, places[i - 1][1], start) or i + n in near and _BLANK(text, end, places[i + n][0])) if near else None
-            yield text[start:end], start, bool(beside)
+        spans = list(zip(starts, ends[n - 1:]))
+        if lead or tail:  # the characters taken on both sides lie in the gaps and leave a non-word character or the text's edge
+            spans = [(s - lead, e + tail) if not (lead and s - lead < (places[i - 1][1] + 1 if i else 0) or
+                                                  tail and e + tail > (places[i + n][0] - 1 if i + n <= last else len(text))) else None
+                     for i, (s, e) in enumerate(spans)]
+        first = {text[x[0]:x[1]]: x[0] for x in reversed(spans) if x}
+        beside = set()
+        for k in near:
+            after, before = k + 1, k - n   # the pieces that begin after this word and that end before it
+            if after < len(spans) and spans[after] and _BLANK(text, places[k][1], spans[after][0]):
+                beside.add(text[slice(*spans[after])])
+            if before >= 0 and spans[before] and _BLANK(text, spans[before][1], places[k][0]):
+                beside.add(text[slice(*spans[before])])
+        yield first, beside
 
 
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,9 +115,9 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(low, 100)
             for i, (text, shapes) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
                 shapes = [(x["n"], x["lead"], x["tail"]) for x in shapes or ()]
-                for gram in surface_grams(text, shapes):
-                    at.append(i)
-                    grams.append(gram)
+                for first, beside in surface_grams(text, shapes):
+                    at.extend([i] * len(first))
+                    grams.extend((x, start, x in beside) for x, start in first.items())
                     if len(grams) >= GRAMS_KEPT:
                         yield rows(part)
             if grams:

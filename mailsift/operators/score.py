@@ -11,7 +11,7 @@ by passing factories of any object with the same ``__call__``.
 from __future__ import annotations
 
 import functools
-import re
+from bisect import bisect_right
 from collections import OrderedDict, defaultdict
 from collections.abc import Callable, Iterator
 
@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailsift import settings as S
-from mailsift.operators.segment import packed, text_units
+from mailsift.operators.segment import blank_separated, packed, text_units
 
-_TOKEN = re.compile(r"[^ \t\n\r\f]+")
 _ORG_WORDS = {"Inc", "Inc.", "Ltd", "Ltd.", "LLC", "GmbH", "Corp", "Corp.", "SA", "AG"}
 
 
@@ -38,13 +37,13 @@ class LastLinesScorer:
         out = []
         for t in texts:
             t = t or ""
-            total = t.count("\n") + 1
-            preds, line, pos = [], 0, 0
-            for m in _TOKEN.finditer(t):
-                line += t.count("\n", pos, m.start())  # incremental: linear in the text
-                pos = m.start()
-                label = S.SIGNATURE_LABEL if line >= total - self.n_lines else S.BODY_LABEL
-                preds.append({"start": m.start(), "end": m.end(), "entity": label, "score": 1.0})
+            cut = len(t)   # the last lines begin after this line break
+            for _ in range(self.n_lines):
+                cut = t.rfind("\n", 0, max(cut, 0))
+            starts, ends = blank_separated(t)
+            body = bisect_right(starts, cut)
+            preds = [{"start": s, "end": e, "entity": S.BODY_LABEL, "score": 1.0} for s, e in zip(starts[:body], ends)]
+            preds += [{"start": s, "end": e, "entity": S.SIGNATURE_LABEL, "score": 1.0} for s, e in zip(starts[body:], ends[body:])]
             out.append(preds)
         return out
 
@@ -60,13 +59,11 @@ class RuleNerScorer:
         out = []
         for t in texts:
             t = t or ""
-            preds, prev_line, prev_label, line, pos, listed = [], -1, None, 0, 0, False
-            for m in _TOKEN.finditer(t):
-                w = m.group(0)
-                line += t.count("\n", pos, m.start())
-                pos = m.start()
-                first_in_line = line != prev_line
-                digits = sum(ch.isdigit() for ch in w)
+            preds, prev_label, prev_end, listed = [], None, None, False
+            for start, end in zip(*blank_separated(t)):
+                w = t[start:end]
+                first_in_line = prev_end is None or "\n" in t[prev_end:start]
+                digits = sum(map(str.isdigit, w)) if len(w) >= 9 and not w.isalpha() else 0
                 label = None
                 if digits >= 9:
                     label = "PHONE_OFFICE"
@@ -80,8 +77,8 @@ class RuleNerScorer:
                     elif self.places and listed:
                         label = "ADDRESS_CITY"
                 if label:
-                    preds.append({"start": m.start(), "end": m.end(), "entity": label, "score": 1.0})
-                prev_line, prev_label, listed = line, label, w[-1] in ",."
+                    preds.append({"start": start, "end": end, "entity": label, "score": 1.0})
+                prev_label, prev_end, listed = label, end, w[-1] in ",."
             out.append(preds)
         return out
 
