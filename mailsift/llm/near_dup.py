@@ -329,13 +329,15 @@ def _exact(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             for node, comp, z in zip(*(c.to_pylist() for c in b.columns)):
                 g = np.frombuffer(z, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([node] * len(g), pa.binary()), pa.array([comp] * len(g), pa.binary()),
-                                                  pa.array(np.full(len(g), len(g))), pa.array(g)], names=["node", "comp", "n", "g"])
-
-    grams = crowd.join(sets, "node").select("node", "comp", "z").mapInArrow(explode, "node binary, comp binary, n long, g long")
-    known = grams.groupBy("g").agg(F.count("*").alias("texts"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    ranked = grams.join(known.where("low <> high").select("g", "texts"), "g")
-    rare = ranked.groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "g"))).alias("all"))
+                yield pa.RecordBatch.from_arrays([pa.array([node] * len(g), pa.binary()), pa.array(np.full(len(g), comp)), pa.array(g)],
+                                                 names=["node", "c", "g"])
+
+    # A row for each shingle goes with the node and 64 bits of its component only; size and component join it again by node.
+    grams = crowd.join(sets, "node").select("node", F.xxhash64("comp").alias("c"), "z").mapInArrow(explode, "node binary, c long, g long")
+    known = grams.groupBy("g").agg(F.count("*").alias("texts"), F.min("c").alias("low"), F.max("c").alias("high"))
+    ranked = grams.select("node", "g").join(known.where("low <> high").select("g", "texts"), "g")
+    sized = crowd.join(sets.select("node", F.expr("cast(length(z) div 8 as bigint)").alias("n")), "node")
+    rare = ranked.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("texts", "g"))).alias("all")).join(sized, "node")
     first = rare.select("node", "comp", "n", (F.col("n") - F.size("all")).alias("own"), F.posexplode(
         F.expr(f"slice(all, 1, cast(greatest(0, size(all) - ceil({percent} * n / 100) + 1) as int))")).alias("k", "x"))
     spread = (F.col("x.texts") / DEALT).cast("int") + 1
